@@ -215,7 +215,8 @@ def minhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dropped(rows)
     released(spark)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.where("text IS NOT NULL").join(wanted, "id").mapInArrow(_sets(ngram), "id long, s binary")
+    # the ids grow with the corpus: one plan at every size, not a broadcast while they happen to be few
+    sets = texts.where("text IS NOT NULL").join(wanted.hint("merge"), "id").mapInArrow(_sets(ngram), "id long, s binary")
     sets = written(sets, "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
