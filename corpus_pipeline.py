@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the least id of each group of near copies (five-word shingles, similarity 0.8)."""
     found = minhash_components(docs, ngram=5, numerator=80, denominator=100)
     found = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "groups")
-    out = docs.join(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = found.where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if not again.isEmpty():  # repeated rows are a group of copies too: the first text of an id stays
         first = out.join(again, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").select(docs.columns)
