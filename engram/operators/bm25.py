@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import fnv1a
-from ..functions.text import tokenize
+from ..functions.text import bind, tokenize
 
 K1, B, DELTA, FIELD_BOOST, COVERAGE = 1.5, 0.75, 0.5, 4, 0.1
 
@@ -34,8 +36,8 @@ def term_score(tf: Column, idf_: Column, length: Column, avgdl: Column, k1: floa
     return idf_ * t * (k1 + 1) / (t + k1 * (1 - b + b * length / avgdl))
 
 
-def _count(array: str, value: str) -> Column:
-    return F.size(F.filter(array, lambda t: t == F.lit(value)))
+def _count(array: Column, value: Column) -> Column:
+    return F.size(F.filter(array, lambda t: t == value))
 
 
 def bm25(docs: DataFrame, query: list[str], id_col: str, tokens: Column, title: Column | None = None, tags: Column | None = None, stats: DataFrame | None = None, k1: float = K1, b: float = B, coverage: bool = True) -> DataFrame:
@@ -52,28 +54,35 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, tokens: Column, title:
         return docs.select(F.col(id_col), F.lit(0.0).alias("bm25_score"), F.lit(0).alias("matched")).limit(0)
     ask = F.array(*map(F.lit, query))
     boosted = [x for x in (title, tags) if x is not None]
-    d = docs.select(F.col(id_col), tokens.alias("_t"), *(x.alias(f"_b{i}") for i, x in enumerate(boosted)))
-    every = F.concat(F.col("_t"), *(F.flatten(F.array_repeat(F.col(f"_b{i}"), FIELD_BOOST)) for i in range(len(boosted)))) if boosted else F.col("_t")
-    d = d.select(id_col, F.size("_t").alias("_l"), F.filter(every, lambda t: F.array_contains(ask, t)).alias("_h"))
-    d = d.select(id_col, "_l", F.array(*(_count("_h", q) for q in query)).alias("_tf"))
+    boost = F.array().cast("array<string>")
+    for x in boosted:
+        boost = F.concat(boost, F.flatten(F.array_repeat(x, FIELD_BOOST)))
+
+    def measured(t: Column) -> Column:
+        hits = F.filter(F.concat(t, boost) if boosted else t, lambda x: F.array_contains(ask, x))
+        counted = bind(hits, lambda h: F.transform(F.array_distinct(h), lambda q: F.struct(q.alias("term"), _count(h, q).alias("tf"))))
+        return F.struct(F.size(t).alias("l"), counted.alias("hits"))
+
+    # bound in one expression: a filter that moves below a projection would have it tokenize again for every use
+    d = docs.select(F.col(id_col), bind(tokens, measured).alias("_m")).select(id_col, F.col("_m.l").alias("_l"), F.col("_m.hits").alias("_h"))
     if stats is None:
-        counts = [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_d{i}") for i in range(len(query))]
-        stats = d.agg(F.count("*").alias("_n"), F.avg("_l").alias("_avg"), *counts).select("_n", "_avg", F.array(*(F.col(f"_d{i}") for i in range(len(query)))).alias("_df"))
+        per = d.select(F.explode(F.transform("_h", lambda h: h["term"])).alias("term"))
+        seen = per.groupBy("term").agg(F.count("*").alias("df")).collect()  # as many rows as the query has terms
+        n, avgdl = d.agg(F.count("*"), F.avg("_l")).first()
+        df = {r.term: r.df for r in seen}
     else:
-        stats = stats.select(F.col("n").alias("_n"), F.col("avgdl").alias("_avg"), F.array(*(F.coalesce(F.element_at("df", F.lit(q)), F.lit(0)).cast("long") for q in query)).alias("_df"))
-    one = stats.first()  # a row of numbers, as many as the query's terms
-    if not one or not one._avg:
+        one = stats.select("n", "avgdl", *(F.element_at("df", F.lit(q)).alias(f"t{i}") for i, q in enumerate(query))).first()
+        n, avgdl, df = one.n, one.avgdl, {q: one[f"t{i}"] or 0 for i, q in enumerate(query)}
+    if not n or not avgdl:
         return docs.select(F.col(id_col), F.lit(0.0).alias("bm25_score"), F.lit(0).alias("matched")).limit(0)
-    parts = []
-    for i in range(len(query)):
-        weight = idf(F.lit(float(one._n)), F.lit(float(one._df[i] or 0)))
-        tf = F.col("_tf")[i]
-        parts.append(F.when(tf > 0, term_score(tf, weight, F.col("_l"), F.lit(float(one._avg)), k1, b)).otherwise(0.0))
-    total = sum(parts[1:], parts[0])
-    matched = F.size(F.filter("_tf", lambda t: t > 0))
+    weights = F.create_map(*(F.lit(x) for q in query for x in (q, max(0.0, math.log((n - df.get(q, 0) + 0.5) / (df.get(q, 0) + 0.5))) + DELTA)))
+    part = lambda h: term_score(h["tf"].cast("double"), F.element_at(weights, h["term"]), F.col("_l"), F.lit(float(avgdl)), k1, b)
+    total = F.aggregate("_h", F.lit(0.0), lambda s, h: s + part(h))
     if coverage:
-        total = total * (1 + COVERAGE * matched / len(query))
-    return d.where(matched > 0).select(id_col, total.alias("bm25_score"), matched.alias("matched"))
+        total = total * (1 + COVERAGE * F.size("_h") / len(query))
+    row = F.struct(total.alias("bm25_score"), F.size("_h").alias("matched"))
+    none = F.array().cast("array<struct<bm25_score:double,matched:int>>")
+    return d.select(id_col, F.inline(F.when(F.size("_h") > 0, F.array(row)).otherwise(none)))
 
 
 def query_tokens(text: str, **options) -> list[str]:

@@ -131,13 +131,13 @@ d AS (SELECT doc_id, list_distinct({_TOK}) AS toks, list_distinct({_TOK.replace(
 s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 h AS (SELECT doc_id, len(toks) AS l, term, ln(1 + {tf}) AS t FROM d, q WHERE {hit}),
 i AS (SELECT term, greatest(0, ln((n - count(*) + 0.5) / (count(*) + 0.5))) + 0.5 AS idf FROM h, s GROUP BY term, n)
-SELECT doc_id, sum(idf * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * l / avgdl))) * (1 + 0.1 * count(*) / m) AS score FROM h JOIN i USING (term), s, m GROUP BY doc_id, m"""
+SELECT doc_id, round(sum(idf * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * l / avgdl))) * (1 + 0.1 * count(*) / m), 9) AS score FROM h JOIN i USING (term), s, m GROUP BY doc_id, m"""
 
 
 def _text_scores(spark, d, boost=False) -> DataFrame:
     q = _item_terms(spark, d)
     title = F.array_distinct(_simple("source")) if boost else None
-    return bm25.bm25(table(spark, d, "documents"), q, "doc_id", F.array_distinct(_simple()), title).select(F.col("doc_id"), F.col("bm25_score").alias("score"))
+    return bm25.bm25(table(spark, d, "documents"), q, "doc_id", F.array_distinct(_simple()), title).select(F.col("doc_id"), F.round("bm25_score", 9).alias("score"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(False)}) ORDER BY score DESC, doc_id LIMIT 20")
