@@ -20,6 +20,7 @@ CHUNK_BYTES = 1 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NOT_SPACE = (~_IS_SPACE).astype(np.uint8).tobytes()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -94,13 +95,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
-def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
+def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
     """raw holds the documents' bytes; off are their n+1 offsets in it."""
     if lower:
-        raw = _LOWER[raw]
+        raw = np.frombuffer(raw.tobytes().translate(_LOWER.tobytes()), np.uint8)
     n = len(raw)
     edge = np.zeros(n + 2, bool)
-    edge[1:-1] = ~_IS_SPACE[raw]
+    edge[1:-1] = np.frombuffer(raw.tobytes().translate(_NOT_SPACE), bool)
     begins = edge[1:-1] & ~edge[:-2]
     ends = edge[1:-1] & ~edge[2:]
     inner = off[1:-1]
@@ -109,6 +110,8 @@ def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
     ends[inner - 1] = edge[1:-1][inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, off).astype(np.int64)
+    if not hashed:
+        return Words(raw, start, end, np.zeros(0, U64), first)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(up[:n] * raw, out=total[1:])

@@ -28,23 +28,20 @@ _NORMAL[128:] = np.arange(128, 256)
 
 def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the documents in normal form, and their offsets; documents keep no space at either end."""
-    b = _NORMAL[raw]
+    b = np.frombuffer(raw.tobytes().translate(_NORMAL.tobytes()), np.uint8)
     space = b == 32
-    before = np.empty_like(space)
-    before[:1] = True
-    before[1:] = space[:-1]
+    gone = space.copy()
+    gone[1:] &= space[:-1]
     starts = off[:-1][off[:-1] < len(b)]
-    before[starts] = True
-    keep = ~(space & before)
-    at = np.concatenate([[0], np.cumsum(keep)])[off]
-    out = b[keep]
+    gone[starts] = space[starts]
+    dropped = np.flatnonzero(gone)
+    at = off - np.searchsorted(dropped, off)
+    out = b[~gone]
     last = at[1:] - 1
     ends = last[(np.diff(at) > 0) & (out[np.maximum(last, 0)] == 32)] if len(out) else last[:0]
     if len(ends):
-        drop = np.ones(len(out), bool)
-        drop[ends] = False
-        at = np.concatenate([[0], np.cumsum(drop)])[at]
-        out = out[drop]
+        at = at - np.searchsorted(ends, at)
+        out = np.delete(out, ends)
     return out, at
 
 
@@ -53,7 +50,7 @@ def gram_codes(b: np.ndarray) -> np.ndarray:
     if len(b) < Q:
         return np.zeros(0, U64)
     b = np.ascontiguousarray(b)
-    return np.ndarray(len(b) - Q + 1, "<u8", b.data, strides=(1,)).copy()
+    return np.ndarray(len(b) - Q + 1, "<u8", b.data, strides=(1,))
 
 
 class Items:
@@ -71,7 +68,7 @@ class Items:
         self.least = np.maximum(grams - Q * self.edits, 1)
         self.size = n
         codes = [gram_codes(np.frombuffer(t, np.uint8)) for t in texts]
-        code = np.concatenate(codes) if codes else np.zeros(0, U64)
+        code = np.concatenate([*codes, np.zeros(0, U64)])
         item = np.repeat(np.arange(len(texts)), grams)
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
@@ -84,7 +81,9 @@ class Items:
         self.dense = int(self.least.min(initial=1))
 
     def slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+        h = code * U64(0x9E3779B97F4A7C15)
+        h >>= U64(64 - self.bits)
+        return h.view(np.int64)
 
 
 def band_distance(item: bytes, region: bytes, shift: int, most: int) -> int:
@@ -123,13 +122,12 @@ def _hits(b: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, i
     for k in range(1, Q):  # grams across a document's end are none
         ends = at[1:] - k
         hit[ends[(ends >= 0) & (ends < len(hit))]] = False
-    total = np.concatenate([[0], np.cumsum(hit)])
     places = np.flatnonzero(hit)
     if not len(places):
         return []
     # keep hits with enough others within an item's reach on their right, or that are such others themselves
     right = np.minimum(places + items.reach, len(hit))
-    opens = total[right] - total[places] >= items.dense
+    opens = np.searchsorted(places, right) - np.arange(len(places)) >= items.dense
     if not opens.any():
         return []
     cover = np.zeros(len(hit) + 1, np.int64)
@@ -155,9 +153,9 @@ def _hits(b: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, i
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(keys)))
     seen: dict[tuple[int, int], int] = {}
-    for f, c in zip(first, count):
+    for f in first[count >= items.least[keys[first, 0]]]:
         i, d = int(keys[f, 0]), int(doc_of[f])
-        if c < items.least[i] or seen.get((d, i), 1) == 0:
+        if seen.get((d, i), 1) == 0:
             continue
         e = int(items.edits[i])
         begin = int(keys[f, 1]) * (e + 1) - shift

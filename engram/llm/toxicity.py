@@ -32,7 +32,7 @@ def held_out(id_col: str):
 
 def _words(raw: np.ndarray, off: np.ndarray):
     """Words in lower case without ASCII punctuation: a mark beside a word doesn't make it another word."""
-    return words_of(_NORMAL[raw], off)
+    return words_of(np.frombuffer(raw.tobytes().translate(_NORMAL.tobytes()), np.uint8), off)
 
 
 def _spellings(w, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         raw, off = byte_view(batch.column(0))
         for i, j in chunks(off):
-            b = _NORMAL[raw[off[i] : off[j]]].astype(np.int64)
+            b = np.frombuffer(raw[off[i] : off[j]].tobytes().translate(_NORMAL.tobytes()), np.uint8).astype(np.int64)
             n += np.bincount(b[:-1] * 256 + b[1:], minlength=1 << 16)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["pair", "n"])
