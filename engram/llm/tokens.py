@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import simple8b
 from ._base import work_path, written
 from ._files import Replaced, opened
-from ._text import byte_view, chunks, spread, words_of
+from ._text import _NOT_SPACE, byte_view, chunks, spread, words_of
 
 MAGIC = b"ENGTOK01"
 #: Blocks decoded at once by the reader.
 READ_BLOCKS = 256
-#: Distinct pieces whose ids a worker keeps.
-MOST_PIECES = 1 << 20
+#: Distinct words, and pieces of words, whose ids a worker keeps.
+MOST_KNOWN = 600_000
+#: Bytes of text coded at once: the more, the fewer different words there are to look up.
+CODE_BYTES = 6 << 20
 
 #: Words made of these only are cut into runs of letters, single digits and runs of punctuation, as the
 #: tokenizer's own pattern does; any other word, and one with an apostrophe or with <|, goes to the tokenizer whole.
@@ -46,7 +49,8 @@ class WordEncoder:
         self.pieces_only = Tokenizer.from_file(path)
         self.pieces_only.normalizer = None
         self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -54,44 +58,51 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        known = self.known
-        if len(known) > MOST_PIECES:
-            known.clear()
-        cut: list[list[str] | None] = []
+    def ids(self, words: list[str]) -> list[bytes]:
+        known, pieces = self.known, self.pieces
+        for kept in (known, pieces):
+            if len(kept) > MOST_KNOWN:
+                kept.clear()
+        out = [known.get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        cut: dict[int, list[str]] = {}
         fresh, odd = set(), set()
-        for w in words:
-            if w in known:
-                cut.append(None)
-            elif _PLAIN.fullmatch(w) and "<|" not in w:
-                pieces = _PIECE.findall(w.lower())
-                cut.append(pieces)
-                fresh.update(p for p in pieces if p not in known)
+        for k in new:
+            w = words[k]
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                cut[k] = _PIECE.findall(w.lower())
+                fresh.update(cut[k])
             else:
-                cut.append(None)
                 odd.add(w)
-        for code, new in ((self.pieces_only, fresh), (self.whole, odd)):
-            new = list(new)
-            for w, e in zip(new, code.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        return [known[w] if p is None else known[p[0]] if len(p) == 1 else tuple(i for x in p for i in known[x]) for w, p in zip(words, cut)]
+        for code, todo, to in ((self.pieces_only, fresh.difference(pieces), pieces), (self.whole, odd, known)):
+            todo = list(todo)
+            for i in range(0, len(todo), 4096):
+                part = todo[i : i + 4096]
+                for w, e in zip(part, code.encode_batch_fast(part, add_special_tokens=False)):
+                    to[w] = array("I", e.ids).tobytes()
+        for k in new:
+            w = words[k]
+            if k in cut:
+                known[w] = b"".join([pieces[p] for p in cut[k]])
+            out[k] = known[w]
+        return out
 
 
 def encode_texts(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, ids of each row) for runs of rows; end_id closes each row."""
     encoder = WordEncoder.of(path)
     raw, off = byte_view(column)
-    for i, j in chunks(off, 1 << 21):
-        w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+    for i, j in chunks(off, CODE_BYTES):
+        w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], hashed=False)
         length = w.end - w.start
-        packed = w.raw[np.repeat(w.start, length) + spread(length)]
+        packed = w.raw[np.frombuffer(w.raw.tobytes().translate(_NOT_SPACE), bool)]
         offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
         coded = pc.dictionary_encode(words)
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         ids = encoder.ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        table = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(size) - size
         at = coded.indices.to_numpy()
         n = size[at]
