@@ -219,14 +219,13 @@ class TokenFile:
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist()):
+        for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
             f = TokenFile(path)
             crc = np.fromiter((zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in f.documents()), np.int64, len(f.sizes))
-            start = np.cumsum(f.sizes) - f.sizes
+            start = before + np.cumsum(f.sizes) - f.sizes
             for i in range(0, len(crc), 8192):
                 s = slice(i, i + 8192)
-                m = len(crc[s])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part)), f.ids[s], pa.array(start[s]), pa.array(f.sizes[s]), pa.array(crc[s])], ["part", "id", "within", "n_tokens", "crc"])
+                yield pa.RecordBatch.from_arrays([f.ids[s], pa.array(start[s]), pa.array(f.sizes[s]), pa.array(crc[s])], ["id", "start", "n_tokens", "crc"])
 
 
 def read_tokens(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -235,10 +234,10 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     start is the number of ids before the document in the whole corpus: a sum over the table of files, one row a
     file, plus the place within the file.
     """
-    before = files.withColumn("before", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids"))
-    rows = files.select("part", "path").repartition(F.col("part")).mapInArrow(_reader, "part long, id long, within long, n_tokens long, crc long")
-    out = rows.join(before.select("part", "before"), "part")
-    return out.select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
+    before = files.select("part", "path", (F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")).alias("before"))
+    # a number of partitions is named: their rows are few bytes, and adaptive execution would give all files to one task
+    rows = before.repartition(max(1, min(files.count(), 20_000)), "part").mapInArrow(_reader, "id long, start long, n_tokens long, crc long")
+    return rows.select(F.col("id").alias(id_col), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
 def token_output(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, folder: str | None = None) -> DataFrame:

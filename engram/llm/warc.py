@@ -187,7 +187,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     """Records of the archives (path, n_bytes): each task scans byte ranges and owns the records starting there."""
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least("n_bytes", F.col("start") + split_bytes).alias("end"))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_reader(with_payload), _RECORD)
+    tasks = max(1, min(ranges.count(), 20_000))  # named, or adaptive execution would put such small rows into one task
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader(with_payload), _RECORD)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
