@@ -15,6 +15,8 @@ from .fmindex import FMIndex
 
 #: Words of the gram whose least hash names a window's shard, and windows of a segment at most.
 ANCHOR, MOST_WINDOWS = 4, 64
+#: Bytes of a word's hash that a segment carries. Its anchor says 64 bits of four of its words again.
+WORD_BYTES = 6
 #: Segments that one FM-index holds, about; a shard is cut between anchors.
 INDEX_SEGMENTS = 1 << 16
 
@@ -102,12 +104,20 @@ def _contents(window: int):
                     powers[0] = 1
                     np.multiply.accumulate(powers, out=powers)
                     key = mix64(np.add.reduceat(words * powers[inner], end - size) + size.astype(U64))
-                    packed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, end * 8).tobytes()), pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                    short = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+                    packed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, end * WORD_BYTES).tobytes()), pa.py_buffer(short)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array(key.view(np.int64)), pa.array(ids[b]), pa.array(place[b]), packed], ["anchor", "key", "id", "place", "words"])
 
     return run
 
 
+def _unpacked(buffer) -> np.ndarray:
+    short = np.frombuffer(buffer, np.uint8).reshape(-1, WORD_BYTES)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :WORD_BYTES] = short
+    return out.view(U64).ravel()
+
+
 def first_documents(contents: list[np.ndarray], first: np.ndarray, window: int) -> list[np.ndarray]:
     """For each window of each segment the least first document of all segments that have the same window."""
     sizes = np.array([len(c) for c in contents], np.int64)
@@ -132,7 +142,7 @@ def _shard(window: int):
 
     def results(rows: list[tuple]) -> pa.RecordBatch:
         first = np.array([r[3] for r in rows], np.int64)
-        found = first_documents([np.frombuffer(r[2].as_buffer(), U64) for r in rows], first, window)
+        found = first_documents([_unpacked(r[2].as_buffer()) for r in rows], first, window)
         keep = [k for k, (f, r) in enumerate(zip(found, rows)) if f.min() < r[4]]  # some document comes later
         return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([rows[k][1] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], ["anchor", "key", "firsts"])
 
@@ -223,7 +233,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     released(spark)
     distinct = spelt.groupBy("anchor", "key").agg(F.first("words").alias("words"), F.min("id").alias("first"), F.max("id").alias("last"))
     answers = distinct.repartition(F.col("anchor")).sortWithinPartitions("anchor").select("anchor", "key", "words", "first", "last").mapInArrow(_shard(window), "anchor long, key long, firsts array<long>")
-    starts = spelt.select("anchor", "key", "id", "place").join(written(answers, "answers"), ["anchor", "key"])
+    answers = written(answers, "answers")
+    del distinct
+    released(spark)
+    starts = spelt.select("anchor", "key", "id", "place").join(answers, ["anchor", "key"])
     starts = starts.select("id", F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("place") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
     gone = starts.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copy"))
     gone = gone.unionByName(copies.select("id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
