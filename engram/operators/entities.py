@@ -166,6 +166,8 @@ def glossary(text: str | None) -> list[dict]:
         words, acronym = m[1].split(), m[2]
         for k in range(len(words)):
             rest = words[k:]
+            if rest[0] in SMALL:  # a name does not begin with a small word in lower case
+                continue
             if acronym in ("".join(w[0].upper() for w in rest), "".join(w[0].upper() for w in rest if w.lower() not in SMALL)):
                 out.setdefault(acronym, " ".join(rest))
                 break
