@@ -189,34 +189,51 @@ def design(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), total / (n + 10.0), total / np.sqrt(n)], 1)
 
 
+def _sample_words(rows: list[tuple]) -> Iterator[tuple[int, int, object]]:
+    """(i, j, words of rows i to j), about CHUNK_BYTES of text at a time, as hashing words takes many times their bytes."""
+    off = np.concatenate([[0], np.cumsum([len(t) for _, _, t in rows])]).astype(np.int64)
+    for i, j in chunks(off):
+        yield i, j, _words(np.frombuffer(b"".join(t for _, _, t in rows[i:j]), np.uint8), off[i : j + 1] - off[i])
+
+
+def _key_counts(rows: list[tuple], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different spelling keys of the rows' words, and how often each group of rows has them."""
+    keys, counts = np.zeros(0, U64), np.zeros((groups, 0))
+    for i, j, w in _sample_words(rows):
+        if not len(w.hash):
+            continue
+        _, pick, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        spelt, first = _spellings(w, pick)
+        of = group[i:j][w.doc]
+        n = np.stack([np.bincount(which[of == g], minlength=len(pick)) for g in range(groups)])
+        n = np.concatenate([counts, np.repeat(n, np.diff(np.append(first, len(spelt))), axis=1)], axis=1)
+        keys, at = np.unique(np.concatenate([keys, spelt]), return_inverse=True)
+        counts = np.stack([np.bincount(at, weights=x, minlength=len(keys)) for x in n])
+    return keys, counts
+
+
 def _fit(rows: list[tuple], shared: np.ndarray, odds: float) -> tuple[Model, np.ndarray]:
     """rows: (hash, toxic, text); odds: ordinary labelled rows to a toxic one. Each half is scored by the models of the other to set the score's scale."""
-    raw = np.frombuffer(b"".join(t for _, _, t in rows), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(t) for _, _, t in rows])]).astype(np.int64)
-    w = _words(raw, off)
-    y = np.array([t for _, t, _ in rows], float)
-    half = np.array([h & 1 for h, _, _ in rows])
-    doc = w.doc
-    _, pick, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    keys, first = _spellings(w, pick)
-    spelt = np.diff(np.append(first, len(keys)))
-
-    def model(use: np.ndarray) -> Model:
+    y = np.array([t for _, t, _ in rows], int)
+    half = np.array([h & 1 for h, _, _ in rows], int)
+    keys, counts = _key_counts(rows, 2 * half + y, 4)
+
+    def model(*halves: int) -> Model:
         classes = []
         for c in (0, 1):
-            n = np.bincount(which[(use & (y == c))[doc]], minlength=len(pick)).astype(float)
-            n = np.repeat(n, spelt)
+            n = sum(counts[2 * k + c] for k in halves)
             classes.append((keys[n > 0], n[n > 0]))
         return Model(classes, shared)
 
-    everything = np.ones(len(rows), bool)
     if not len(rows) or not (0 < y.sum() < len(y)):  # one class only: nothing tells them apart
-        return model(everything), np.array([0.0 if not len(rows) else (2.0 if y.all() else -2.0), 0.0, 0.0])
-    total = np.zeros(len(rows))
+        return model(0, 1), np.array([0.0 if not len(rows) else (2.0 if y.all() else -2.0), 0.0, 0.0])
+    total, length = np.zeros(len(rows)), np.zeros(len(rows))
     for k in (0, 1):
         if 0 < y[half == k].sum() < (half == k).sum():
-            total[half != k] = model(half == k).evidence(w)[half != k]
-    return model(everything), logistic(design(total, w.count), y, np.where(y == 1, 1.0, odds))
+            other, places = model(k), np.flatnonzero(half != k)
+            for i, j, w in _sample_words([rows[p] for p in places]):
+                total[places[i:j]], length[places[i:j]] = other.evidence(w), w.count
+    return model(0, 1), logistic(design(total, length), y, np.where(y == 1, 1.0, odds))
 
 
 def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
