@@ -2,7 +2,9 @@
 
 Plan: sketch every document (one pass, JVM to Arrow once) -> one row for each distinct shingle set ->
 one row for each set and order, range-partitioned and sorted by the order's key -> neighbours of the
-longest common prefix as candidates -> candidates confirmed on full sets -> connected components.
+longest common prefix as candidates -> candidates confirmed on full sets -> connected components ->
+regions of equal prefixes that hold more rows than neighbours reach, and more than one component, all
+against all on full sets, in blocks -> connected components again.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ ORDERS, STEP, KEY, LEAST_PREFIX = 16, 4, 8, 3
 VALUES = ORDERS * STEP
 #: Sorted neighbours after each row that are candidates; the leader of the row's region is one besides.
 NEIGHBOURS = 3
+#: Rows and shingles of one block of a crowded region, about; each task holds two blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * U64(2) + _rng.integers(0, 2, VALUES, dtype=np.uint64)
@@ -191,12 +195,75 @@ def _confirmed(numerator: int, denominator: int):
     return run
 
 
+def _linked(numerator: int, denominator: int):
+    """Links between two blocks of a region, or within one: a spanning forest of all that there are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in group.column("s").chunk(0)]
+        size = np.array([len(x) for x in sets])
+        names, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), size)
+        # shingles of one row are in no intersection
+        row, column = row[often[column] > 1], (np.cumsum(often > 1) - 1)[column[often[column] > 1]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (start, start + width))
+            has = np.zeros((len(ids), width), np.float32)
+            has[row[a:b], column[a:b] - start] = 1
+            both += has[left] @ has[right].T
+        both = both.astype(np.int64)
+        ok = denominator * both >= numerator * (size[left][:, None] + size[right][None, :] - both)
+        near = np.zeros((len(ids), len(ids)), bool)
+        near[np.ix_(left, right)] = ok
+        near |= near.T
+        new = np.ones(len(ids), bool)
+        found = []
+        for k in range(len(ids)):
+            queue = [k] if new[k] else []
+            new[k] = False
+            for x in queue:
+                more = np.flatnonzero(near[x] & new)
+                new[more] = False
+                queue.extend(more)
+                found.append(np.stack([np.full(len(more), ids[x]), ids[more]], 1))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _crowded_links(texts: DataFrame, classes: DataFrame, found: DataFrame, ngram: int, numerator: int, denominator: int) -> DataFrame | None:
+    """Links in the regions of more rows than neighbours reach, where the links so far leave more than one component; None without such regions."""
+    c = classes.join(found, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "keys", F.coalesce("component", "id").alias("bits"))
+    rows = c.mapInArrow(_orders, "o int, k1 long, k2 long, id long, n long, bits long").select("o", F.shiftright("k1", 16).alias("prefix"), "id", "n", F.col("bits").alias("component"))
+    regions = rows.groupBy("o", "prefix").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("component").alias("least"), F.max("component").alias("most"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    regions = regions.where((F.col("rows") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select("o", "prefix", blocks.alias("blocks"))
+    members = written(rows.join(regions.hint("merge"), ["o", "prefix"]).select("o", "prefix", "id", "blocks"), "crowded")
+    if members.isEmpty():
+        return None
+    wanted = members.select("id").distinct()
+    sets = written(texts.where("text IS NOT NULL").join(wanted.hint("merge"), "id").mapInArrow(_sets(ngram), "id long, s binary").distinct(), "sets")
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("o", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
+    out = members.join(sets.hint("merge"), "id").groupBy("o", "prefix", "i", "j").applyInArrow(_linked(numerator, denominator), "a long, b long")
+    return written(out.where("a <> b").distinct(), "links")
+
+
 def minhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, numerator: int = 80, denominator: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches, links, classes): sketches of all documents, confirmed links between classes of equal sets.
+    """(sketches, links, classes): sketches of all documents, confirmed links of neighbours between classes of equal sets.
 
     sketches(id, n_shingles, d1, d2): documents with equal (d1, d2, n_shingles) have equal sets.
     links(a, b): a < b are the smallest ids of two classes whose sets have denominator * |intersection|
     >= numerator * |union|. Chains and stars are linked; pairs within a class are not spelt out.
+    Regions of more rows than neighbours reach are left to _crowded_links.
     """
     spark = docs.sparkSession
     threshold = numerator / denominator
@@ -237,6 +304,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sketches, links, classes = minhash_links(docs, id_col, text_col, ngram, numerator, denominator)
     found = connected_components(links)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    more = _crowded_links(texts, classes, found, ngram, numerator, denominator)
+    if more is not None:
+        found = connected_components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     of_class = classes.select("d1", "d2", "n_shingles", "id").join(found, F.col("id") == F.col("node"), "left")
     of_class = of_class.select("d1", "d2", F.col("n_shingles").alias("size"), F.coalesce("component", "id").alias("component"))
     me = sketches.select("id", "n_shingles", "d1", "d2")

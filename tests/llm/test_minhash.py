@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -72,3 +73,17 @@ def test_a_large_group_of_near_copies_stays_one(spark):
     rows = [(i, " ".join(base[:j] + [f"edit{i}"] + base[j + 1 :])) for i in range(3000) for j in [(i * 7) % 150]]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert minhash_components(docs, ngram=3, numerator=85).where("component_id <> 0").count() == 0
+
+
+@pytest.mark.parametrize("original", [0, 700, 1500])
+def test_unlinked_copies_of_one_original_are_joined_by_it(spark, original):
+    """1,500 copies with six words edited each, so that copies link to the original alone, whatever its id."""
+    base = [f"v{k}" for k in range(300)]
+    draw = random.Random(5)
+    rows = [(original, " ".join(base))]
+    for i in range(1501):
+        if i != original:
+            at = set(draw.sample(range(5, 295, 5), 6))
+            rows.append((i, " ".join(f"e{i}" if k in at else w for k, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert minhash_components(docs, ngram=3, numerator=85).where("component_id <> 0").count() == 0
