@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import CJK, bind, cjk_tokens, stem, stop_words
 
 #: Characters scanned and keywords kept at each level.
-LEVELS = {"minimal": {"scan": 250, "keep": 5}, "balanced": {"scan": 800, "keep": 12}, "aggressive": {"scan": None, "keep": 15}}
+LEVELS = {"minimal": {"scan": 1500, "keep": 5}, "balanced": {"scan": 5000, "keep": 12}, "aggressive": {"scan": None, "keep": 15}}
 MOST_WEIGHT, BASE_WEIGHT = 3.0, 1.5
 
 

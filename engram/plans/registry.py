@@ -417,13 +417,13 @@ def hash_functions(spark, d):
 
 @query(None)
 def tfidf_keywords(spark, d):
-    out = keywords.tfidf_keywords(table(spark, d, "documents"), "doc_id", F.col("text"))
+    out = keywords.tfidf_keywords(table(spark, d, "documents"), "doc_id", F.col("text"), level="aggressive")
     return out.select("doc_id", "rank", "keyword", r6("score").alias("score"), r6("weight").alias("weight"))
 
 
 @query(None)
 def frequency_keywords(spark, d):
-    return keywords.frequency_keywords(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return keywords.frequency_keywords(table(spark, d, "documents"), "doc_id", F.col("text"), level="aggressive")
 
 
 @query(None)

@@ -1,4 +1,7 @@
 import json
+import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -6,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from engram.functions import cleaning, hashing, scoring, text as tx, vectors
-from engram.operators import bm25, chunking, entities, events, fusion, joins, rules, wiki
+from engram.operators import bm25, chunking, entities, events, fusion, joins, keywords, rules, wiki
+from engram.plans import registry
 from engram.sources import readers
 from engram.sources.store import ChunkStore
 from engram.streaming import sync
@@ -130,3 +134,40 @@ def test_joins_and_entry(spark):
     assert {r.hash: r.score for r in joins.soft_linked(hits, links).collect()} == {1: 0.5, 2: 1.0}
     assert joins.force_linked(hits, links, spark.createDataFrame([(3, "t"), (4, "t")], "hash long, text string")).first().hash == 3
     assert __spark_entry__.entry(spark).count() == 10 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plain_words(spark, text, least):
+    """(sentences, [(sentence, form, word, proper)]) of a text of plain sentences."""
+    parts = [p for p in (p.strip() for p in re.split(r"[.!?\n]+", text)) if len(p) > 2]
+    stops = set(tx.stop_words("en"))
+    proper = {w.lower() for w in re.findall(r"\b[A-Z][a-z]{3,}\b", text)}
+    rows = [(k, w) for k, p in enumerate(parts) for w in p.lower().split() if len(w) >= least and w not in stops]
+    stems = dict(spark.createDataFrame(sorted({(w,) for _, w in rows}), "w string").select("w", tx.stem(F.col("w"))).collect())
+    return len(parts), [(k, w, w if w in proper or len(w) <= 3 else stems[w], w in proper) for k, w in rows]
+
+
+def test_keywords_of_whole_texts_equal_brute_force(spark, tmp_path):
+    draw = random.Random(7)
+    names = [f"{a}{b}{c}" for a in ("bar", "cor", "del", "fen") for b in ("mi", "to", "ra") for c in ("ning", "ted", "nes", "x", "lo")]
+    sentence = lambda some: " ".join(w.capitalize() if draw.random() < 0.05 else w for w in draw.choices(some, k=9)) + ". "
+    # the words of the first 5,000 characters are not those of the rest
+    docs = [(i, "".join(sentence(names[:20]) for _ in range(n)) + "".join(sentence(names[20:]) for _ in range(2 * n))) for i, n in enumerate((3, 20, 90))]
+    assert len(docs[2][1]) > 10000
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tfidf, frequency = {}, {}
+    for i, text in docs:
+        for least, out in ((3, tfidf), (4, frequency)):
+            n, rows = plain_words(spark, text, least)
+            forms, tf, df = Counter((w, f) for _, f, w, _ in rows), Counter(w for _, _, w, _ in rows), Counter(w for _, w in {(k, w) for k, _, w, _ in rows})
+            proper = {w for _, _, w, p in rows if p}
+            shown = {w: min((-c, f) for (v, f), c in forms.items() if v == w)[1] for w in tf}
+            score = {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) * (1.3 if w in proper else 1) if least == 3 else c for w, c in tf.items()}
+            top = sorted(score, key=lambda w: (-round(score[w], 9), w))[:15]
+            for rank, w in enumerate(top, 1):
+                out[i, rank] = (shown[w], pytest.approx(score[w], abs=2e-6), pytest.approx(1.5 + score[w] / score[top[0]] * 0.5 if least == 3 else min(3, 1.5 + 0.1 * (score[w] - 1)), abs=2e-6))
+    assert {(r[0], r[1]): tuple(r[2:]) for r in registry.QUERIES["tfidf_keywords"](spark, str(tmp_path)).collect()} == tfidf
+    assert {(r[0], r[1]): tuple(r[2:]) for r in registry.QUERIES["frequency_keywords"](spark, str(tmp_path)).collect()} == frequency
+
+
+def test_keyword_levels_scan_as_much_as_the_reference():
+    assert {k: (v["scan"], v["keep"]) for k, v in keywords.LEVELS.items()} == {"minimal": (1500, 5), "balanced": (5000, 12), "aggressive": (None, 15)}
