@@ -202,7 +202,7 @@ def sparse_vectors(spark, d):
 @query(None)
 def stemmed_tokens(spark, d):
     """Stems of distinct words, made once for each."""
-    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(tx.latin_tokens(F.col("text"))).alias("word")).distinct()
+    words = table(spark, d, "documents").select(F.explode(tx.latin_tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", tx.stem(F.col("word")).alias("stem"))
 
 

@@ -171,3 +171,12 @@ def test_keywords_of_whole_texts_equal_brute_force(spark, tmp_path):
 
 def test_keyword_levels_scan_as_much_as_the_reference():
     assert {k: (v["scan"], v["keep"]) for k, v in keywords.LEVELS.items()} == {"minimal": (1500, 5), "balanced": (5000, 12), "aggressive": (None, 15)}
+
+
+def test_stemmed_tokens_are_those_of_all_languages(spark, tmp_path):
+    docs = [(1, "Running runners", "en"), (2, "Les relations nationales", "fr"), (3, "hopping", None), (4, "running Häuser", "de"), (5, None, "es")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {w for _, text, _ in docs for w in re.findall(r"\w+", (text or "").lower())}
+    got = registry.QUERIES["stemmed_tokens"](spark, str(tmp_path)).collect()
+    assert len(got) == len(words) and {r.word for r in got} == words
+    assert {r.word: r.stem for r in got} == {w: one(spark, tx.stem(F.lit(w))) for w in words}
