@@ -1,11 +1,13 @@
 """Vectorised word and shingle hashing over the bytes of Arrow string columns.
 
-Nothing here loops over words in Python: word borders come from a byte mask, word hashes from prefix
-sums of a polynomial in 2^64, so a chunk of text costs a few array passes whatever its words are.
+Word borders come from a byte mask; a word's hash mixes its length and then its bytes, eight at a time, each
+through a bijection that is not linear, so a chunk of text costs a few array passes and repetitive words
+are as unlikely to collide as any others. Words of more than LONG_WORD bytes, which are rare, take BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xC2B2AE3D27D4EB4F | 1
+_GRAM = U64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 64
 #: Text bytes handled at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -23,7 +26,7 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NOT_SPACE = (~_IS_SPACE).astype(np.uint8).tobytes()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,18 +39,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2^64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        up, down = (np.full(size, U64(b)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        for a in (up, down):
-            a[0] = 1
-            np.multiply.accumulate(a, out=a)
-        if size > 4 * CHUNK_BYTES:
-            return up, down
-        _powers.update(up=up, down=down)
-    return _powers["up"], _powers["down"]
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word; words of up to eight bytes and the same length never share them."""
+    size = end - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+    h = mix64(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15))
+    h = mix64(h ^ (blocks[start] & _MASK[np.minimum(size, 8)]))
+    more = np.flatnonzero(size > 8)
+    for k in range(8, LONG_WORD, 8):
+        more = more[size[more] > k]
+        if not len(more):
+            break
+        h[more] = mix64(h[more] ^ (blocks[start[more] + k] & _MASK[np.minimum(size[more] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].data, digest_size=8).digest(), "little")
+    return h
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +119,7 @@ def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = False, hashed: bool
     first = np.searchsorted(start, off).astype(np.int64)
     if not hashed:
         return Words(raw, start, end, np.zeros(0, U64), first)
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(up[:n] * raw, out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h ^= (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return Words(raw, start, end, mix64(h), first)
+    return Words(raw, start, end, word_hashes(raw, start, end), first)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -125,11 +127,10 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out, factor = h[:n].copy(), 1
+    out = h[:n].copy()
     for j in range(1, k):
-        factor = factor * _GRAM % (1 << 64)
-        out += h[j : j + n] * U64(factor)
-    return mix64(out)
+        out = mix64(out * _GRAM + h[j : j + n])
+    return out
 
 
 def spread(lengths: np.ndarray) -> np.ndarray:

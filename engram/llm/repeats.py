@@ -7,18 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._base import dropped, released, written
-from ._text import _GRAM, U64, byte_view, chunks, grams, mix64, spread, words_of
+from ._text import U64, byte_view, chunks, grams, spread, words_of
 from .fmindex import FMIndex
 
 #: Words of the gram whose least hash names a window's shard, and windows of a segment at most.
 ANCHOR, MOST_WINDOWS = 4, 64
-#: Bytes of a word's hash that a segment carries. Its anchor says 64 bits of four of its words again.
-WORD_BYTES = 6
 #: Segments that one FM-index holds, about; a shard is cut between anchors.
 INDEX_SEGMENTS = 1 << 16
+#: Different segments of an anchor that one index holds, about; an anchor with more is cut into blocks.
+BLOCK_SEGMENTS = 1 << 13
+
+_SPACES = bytes(32 if 9 <= k <= 13 else k for k in range(256))
 
 
 def _segments(w, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +51,28 @@ def _segments(w, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc[start], (at[start] - w.first[doc[start]]) if len(start) else start, size, anchor[start]
 
 
+class Spelt:
+    """The words of some documents as text: any run of them joined by single spaces, whatever stood between."""
+
+    def __init__(self, w):
+        self.w, self.text = w, w.raw.tobytes().translate(_SPACES)
+        self.sizes = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+
+    def joined(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Words first to last - 1, for arrays of both; empty where there are none."""
+        some = last > first
+        begin = np.where(some, self.w.start[np.minimum(first, len(self.w.start) - 1)] if len(self.w.start) else 0, 0)
+        end = np.where(some, self.w.end[np.maximum(last, 1) - 1] if len(self.w.start) else 0, 0)
+        plain = end - begin == np.where(some, self.sizes[last] - self.sizes[first] - 1, 0)
+        return [self.text[a:b] if p else b" ".join(self.text[a:b].split()) for a, b, p in zip(begin.tolist(), end.tolist(), plain.tolist())]
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _sketch(window: int):
-    """A row for each segment, and one with windows = 0 for each document: two hashes of its word sequence."""
+    """A row for each segment, and one with windows = 0 and the digest of its words for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,105 +81,119 @@ def _sketch(window: int):
                 ids = batch.column(0).slice(i, j - i).to_numpy()
                 w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 doc, place, size, anchor = _segments(w, window)
-                d1, d2 = _sequence_hashes(w)
-                m = j - i
-                cols = [np.concatenate([anchor, d1]).view(np.int64), np.concatenate([ids[doc], ids]), np.concatenate([place, w.count]).astype(np.int32), np.concatenate([size, np.zeros(m)]).astype(np.int32), np.concatenate([np.zeros(len(doc), U64), d2]).view(np.int64)]
-                for k in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in cols], ["anchor", "id", "place", "windows", "d2"])
+                for k in range(0, len(doc), 1 << 16):
+                    b = slice(k, k + (1 << 16))
+                    cols = [anchor[b].view(np.int64), ids[doc[b]], place[b].astype(np.int32), size[b].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(doc[b]), pa.binary())], ["anchor", "id", "place", "windows", "digest"])
+                whole = [_digest(t) for t in Spelt(w).joined(w.first[:-1], w.first[1:])]
+                zero = pa.array(np.zeros(j - i, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int64)), pa.array(ids), pa.array(w.count.astype(np.int32)), zero, pa.array(whole, pa.binary())], ["anchor", "id", "place", "windows", "digest"])
 
     return run
 
 
-def _sequence_hashes(w) -> tuple[np.ndarray, np.ndarray]:
-    n = w.count
-    powers = np.full(int(n.max(initial=0)) + 1, U64(_GRAM))
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    weight = powers[spread(n)]
-    out = []
-    for h in (w.hash, mix64(w.hash + U64(0x51ED2701))):
-        sums = np.add.reduceat(np.append(h * weight, U64(0)), np.minimum(w.first[:-1], len(h))) if len(n) else np.zeros(0, U64)
-        out.append(np.where(n > 0, mix64(sums), U64(0)))
-    return out[0], out[1]
-
-
 def _contents(window: int):
-    """The words, as hashes, of the segments that a document's row lists."""
+    """The words of the segments that a document's row lists, and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
             listed = [batch.column(k) for k in (2, 3, 4)]
             for i, j in chunks(off):
-                w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], hashed=False)
+                spelt = Spelt(w)
                 part = [c.slice(i, j - i) for c in listed]
                 many = np.diff(part[0].offsets.to_numpy())
                 place, windows, anchor = (c.flatten().to_numpy() for c in part)
                 doc = np.repeat(np.arange(j - i), many)
                 ids = batch.column(0).slice(i, j - i).to_numpy()[doc]
+                first = w.first[doc] + place
                 for a in range(0, len(doc), 1 << 14):
                     b = slice(a, a + (1 << 14))
-                    size = windows[b].astype(np.int64) + window - 1
-                    inner = spread(size)
-                    words = w.hash[np.repeat(w.first[doc[b]] + place[b], size) + inner]
-                    end = np.cumsum(size)
-                    powers = np.full(int(size.max()) + 1, U64(_GRAM))
-                    powers[0] = 1
-                    np.multiply.accumulate(powers, out=powers)
-                    key = mix64(np.add.reduceat(words * powers[inner], end - size) + size.astype(U64))
-                    short = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-                    packed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, end * WORD_BYTES).tobytes()), pa.py_buffer(short)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array(key.view(np.int64)), pa.array(ids[b]), pa.array(place[b]), packed], ["anchor", "key", "id", "place", "words"])
+                    words = spelt.joined(first[b], first[b] + windows[b] + window - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array([_digest(x) for x in words], pa.binary()), pa.array(ids[b]), pa.array(place[b]), pa.array(words, pa.binary())], ["anchor", "key", "id", "place", "words"])
 
     return run
 
 
-def _unpacked(buffer) -> np.ndarray:
-    short = np.frombuffer(buffer, np.uint8).reshape(-1, WORD_BYTES)
-    out = np.zeros((len(short), 8), np.uint8)
-    out[:, :WORD_BYTES] = short
-    return out.view(U64).ravel()
-
-
-def first_documents(contents: list[np.ndarray], first: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each window of each segment the least first document of all segments that have the same window."""
-    sizes = np.array([len(c) for c in contents], np.int64)
-    flat = np.concatenate(contents)
-    known, ids = np.unique(flat, return_inverse=True)
-    text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text[np.repeat(starts, sizes) + spread(sizes)] = ids + 1
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    index = FMIndex(text, len(known) + 1, window)
-    long, where = index.matches(starts, sizes, text)
-    heads = np.flatnonzero(np.concatenate([[True], index.group[1:] != index.group[:-1]]))
-    least = np.minimum.reduceat(first[owner[index.order]], heads)
-    group = np.cumsum(np.concatenate([[True], index.group[1:] != index.group[:-1]])) - 1
-    found = np.where(long == window, least[group[where]], np.iinfo(np.int64).max)
-    ends = np.cumsum(sizes)
-    return [found[e - n : e - window + 1] for e, n in zip(ends, sizes)]
-
-
-def _shard(window: int):
-    """Segments come in order of anchor; an index is made of whole anchors."""
-
-    def results(rows: list[tuple]) -> pa.RecordBatch:
-        first = np.array([r[3] for r in rows], np.int64)
-        found = first_documents([_unpacked(r[2].as_buffer()) for r in rows], first, window)
-        keep = [k for k, (f, r) in enumerate(zip(found, rows)) if f.min() < r[4]]  # some document comes later
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([rows[k][1] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], ["anchor", "key", "firsts"])
+class Shard:
+    """An FM-index of segments, earliest first: a shard of the corpus that streamed segments are searched in."""
+
+    def __init__(self, segments: pa.Array, first: np.ndarray, window: int):
+        by_age = np.argsort(first, kind="stable")
+        lists = pc.split_pattern(segments.take(pa.array(by_age)), " ")
+        words = lists.flatten().dictionary_encode()
+        self.window, self.first, self.known = window, first[by_age], words.dictionary
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        self.index = FMIndex(words.indices.to_numpy().astype(np.int64) + 1, sizes, np.arange(len(sizes)), len(self.known) + 2, window)
+
+    def earliest(self, segments: pa.Array) -> list[np.ndarray]:
+        """For each window of each segment the least first document of the index's segments that have it, by backward search;
+        the greatest long where none has.
+        """
+        lists = pc.split_pattern(segments, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        spelt = pc.index_in(lists.flatten(), value_set=self.known)
+        stream = pc.fill_null(spelt, len(self.known)).to_numpy().astype(np.int64) + 1
+        long, low, high = self.index.matches(offsets[:-1] - offsets[0], np.diff(offsets), stream)
+        found = np.full(len(long), np.iinfo(np.int64).max)
+        hit = np.flatnonzero(long == self.window)
+        found[hit] = self.first[self.index.least_owner(low[hit], high[hit])]
+        return [found[a : b - self.window + 1] for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])]
+
+
+def _searched(window: int):
+    """Segments come in order of anchor and block, those that go into the index first; an index is made of whole blocks.
+
+    Of each block the index gets segments that some other segment comes after, and the segments that come after some other are
+    streamed through it. Both may be bounded: what is indexed by the block, what is streamed by the batch.
+    """
+
+    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """(rows to index, rows to search) of whole blocks."""
+        youngest: dict[tuple, int] = {}
+        oldest: dict[tuple, int] = {}
+        for r in rows:
+            g = r[:2]
+            youngest[g] = max(r[5], youngest.get(g, r[5]))
+            if r[6]:
+                oldest[g] = min(r[4], oldest.get(g, r[4]))
+        return [r for r in rows if r[6] and (r[4] < youngest[r[:2]] or not r[7])], [r for r in rows if r[:2] in oldest and r[5] > oldest[r[:2]]]
+
+    def answers(shard: Shard, rows: list[tuple]) -> pa.RecordBatch:
+        found = shard.earliest(pa.array([r[3] for r in rows], pa.binary())) if rows else []
+        keep = [k for k, (f, r) in enumerate(zip(found, rows)) if f.min() < r[5]]
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in keep], pa.binary()), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], ["key", "firsts"])
+
+    def shard_of(rows: list[tuple]) -> Shard:
+        return Shard(pa.array([r[3] for r in rows], pa.binary()), np.array([r[4] for r in rows], np.int64), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        group: tuple | None = None
+        shard: Shard | None = None  # made when all that the group's block indexes is there; the group may go on
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal held, shard
+            search = held
+            if shard is None:
+                library, search = split(held)
+                shard = shard_of(library) if library else None
+            if shard is not None:
+                yield answers(shard, search)
+            held = []
+
         for batch in batches:
-            anchors, keys, first, last = (batch.column(c).to_numpy() for c in ("anchor", "key", "first", "last"))
-            for k, words in enumerate(batch.column("words")):
-                if len(held) >= INDEX_SEGMENTS and held[-1][0] != anchors[k]:
-                    yield results(held)
-                    held = []
-                held.append((anchors[k], keys[k], words, first[k], last[k]))
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "key", "words", "first", "last", "indexed", "alone"))):
+                new = r[:2] != group
+                if held and (new and shard is not None or len(held) >= INDEX_SEGMENTS and (new or not r[6])):
+                    yield from flushed()
+                if new and not held:
+                    shard = None
+                group = r[:2]
+                held.append(r)
         if held:
-            yield results(held)
+            yield from flushed()
 
     return run
 
@@ -169,15 +206,15 @@ def _kept(window: int, with_text: bool):
             raw, off = byte_view(batch.column("text"))
             all_ids, copies, starts = (batch.column(c) for c in ("id", "copy", "starts"))
             for i, j in chunks(off):
-                w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], hashed=False)
                 n = w.count
                 part = starts.slice(i, j - i)
                 many = np.diff(part.offsets.to_numpy())
                 at = part.flatten().to_numpy() + np.repeat(w.first[:-1], many)
-                cover = np.zeros(len(w.hash) + window + 1, np.int32)
+                cover = np.zeros(len(w.start) + window + 1, np.int32)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
-                gone = np.cumsum(cover)[: len(w.hash)] > 0
+                gone = np.cumsum(cover)[: len(w.start)] > 0
                 copy = np.array(copies.slice(i, j - i)) & (n >= window)
                 gone |= np.repeat(copy, n)
                 stay = np.flatnonzero(~gone)
@@ -208,19 +245,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Plan. Every window belongs to the shard of its anchor, so equal windows meet without sending any document to every
     shard; runs of windows with one anchor are segments. (1) Only anchors, ids and places are shuffled, reduced to the least and
     greatest id for each anchor before that: anchors of one document only, nearly all, are done. (2) The rest of the
-    segments, but those of documents that copy an earlier one word for word, get their words; equal segments become one row with the
-    least id, again before the shuffle, so a passage that a third of the corpus has is one row a task. (3) A shard
-    builds an FM-index of its segments and streams them through it; a full-length match is a range of suffixes, whose
-    least id is what each window wants. (4) Segments take the answers back to their documents in a join on the
-    segment, which adaptive execution splits where one segment has very many documents.
+    segments, but those of documents that copy an earlier one word for word, get their words as text; equal segments become one
+    row with the least and greatest id, again before the shuffle, so a passage that a third of the corpus has is one row a task. (3) A
+    shard builds an FM-index of the segments that others come after and streams those others through it by backward search;
+    matching statistics of a whole window report a range of suffixes, whose least document is what the window
+    wants. Words are compared as they are, not by hashes. An anchor of very many different segments is cut: each of its
+    blocks indexes a part, and all its segments are streamed through every block. (4) Segments take the answers back to their
+    documents in a join on the digest (BLAKE2b, 128 bits) of their words, which adaptive execution splits where one segment has
+    very many documents.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    sketch = written(known.mapInArrow(_sketch(window), "anchor long, id long, place int, windows int, d2 long"), "segments")
-    whole = sketch.where("windows = 0").select(F.col("anchor").alias("d1"), "d2", F.col("place").alias("n"), "id")
-    same = whole.groupBy("d1", "d2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    copies = written(whole.join(same, ["d1", "d2", "n"]).where("id > first").select("id").distinct(), "copies")
+    sketch = written(known.mapInArrow(_sketch(window), "anchor long, id long, place int, windows int, digest binary"), "segments")
+    whole = sketch.where(f"windows = 0 AND place >= {window}").select("digest", "id")
+    same = whole.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    copies = written(whole.join(same, "digest").where("id > first").select("id").distinct(), "copies")
     segments = sketch.where("windows > 0")
     shared = segments.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     listed = written(segments.select("anchor", "id", "place", "windows").join(shared, "anchor", "left_semi").join(copies, "id", "left_anti"), "listed")
@@ -228,20 +268,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     released(spark)
     per_doc = listed.groupBy("id").agg(F.collect_list(F.struct("place", "windows", "anchor")).alias("s")).select(F.col("id").alias("k"), "s.place", "s.windows", "s.anchor")
     spelt = known.join(per_doc, F.col("id") == F.col("k")).select("id", "text", "place", "windows", "anchor")
-    spelt = written(spelt.mapInArrow(_contents(window), "anchor long, key long, id long, place int, words binary"), "spelt")
+    spelt = written(spelt.mapInArrow(_contents(window), "anchor long, key binary, id long, place int, words binary"), "spelt")
     dropped(listed)
     released(spark)
-    distinct = spelt.groupBy("anchor", "key").agg(F.first("words").alias("words"), F.min("id").alias("first"), F.max("id").alias("last"))
-    answers = distinct.repartition(F.col("anchor")).sortWithinPartitions("anchor").select("anchor", "key", "words", "first", "last").mapInArrow(_shard(window), "anchor long, key long, firsts array<long>")
-    answers = written(answers, "answers")
-    del distinct
+    distinct = written(spelt.groupBy("anchor", "key", "words").agg(F.min("id").alias("first"), F.max("id").alias("last")), "distinct")
+    released(spark)
+    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SEGMENTS)
+    crowded = crowded.select("anchor", F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
+    rows = distinct.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("anchor", "block", "key", "words", "first", "last", (F.col("block") == F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("indexed"), (F.col("blocks") == 1).alias("alone"))
+    rows = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.col("indexed").desc())
+    answers = written(rows.mapInArrow(_searched(window), "key binary, firsts array<long>"), "answers")
+    dropped(distinct)
     released(spark)
-    starts = spelt.select("anchor", "key", "id", "place").join(answers, ["anchor", "key"])
+    starts = spelt.select("key", "id", "place").join(answers, "key")
     starts = starts.select("id", F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("place") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
     gone = starts.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copy"))
     gone = gone.unionByName(copies.select("id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     gone = written(gone.withColumnRenamed("id", "k"), "gone")
-    dropped(spelt)
+    dropped(spelt, answers, copies)
     released(spark)
     out = texts.join(gone, F.col("id") == F.col("k"), "left").select("id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("copy", F.lit(False)).alias("copy"))
     out = out.mapInArrow(_kept(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
