@@ -3,12 +3,16 @@
 Plan: sketch every document (one pass, JVM to Arrow once) -> one row for each distinct shingle set ->
 one row for each set and order, range-partitioned and sorted by the order's key -> neighbours of the
 longest common prefix as candidates -> candidates confirmed on full sets -> connected components ->
-regions of equal prefixes that hold more rows than neighbours reach, and more than one component, all
-against all on full sets, in blocks -> connected components again.
+regions of equal prefixes that hold more rows than neighbours reach, and more than one component: each is
+followed down to longer prefixes until its parts fit a block, whose rows are all compared on full sets ->
+connected components again -> regions beyond a block that still hold several components: all against all,
+in pairs of blocks -> connected components again. So no pair that shares a prefix is left out, however
+many rows share it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -61,8 +65,8 @@ def _sketches(ngram: int):
                 bits = np.zeros(j - i, np.int64)
                 if full.any():
                     own = np.append(at[:-1][full], at[-1])
-                    d[0, full] = np.add.reduceat(sets, own[:-1]).view(np.int64)
-                    d[1, full] = np.bitwise_xor.reduceat(mix64(sets + U64(0x1234567)), own[:-1]).view(np.int64)
+                    whole = b"".join(hashlib.blake2b(sets[a:b].data, digest_size=16).digest() for a, b in zip(own[:-1], own[1:]))
+                    d[:, full] = np.frombuffer(whole, np.int64).reshape(-1, 2).T
                     keys[full], bits[full] = _signature(sets, own)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * VALUES), j - i, [None, pa.py_buffer(keys.astype(">u2").tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(d[0]), pa.array(d[1]), packed.cast(pa.binary()), pa.array(bits)], ["id", "n_shingles", "d1", "d2", "keys", "bits"])
@@ -238,23 +242,60 @@ def _linked(numerator: int, denominator: int):
     return run
 
 
-def _crowded_links(texts: DataFrame, classes: DataFrame, found: DataFrame, ngram: int, numerator: int, denominator: int) -> DataFrame | None:
-    """Links in the regions of more rows than neighbours reach, where the links so far leave more than one component; None without such regions."""
-    c = classes.join(found, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "keys", F.coalesce("component", "id").alias("bits"))
-    rows = c.mapInArrow(_orders, "o int, k1 long, k2 long, id long, n long, bits long").select("o", F.shiftright("k1", 16).alias("prefix"), "id", "n", F.col("bits").alias("component"))
-    regions = rows.groupBy("o", "prefix").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("component").alias("least"), F.max("component").alias("most"))
+def _regions(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows in regions of equal first `depth` key values that neighbours do not reach all of and that hold several components;
+    blocks: how many blocks the region's rows fill."""
+    p1 = F.shiftright("k1", 16 * (4 - min(depth, 4))).alias("p1")
+    p2 = F.shiftright("k2", 16 * (8 - depth)) if depth > 4 else F.lit(0).cast("long")
+    keyed = rows.select("o", "k1", "k2", "id", "n", "component", p1, p2.alias("p2"))
+    regions = keyed.groupBy("o", "p1", "p2").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("component").alias("least"), F.max("component").alias("most"))
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    regions = regions.where((F.col("rows") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select("o", "prefix", blocks.alias("blocks"))
-    members = written(rows.join(regions.hint("merge"), ["o", "prefix"]).select("o", "prefix", "id", "blocks"), "crowded")
-    if members.isEmpty():
-        return None
+    regions = regions.where((F.col("rows") > NEIGHBOURS + 1) & (F.col("least") < F.col("most"))).select("o", "p1", "p2", blocks.alias("blocks"))
+    return written(keyed.join(regions.hint("merge"), ["o", "p1", "p2"]).withColumn("depth", F.lit(depth)), "regions")
+
+
+def _region_links(texts: DataFrame, members: DataFrame, ngram: int, numerator: int, denominator: int) -> DataFrame:
+    """Links among the rows of each region, all against all on full sets, in pairs of blocks."""
     wanted = members.select("id").distinct()
     sets = written(texts.where("text IS NOT NULL").join(wanted.hint("merge"), "id").mapInArrow(_sets(ngram), "id long, s binary").distinct(), "sets")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("o", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
-    out = members.join(sets.hint("merge"), "id").groupBy("o", "prefix", "i", "j").applyInArrow(_linked(numerator, denominator), "a long, b long")
-    return written(out.where("a <> b").distinct(), "links")
+    region = ["o", "depth", "p1", "p2"]
+    m = members.select(*region, "id", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select(*region, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
+    out = m.join(sets.hint("merge"), "id").groupBy(*region, "i", "j").applyInArrow(_linked(numerator, denominator), "a long, b long")
+    out = written(out.where("a <> b").distinct(), "links")
+    dropped(sets)
+    released(texts.sparkSession)
+    return out
+
+
+def _crowded(texts: DataFrame, classes: DataFrame, found: DataFrame, ngram: int, numerator: int, denominator: int) -> DataFrame:
+    """Components with the links in the regions of more rows than neighbours reach, where found leaves several components."""
+
+    def keyed(now: DataFrame) -> DataFrame:
+        c = classes.join(now, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "keys", F.coalesce("component", "id").alias("bits"))
+        return c.mapInArrow(_orders, "o int, k1 long, k2 long, id long, n long, bits long").withColumnRenamed("bits", "component")
+
+    def merged(now: DataFrame, links: DataFrame) -> DataFrame:
+        return connected_components(now.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
+
+    tables = [_regions(keyed(found), LEAST_PREFIX)]
+    if tables[0].isEmpty():
+        return found
+    leaves, large = tables[0].where("blocks = 1"), tables[0].where("blocks > 1")
+    crowded = not large.isEmpty()
+    for depth in range(LEAST_PREFIX + 1, KEY + 1):
+        if large.isEmpty():
+            break
+        tables.append(_regions(large, depth))
+        leaves, large = leaves.unionByName(tables[-1].where("blocks = 1")), tables[-1].where("blocks > 1")
+    found = merged(found, _region_links(texts, leaves, ngram, numerator, denominator))
+    if crowded:
+        rest = _regions(keyed(found), LEAST_PREFIX)
+        found = merged(found, _region_links(texts, rest, ngram, numerator, denominator))
+        dropped(rest)
+    dropped(*tables)
+    return found
 
 
 def minhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, numerator: int = 80, denominator: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,7 +304,7 @@ def minhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches(id, n_shingles, d1, d2): documents with equal (d1, d2, n_shingles) have equal sets.
     links(a, b): a < b are the smallest ids of two classes whose sets have denominator * |intersection|
     >= numerator * |union|. Chains and stars are linked; pairs within a class are not spelt out.
-    Regions of more rows than neighbours reach are left to _crowded_links.
+    Regions of more rows than neighbours reach are left to _crowded.
     """
     spark = docs.sparkSession
     threshold = numerator / denominator
@@ -299,15 +340,14 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A-Z are lower-cased; words are runs without ASCII white space; the set is the distinct shingles of
     ngram words, or the whole sequence where there are fewer words. Null, empty and blank texts have an
     empty set and are linked with nothing. Equal texts, repeated rows included, share a component. A row
-    with a null id is linked with nothing: it has a null component and is kept. Other columns of docs are
+    with a null id is linked with nothing: it has a null component and is kept. Rows of one id are one document, linked by any
+    of its texts. Sets are equal if 128 bits of BLAKE2b over their 64-bit shingle hashes are. Other columns of docs are
     not read, so their names can't clash. An empty table gives an empty result.
     """
     sketches, links, classes = minhash_links(docs, id_col, text_col, ngram, numerator, denominator)
     found = connected_components(links)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    more = _crowded_links(texts, classes, found, ngram, numerator, denominator)
-    if more is not None:
-        found = connected_components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    found = _crowded(texts, classes, found, ngram, numerator, denominator)
     of_class = classes.select("d1", "d2", "n_shingles", "id").join(found, F.col("id") == F.col("node"), "left")
     of_class = of_class.select("d1", "d2", F.col("n_shingles").alias("size"), F.coalesce("component", "id").alias("component"))
     me = sketches.select("id", "n_shingles", "d1", "d2")

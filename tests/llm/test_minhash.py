@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from engram.llm import minhash
 from engram.llm.minhash import minhash_components
 
 SF = "/root/testdata/sf0.01"
@@ -87,3 +88,29 @@ def test_unlinked_copies_of_one_original_are_joined_by_it(spark, original):
             rows.append((i, " ".join(f"e{i}" if k in at else w for k, w in enumerate(base))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert minhash_components(docs, ngram=3, numerator=85).where("component_id <> 0").count() == 0
+
+
+def test_boilerplate_that_all_share_hides_no_link(spark):
+    """1,000 pairs; all documents are near the threshold by boilerplate, only the two of a pair are above it."""
+    shared = [f"s{k}" for k in range(1000)]
+    rows = [(i, " ".join([*shared, *(f"p{i // 2}_{k}" for k in range(31)), *(f"d{i}_{k}" for k in range(70))])) for i in range(2000)]
+    want = brute(rows[:6], 3, 85, 100)
+    assert [want[i][1] for i in range(6)] == [0, 0, 2, 2, 4, 4]
+    got = {r.doc_id: r.component_id for r in minhash_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), ngram=3, numerator=85).collect()}
+    assert got == {i: i // 2 * 2 for i in range(2000)}
+
+
+def test_regions_beyond_a_block_descend_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 40)
+    shared = [f"s{k}" for k in range(200)]
+    rows = [(i, " ".join([*shared, *(f"p{i // 2}_{k}" for k in range(6)), *(f"d{i}_{k}" for k in range(14))])) for i in range(300)]
+    assert brute(rows[:4], 3, 85, 100)[3][1] == 2
+    got = {r.doc_id: r.component_id for r in minhash_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), ngram=3, numerator=85).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_repetitive_words_have_hashes_of_their_own(spark):
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in minhash_components(spark.createDataFrame([(1, t), (2, u), (3, t.upper())], "doc_id long, text string"), ngram=3, numerator=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
