@@ -1,4 +1,4 @@
-"""Toxicity from two Kneser-Ney models, one of toxic and one of ordinary documents, over shared backoff counts."""
+"""Toxicity from two Kneser-Ney models, one of toxic and one of ordinary documents, over the counts of the whole corpus."""
 
 from __future__ import annotations
 
@@ -9,20 +9,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import written
+from ._base import dropped, tidy, written
 from ._text import U64, byte_view, chunks, mix64, spread, words_of
 from .decontaminate import _NORMAL
 
-#: Labelled documents of each class that the models are fitted on, those with the least hash of their id. The
+#: Labelled documents of each class that the models are fitted on at most, those with the least hash of their id. The
 #: bound keeps the fitted model small enough for one task to make and every task to hold.
 TRAIN_DOCS = 4000
 #: Rows whose crc32 of the id leaves 0 by this are never learnt from.
 FOLDS = 5
-#: Bytes of context of the longest and the shortest order that a class counts for itself; below, the classes share counts.
-LONGEST, SHORTEST = 5, 2
+#: Bytes of context of the longest order: with the byte itself a key is one 64-bit number.
+LONGEST = 7
 DISCOUNT = 0.75
-#: Log ratios of a word up to LEAST_LOG are chance and count nothing, what is beyond counts up to MOST_LOG.
-LEAST_LOG, MOST_LOG = 3.0, 12.0
+#: Share of a toxic document's words that are toxic expressions; the rest of it is as in ordinary ones.
+TOXIC_SHARE = 0.01
+#: Words that a text's mean log-likelihood ratio is stretched by, so that a few words alone say little.
+PRIOR_WORDS = 10
+#: Different n-grams that a task counts before it passes them on.
+HELD_GRAMS = 1 << 19
 
 
 def held_out(id_col: str):
@@ -89,85 +93,67 @@ class Table:
         return (np.concatenate(places), np.concatenate(values)) if places else (some[:0], np.zeros(0, np.float32))
 
 
+def shared_probabilities(order: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, P(byte | context) in the whole corpus) of the longest order, by interpolated Kneser-Ney over all orders.
+
+    A row for each key of each order: how often it counts, how often its context does, and what all keys of that
+    context lose to the discount.
+    """
+    known, p = np.zeros(1, U64), np.full(1, 1 / 256)
+    for o in range(LONGEST + 1):
+        at = np.flatnonzero(order == o)
+        at = at[np.argsort(key[at])]
+        rest = p[np.searchsorted(known, _low(key[at], o - 1))] if o else p[np.zeros(len(at), np.int64)]
+        known, p = key[at], (np.maximum(n[at] - DISCOUNT, 0) + left[at] * rest) / total[at]
+    return known, p
+
+
 class Model:
     """log P(word | toxic) - log P(word | ordinary), spelt byte by byte, by interpolated Kneser-Ney models.
 
-    P_c(x|h) = max(n_c(hx) - D, 0) / n_c(h) + share_c(h) * P_c(x|h'), h' being h without its first byte. n counts occurrences at
-    the longest order and in contexts that begin a word, and different bytes before hx at the others. Below SHORTEST both
-    classes go on with the byte pairs of all documents, labelled or not: what a class has hardly seen is
-    spelt by counts it shares with the other.
+    P_c(x|h) = max(n_c(hx) - D, 0) / n_c(h) + share_c(h) * P(x|h), h being the LONGEST bytes before x in its word and the spaces
+    before it. P is the Kneser-Ney model of all documents, labelled or not, over its own shorter contexts: what a class has
+    hardly seen is smoothed by counts that it shares with the other, and where neither has seen hx, P cancels out.
     """
 
-    def __init__(self, classes: list[tuple[np.ndarray, np.ndarray]], shared: np.ndarray):
-        """classes: (keys, how often) of the ordinary, then of the toxic words; shared: counts of 256 * 256 byte pairs."""
-        pairs = shared.reshape(256, 256) + 1e-3
-        pairs = pairs / pairs.sum(1, keepdims=True)
-        tops = []
-        for keys, n in classes:
-            k, which = np.unique(keys, return_inverse=True)
-            tops.append((k, np.bincount(which, weights=n, minlength=len(k))))
-        self.seen, self.share = {}, {}
-        below: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for order in range(SHORTEST, LONGEST + 1):
-            counts = [self._counts(k, n, order) for k, n in tops]
-            union = np.unique(np.concatenate([k for k, _ in counts]))
-            heads = np.unique(union >> U64(8))
-            probs, shares = [], []
-            low = _low(union, order - 1)
-            for c, (k, n) in enumerate(counts):
-                at = np.searchsorted(heads, k >> U64(8))
-                total = np.bincount(at, weights=n, minlength=len(heads))
-                left = np.bincount(at, weights=np.minimum(n, DISCOUNT), minlength=len(heads))
-                share = np.where(total > 0, left / np.maximum(total, 1e-9), 1.0)
-                own = np.zeros(len(union))
-                own[np.searchsorted(union, k)] = np.maximum(n - DISCOUNT, 0)
-                head = np.searchsorted(heads, union >> U64(8))
-                if order == SHORTEST:
-                    rest = pairs[(low >> U64(8)).astype(np.int64) & 255, low.astype(np.int64) & 255]
-                else:
-                    rest = below[order - 1][1][c][np.searchsorted(below[order - 1][0], low)]
-                probs.append(own / np.maximum(total[head], 1e-9) + share[head] * rest)
-                shares.append(share)
-            below[order] = (union, probs)
-            self.seen[order] = Table(union, np.log(probs[1]) - np.log(probs[0]), order + 1)
-            self.share[order] = Table(heads, np.log(shares[1]) - np.log(shares[0]), order)
-
-    @staticmethod
-    def _counts(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        if order == LONGEST:
-            return keys, n
-        k, which = np.unique(_low(keys, order), return_inverse=True)
-        raw = np.bincount(which, weights=n, minlength=len(k))
-        longer = np.unique(_low(keys, order + 1))
-        other = np.bincount(np.searchsorted(k, _low(longer, order)), minlength=len(k))
-        return k, np.where((k >> U64(8 * order)) & U64(255) == 32, raw, other)
-
-    def spell(self, keys: np.ndarray) -> np.ndarray:
-        """Log ratio of each key."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for order in range(LONGEST, SHORTEST - 1, -1):
-            low = _low(keys[left], order)
-            at, v = self.seen[order].get(low)
-            out[left[at]] += v
-            rest = np.ones(len(left), bool)
-            rest[at] = False
-            left, low = left[rest], low[rest]
-            at, v = self.share[order].get(low >> U64(8))
-            out[left[at]] += v
-        return out
-
-    def evidence(self, w) -> np.ndarray:
-        """Sum of each document's words' log ratios beyond chance; every different word is spelt once."""
-        n = w.count
+    def __init__(self, keys: np.ndarray, counts: list[np.ndarray], known: np.ndarray, shared: np.ndarray):
+        """keys: spellings in the classes' sample; counts: how often the ordinary and the toxic class have them; shared: P of the known keys."""
+        heads, head = np.unique(keys >> U64(8), return_inverse=True)
+        rest = shared[np.searchsorted(known, keys)]
+        probs, shares = [], []
+        for n in counts:
+            total = np.bincount(head, weights=n, minlength=len(heads))
+            lost = np.bincount(head, weights=np.minimum(n, DISCOUNT), minlength=len(heads))
+            shares.append(np.where(total > 0, lost / np.maximum(total, 1), 1.0))
+            probs.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total[head], 1) + shares[-1][head] * rest)
+        self.seen = Table(keys, np.log(probs[1]) - np.log(probs[0]), 1)
+        self.share = Table(heads, np.log(shares[1]) - np.log(shares[0]), 2)
+
+    def ratios(self, w) -> np.ndarray:
+        """Log ratio of each word; every different word is spelt once."""
         if not len(w.hash):
-            return np.zeros(len(n))
+            return np.zeros(0)
         _, pick, which = np.unique(w.hash, return_index=True, return_inverse=True)
         keys, first = _spellings(w, pick)
-        ratio = np.add.reduceat(self.spell(keys), first)
-        ratio = np.sign(ratio) * np.clip(np.abs(ratio) - LEAST_LOG, 0, MOST_LOG)
-        sums = np.add.reduceat(np.append(ratio[which], 0.0), np.minimum(w.first[:-1], len(which)))
-        return np.where(n > 0, sums, 0.0)
+        each = np.zeros(len(keys))
+        at, v = self.seen.get(keys)
+        each[at] = v
+        new = np.ones(len(keys), bool)
+        new[at] = False
+        new = np.flatnonzero(new)
+        at, v = self.share.get(keys[new] >> U64(8))
+        each[new[at]] = v
+        return np.add.reduceat(each, first)[which]
+
+    def mean_ratio(self, w) -> np.ndarray:
+        """Each document's log-likelihood as a toxic one less that as an ordinary one, by its length.
+
+        A toxic document has toxic expressions among ordinary words, so its words come from both models, TOXIC_SHARE from the toxic one.
+        """
+        n = w.count
+        each = np.logaddexp(np.log(1 - TOXIC_SHARE), np.log(TOXIC_SHARE) + self.ratios(w))
+        sums = np.add.reduceat(np.append(each, 0.0), np.minimum(w.first[:-1], len(each))) if len(n) else np.zeros(0)
+        return np.where(n > 0, sums, 0.0) / (n + PRIOR_WORDS)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -183,12 +169,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return beta
 
 
-def design(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Evidence by length: the mean of a text's words, and its sum on the scale of chance, the root of their number."""
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(total)), total / (n + 10.0), total / np.sqrt(n)], 1)
-
-
 def _sample_words(rows: list[tuple]) -> Iterator[tuple[int, int, object]]:
     """(i, j, words of rows i to j), about CHUNK_BYTES of text at a time, as hashing words takes many times their bytes."""
     off = np.concatenate([[0], np.cumsum([len(t) for _, _, t in rows])]).astype(np.int64)
@@ -196,66 +176,110 @@ def _sample_words(rows: list[tuple]) -> Iterator[tuple[int, int, object]]:
         yield i, j, _words(np.frombuffer(b"".join(t for _, _, t in rows[i:j]), np.uint8), off[i : j + 1] - off[i])
 
 
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of both and the sums of their counts, one row a group."""
+    out, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    both = np.concatenate([counts, n], axis=1)
+    return out, np.stack([np.bincount(at, weights=x, minlength=len(out)) for x in both])
+
+
 def _key_counts(rows: list[tuple], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Different spelling keys of the rows' words, and how often each group of rows has them."""
-    keys, counts = np.zeros(0, U64), np.zeros((groups, 0))
+    keys, n = np.zeros(0, U64), np.zeros((groups, 0))
     for i, j, w in _sample_words(rows):
         if not len(w.hash):
             continue
         _, pick, which = np.unique(w.hash, return_index=True, return_inverse=True)
         spelt, first = _spellings(w, pick)
         of = group[i:j][w.doc]
-        n = np.stack([np.bincount(which[of == g], minlength=len(pick)) for g in range(groups)])
-        n = np.concatenate([counts, np.repeat(n, np.diff(np.append(first, len(spelt))), axis=1)], axis=1)
-        keys, at = np.unique(np.concatenate([keys, spelt]), return_inverse=True)
-        counts = np.stack([np.bincount(at, weights=x, minlength=len(keys)) for x in n])
-    return keys, counts
+        often = np.stack([np.bincount(which[of == g], minlength=len(pick)) for g in range(groups)]).astype(float)
+        keys, n = _added(keys, n, spelt, np.repeat(often, np.diff(np.append(first, len(spelt))), axis=1))
+    return keys, n
 
 
-def _fit(rows: list[tuple], shared: np.ndarray, odds: float) -> tuple[Model, np.ndarray]:
-    """rows: (hash, toxic, text); odds: ordinary labelled rows to a toxic one. Each half is scored by the models of the other to set the score's scale."""
+def _fit(rows: list[tuple], shared: tuple[np.ndarray, np.ndarray], amount: dict[int, int]) -> tuple[Model, np.ndarray]:
+    """rows: (hash, toxic, text); amount: labelled rows of each class. Each half is scored by the model of the other to set the score's scale."""
     y = np.array([t for _, t, _ in rows], int)
     half = np.array([h & 1 for h, _, _ in rows], int)
-    keys, counts = _key_counts(rows, 2 * half + y, 4)
+    keys, n = _key_counts(rows, 2 * half + y, 4)
 
     def model(*halves: int) -> Model:
-        classes = []
-        for c in (0, 1):
-            n = sum(counts[2 * k + c] for k in halves)
-            classes.append((keys[n > 0], n[n > 0]))
-        return Model(classes, shared)
-
-    if not len(rows) or not (0 < y.sum() < len(y)):  # one class only: nothing tells them apart
-        return model(0, 1), np.array([0.0 if not len(rows) else (2.0 if y.all() else -2.0), 0.0, 0.0])
-    total, length = np.zeros(len(rows)), np.zeros(len(rows))
+        both = [sum(n[2 * k + c] for k in halves) for c in (0, 1)]
+        some = both[0] + both[1] > 0
+        return Model(keys[some], [x[some] for x in both], *shared)
+
+    if not (0 < y.sum() < len(y)):  # one class only: nothing tells them apart
+        return model(0, 1), np.array([0.0 if not len(rows) else (2.0 if y.all() else -2.0), 0.0])
+    x = np.zeros(len(rows))
     for k in (0, 1):
         if 0 < y[half == k].sum() < (half == k).sum():
             other, places = model(k), np.flatnonzero(half != k)
             for i, j, w in _sample_words([rows[p] for p in places]):
-                total[places[i:j]], length[places[i:j]] = other.evidence(w), w.count
-    return model(0, 1), logistic(design(total, length), y, np.where(y == 1, 1.0, odds))
+                x[places[i:j]] = other.mean_ratio(w)
+    weight = np.array([amount[c] / max(1, (y == c).sum()) for c in (0, 1)])
+    return model(0, 1), logistic(np.stack([np.ones(len(x)), x], 1), y, (weight / weight.min())[y])
 
 
-def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the byte pairs of normalised text, one row a pair and batch."""
+@tidy
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spelling keys of all words and how often they occur, summed up over a task as far as HELD_GRAMS."""
+    keys, n = np.zeros(0, U64), np.zeros((1, 0))
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n[0].astype(np.int64))], ["key", "n"])
+
     for batch in batches:
-        n = np.zeros(1 << 16, np.int64)
         raw, off = byte_view(batch.column(0))
         for i, j in chunks(off):
-            b = np.frombuffer(raw[off[i] : off[j]].tobytes().translate(_NORMAL.tobytes()), np.uint8).astype(np.int64)
-            n += np.bincount(b[:-1] * 256 + b[1:], minlength=1 << 16)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["pair", "n"])
+            w = _words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            if not len(w.hash):
+                continue
+            _, pick, often = np.unique(w.hash, return_index=True, return_counts=True)
+            spelt, first = _spellings(w, pick)
+            keys, n = _added(keys, n, spelt, np.repeat(often, np.diff(np.append(first, len(spelt))))[None, :].astype(float))
+            if len(keys) >= HELD_GRAMS:
+                yield out()
+                keys, n = keys[:0], n[:, :0]
+    yield out()
+
+
+def _orders(grams: DataFrame, count: str) -> DataFrame:
+    """A row for each order of each key: the last bytes of its context and its byte."""
+    mask = lambda o: F.lit(-1 if o == LONGEST else (1 << 8 * (o + 1)) - 1).cast("long")
+    orders = F.array(*(F.struct(F.lit(o).alias("o"), F.col("key").bitwiseAND(mask(o)).alias("key")) for o in range(LONGEST + 1)))
+    return grams.select(F.explode(orders).alias("k"), count).select("k.o", "k.key", count)
+
+
+def corpus_counts(texts: DataFrame, sample: DataFrame, text_col: str = "text") -> DataFrame:
+    """(o, key, n, total, left): Kneser-Ney counts in all texts, of every order, for the keys that the sample has.
+
+    The counts of all n-grams are a distributed table that grows with the corpus; what the sample has of them is bounded by the
+    sample. n counts occurrences at the longest order and in contexts that begin a word, at the others different bytes before.
+    """
+    kind = "key long, n long"
+    whole = written(texts.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(_gram_counts, kind).groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+    raw = written(_orders(whole, "n").groupBy("o", "key").agg(F.sum("n").alias("n")), "ngrams")
+    low = F.expr(f"element_at(array({', '.join(str((1 << 8 * o) - 1) + 'L' for o in range(1, LONGEST + 1))}), o)")
+    kinds = raw.where("o > 0").select((F.col("o") - 1).alias("o"), F.col("key").bitwiseAND(low).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("kinds"))
+    both = raw.withColumn("kinds", F.lit(0)).unionByName(kinds).groupBy("o", "key").agg(F.sum("n").alias("raw"), F.sum("kinds").alias("kinds"))
+    begins = F.expr("o > 0 AND (shiftrightunsigned(key, 8 * o) & 255) = 32")
+    counts = written(both.select("o", "key", F.when((F.col("o") == LONGEST) | begins, F.col("raw")).otherwise(F.col("kinds")).alias("n"), F.shiftrightunsigned("key", 8).alias("head")), "ngrams")
+    heads = counts.groupBy("o", "head").agg(F.sum("n").alias("total"), F.sum(F.least(F.col("n").cast("double"), F.lit(DISCOUNT))).alias("left"))
+    wanted = _orders(sample.select(text_col).mapInArrow(_gram_counts, kind), "n").select("o", "key").distinct()
+    out = written(counts.join(wanted, ["o", "key"]).join(heads, ["o", "head"]).select("o", "key", "n", "total", "left"), "ngrams-wanted")
+    dropped(whole, raw, counts)
+    return out
 
 
 def _scorer(sent):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, beta = _model(sent)
         for batch in batches:
             raw, off = byte_view(batch.column(1))
             for i, j in chunks(off):
                 w = _words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                z = design(model.evidence(w), w.count) @ beta
+                z = beta[0] + beta[1] * model.mean_ratio(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
 
     return run
@@ -273,11 +297,12 @@ def _model(sent) -> tuple[Model, np.ndarray]:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
-    The models see the labelled rows that are not held out, whole: as many of either class, at most train_docs. The shared
-    counts come from all documents. The driver gets the sample, which the bound limits, and the 65,536 counts of byte
-    pairs, fits the two models and broadcasts their log ratios. A score depends on a text alone: null, empty and
+    The class models see the labelled rows that are not held out, whole, at most train_docs of either class; the counts that
+    they share come from all documents. The driver gets the sample and the corpus's counts of the n-grams in it, both
+    limited by train_docs, fits the models and broadcasts their log ratios. A score is the logistic function of a text's log-likelihood ratio by
+    its length, on a scale that is fitted to rows scored by a model that has not seen them. A score depends on a text alone: null, empty and
     blank texts get that of no evidence. An id with several labels counts once, toxic if any is; repeated rows are scored one
-    by one. Without labels of both classes all scores are alike. Empty tables give empty results.
+    by one. Without labels of both classes all scores are alike. Other columns aren't read. Empty tables give empty results.
     """
     from .decontaminate import _Block
 
@@ -285,17 +310,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = known.withColumn("h", F.xxhash64("id"))
-    amount = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    each = min(train_docs, *(amount.get(y, 0) for y in (0, 1))) or train_docs
-    chosen = known.where("y = 0").orderBy("h", "id").limit(each).unionByName(known.where("y = 1").orderBy("h", "id").limit(each))
+    amount = {0: 0, 1: 0} | {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = known.where("y = 0").orderBy("h", "id").limit(train_docs).unionByName(known.where("y = 1").orderBy("h", "id").limit(train_docs))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = written(texts.where("text IS NOT NULL").join(F.broadcast(chosen.select("id", "y", "h")), "id"), "toxic-sample")
-    shared = np.zeros(1 << 16)
-    for r in texts.where("text IS NOT NULL").select("text").mapInArrow(_byte_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        shared[r.pair] = r.n
+    wanted = corpus_counts(texts, sample)
+    got = [wanted.select(c).toArrow().column(0).to_numpy() for c in wanted.columns]
+    shared = shared_probabilities(got[0], got[1].astype(np.int64).view(U64), *got[2:])
     rows = sorted(((r.h, r.y, r.text.encode()) for r in sample.toLocalIterator()), key=lambda r: (r[0], r[2]))
-    fitted = _fit(rows, shared, amount.get(0, 0) / max(1, amount.get(1, 0)))
-    block = _Block(uuid.uuid4().hex, spark.sparkContext.broadcast(fitted))
-    del rows
+    dropped(sample, wanted)
+    block = _Block(uuid.uuid4().hex, spark.sparkContext.broadcast(_fit(rows, shared, amount)))
+    del rows, got, shared
     scored = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(_scorer(block), f"id {dict(docs.dtypes)[id_col]}, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
