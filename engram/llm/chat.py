@@ -18,10 +18,11 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     system's stay; concatenating segment by position gives the whole. mask is 1 on the assistant's turns; of those
     [train_start, train_end) are the characters, counted in the whole rendering, of the text and the closing mark.
 
-    Turns are in order of turn (nulls last), speaker, text. A null speaker is called unknown, a null text is empty, a null
-    conversation is one conversation. Marks within a text are broken up by a space, so a text can't open a turn. Speakers
+    Turns are in order of turn, speaker, text; those without a number come last, in order of a hash of speaker and text. A null
+    speaker is called unknown, a null text is empty, a null conversation is one conversation. Marks within a text or a name are
+    broken up by a space, and line breaks within a name are one, so neither can open a turn. Speakers
     other than the system are participants; a conversation of the system alone has none, and no rows. Repeated
-    rows are turns of their own. Other columns aren't read.
+    rows are turns of their own. Other columns aren't read; an empty table gives an empty result.
 
     A conversation may hold any share of all rows. It is never gathered: positions and starts are sums of three short
     windows - within a turn number, over turn numbers in a block of BLOCK_TURNS, over blocks - joined by key.
@@ -36,10 +37,11 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     who = t.where(F.col("speaker") != system).select("_c", F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when((F.col("speaker") != system) & ~own, F.col("speaker"))
+    shown = F.regexp_replace(F.replace("speaker", F.lit("<|im_"), F.lit("< |im_")), r"[\r\n]+", " ")
+    name = F.when((F.col("speaker") != system) & ~own, shown)
     head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    # the turn number stands for nulls last, and its block for a window's share of a conversation
-    t = t.withColumn("_t", F.coalesce("turn", F.lit((1 << 63) - 1)))
+    # turns without a number get one beyond all others, and a turn's block is a window's share of a conversation
+    t = t.withColumn("_t", F.coalesce("turn", F.lit(1 << 62) + F.pmod(F.xxhash64("speaker", "text"), F.lit(1 << 20))))
     rows = t.join(who, "_c").select(
         "_c", "_conv", "perspective", "turn", "_t", "speaker", "text", F.expr(f"_t div {BLOCK_TURNS}").alias("_b"), role.alias("role"), name.alias("name"),
         F.concat(head, "text", F.lit(CLOSE + "\n")).alias("segment"), F.length(head).cast("long").alias("_head"),

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._base import tidy
 from ._text import U64, byte_view, chunks
 
 #: q-grams are Q bytes, so a gram is one 64-bit number and grams are compared exactly.
@@ -186,6 +187,7 @@ def _found(column: pa.Array, items: Items) -> Iterator[tuple[int, int, list[dict
 
 
 def _scan(block, rate: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items(block, rate)
         for batch in batches:
@@ -197,6 +199,7 @@ def _scan(block, rate: float):
 
 
 def _clean(block, rate: float, text: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items(block, rate)
         for batch in batches:

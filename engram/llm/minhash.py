@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._base import dropped, released, written
+from ._base import dropped, released, tidy, written
 from ._text import U64, byte_view, chunks, mix64, shingle_sets, words_of
 from .components import connected_components
 
@@ -52,6 +52,7 @@ def _signature(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketches(ngram: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
@@ -74,6 +75,7 @@ def _sketches(ngram: int):
     return run
 
 
+@tidy
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each order: its key is KEY values of the signature from the order's start, round the end."""
     for batch in batches:
@@ -128,6 +130,7 @@ def _neighbours(threshold: float, far: int):
         none = pa.nulls(m, pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array(np.ones(m, bool)), *(pa.array(x[c][at]) for c in names)], ["a", "b", "stub", *names])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = None
         for batch in batches:
@@ -173,6 +176,7 @@ def _stub_pairs(rows: DataFrame, threshold: float, far: int) -> DataFrame:
 
 
 def _sets(ngram: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
@@ -187,6 +191,7 @@ def _sets(ngram: int):
 def _confirmed(numerator: int, denominator: int):
     """Pairs with denominator * |intersection| >= numerator * |union|."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []

@@ -13,24 +13,29 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Risk:
-    """A cutoff of a rule is used in a stratum only if it is certain enough that it rejects few good rows.
+    """Steps of a path of stricter and stricter cutoffs, of which a stratum goes as many as are certain enough to reject few good rows.
 
-    alpha: share of good rows that a rule may reject in a stratum. delta: probability that any cutoff in
-    use breaks that, over all rules, cutoffs and strata. grid: rule -> cutoffs; a value above a cutoff
-    is rejected. The cutoffs are fixed numbers, not fitted, so all labelled rows are holdouts.
+    alpha: share of good rows that all rules together may reject in a stratum. delta: probability that this is broken in any
+    stratum. grid: rule -> cutoffs, lenient first; a value above a cutoff is rejected. Each cutoff is a step. The cutoffs
+    are fixed numbers, not fitted, so all labelled rows are holdouts.
     """
 
     alpha: float = 0.02
     delta: float = 0.05
     grid: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
-            "symbol_ratio": (0.02, 0.05, 0.1, 0.2, 0.3),
-            "dup_line_ratio": (0.2, 0.3, 0.4, 0.5, 0.7),
-            "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.25),
-            "bang_ratio": (0.02, 0.05, 0.1, 0.15, 0.2),
+            "symbol_ratio": (0.3, 0.2, 0.1, 0.05, 0.02),
+            "dup_line_ratio": (0.7, 0.5, 0.4, 0.3, 0.2),
+            "repeat_ratio": (0.25, 0.2, 0.15, 0.1, 0.05),
+            "bang_ratio": (0.2, 0.15, 0.1, 0.05, 0.02),
         }
     )
 
+    def steps(self) -> list[tuple[str, float]]:
+        """(rule, cutoff), the lenient cutoffs of all rules first."""
+        depth = max(map(len, self.grid.values()))
+        return [(f, cuts[k]) for k in range(depth) for f, cuts in self.grid.items() if k < len(cuts)]
+
 
 RISK = Risk()
 
@@ -130,22 +135,30 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 5000) -> Column:
     return F.when(k < p * n, F.least(F.lit(1.0), F.exp(log_top) * total)).otherwise(1.0)
 
 
-def risk_cutoffs(labelled: DataFrame, stratum: str, risk: Risk = RISK) -> DataFrame:
-    """(stratum, a column for each rule): the strictest cutoff that is safe there, null where none is.
+def risk_cutoffs(rows: DataFrame, stratum: str, good: str, risk: Risk = RISK) -> DataFrame:
+    """(stratum, a column for each rule): the strictest cutoffs that are safe there, null where none is.
 
-    labelled: features of good rows. A cutoff is safe if P(X <= rejected | n, alpha) <= delta / tests: the exact
-    (Clopper-Pearson) upper bound of its false rejection is then at most alpha, and with the Bonferroni
-    division all bounds hold together. Strata with few labels get no cutoff and lose no row.
+    rows: features; good: 1 for the holdouts, rows labelled good, 0 for those labelled bad, null for rows without a label. A stratum's
+    path takes the steps that reject fewest of its unlabelled rows first. After each step the rules so far are safe if P(X <=
+    rejected | n, alpha) <= delta / strata, rejected being the holdouts that any of them rejects: the exact
+    (Clopper-Pearson) upper bound of their false rejection is then at most alpha. The steps are tested in order up to the first that
+    fails, which needs no correction for their number (fixed-sequence testing: the holdouts have no part in the order, and
+    a stratum goes wrong only by passing the first unsafe step); strata are corrected by Bonferroni, so all bounds hold
+    together. Strata with few holdouts get no cutoff and lose no row.
     """
-    tests = sum(len(c) for c in risk.grid.values())
-    counts = [F.sum((labelled[f] > c).cast("long")).alias(f"{f}_{i}") for f, cs in risk.grid.items() for i, c in enumerate(cs)]
-    per = labelled.groupBy(stratum).agg(F.count("*").alias("n"), *counts).withColumn("strata", F.count("*").over(Window.partitionBy()))
-    limit = F.lit(risk.delta) / (F.col("strata") * tests)
-    best = [
-        F.least(*(F.when(binomial_tail(F.col(f"{f}_{i}"), F.col("n"), risk.alpha) <= limit, F.lit(c)) for i, c in enumerate(cs)), F.lit(None).cast("double")).alias(f"cut_{f}")
-        for f, cs in risk.grid.items()
-    ]
-    return per.select(stratum, *best)
+    steps = risk.steps()
+    over = [rows[f] > c for f, c in steps]
+    free = rows.where(F.col(good).isNull()).groupBy(F.col(stratum).alias("_s")).agg(F.transform(F.array_sort(F.array(*(F.struct(F.sum(x.cast("long")), F.lit(i).alias("i")) for i, x in enumerate(over)))), lambda x: x["i"]).alias("_order"))
+    held = rows.where(F.col(good) == 1).select(F.col(stratum), F.array(*over).alias("_over"))
+    held = held.join(free, F.col(stratum).eqNullSafe(F.col("_s")), "left").withColumn("_order", F.coalesce("_order", F.array(*map(F.lit, range(len(steps))))))
+    # how many steps a row outlives; its first violated one in the stratum's order
+    first = F.least(*(F.when(F.get("_over", F.lit(i)), F.array_position("_order", i)) for i in range(len(steps))), F.lit(len(steps) + 1).cast("long"))
+    per = held.withColumn("_first", first).groupBy(stratum, "_order").agg(F.count("*").alias("n"), *(F.sum((F.col("_first") <= j).cast("long")).alias(f"_k{j}") for j in range(1, len(steps) + 1)))
+    limit = F.lit(risk.delta) / F.count("*").over(Window.partitionBy())
+    # rejections only grow along the path, so where a step passes those before it do
+    per = per.withColumn("_went", F.greatest(F.lit(0), *(F.when(binomial_tail(F.col(f"_k{j}"), F.col("n"), risk.alpha) <= limit, F.lit(j)) for j in range(1, len(steps) + 1))))
+    cut = lambda f: F.least(*(F.when(F.array_position("_order", i) <= F.col("_went"), F.lit(c)) for i, (g, c) in enumerate(steps) if g == f), F.lit(None).cast("double"))
+    return per.select(stratum, *(cut(f).alias(f"cut_{f}") for f in risk.grid))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", label_col: str = "quality", risk: Risk = RISK) -> DataFrame:
@@ -154,11 +167,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labels(id, quality): the rows with quality 1 hold out what must not be rejected; a document labelled twice
     is good if all its labels are 1, null labels don't count. kept is false if the base fails or a feature
     exceeds its stratum's cutoff. Null texts count as empty and fail the base; null ids are judged
-    like others but hold out nothing; a null stratum is a stratum. Empty labels give no cutoffs. Other columns
-    aren't read.
+    like others but hold out nothing; a null stratum is a stratum. Empty labels give no cutoffs, an empty table an empty
+    result. Other columns aren't read.
     """
     stats = written(text_statistics(docs.select(F.col(id_col), F.col(text_col), F.col(stratum).cast("string").alias("_stratum")), id_col, text_col, ("_stratum",)), "quality")
-    cuts = risk_cutoffs(_holdouts(stats, labels, id_col, label_col), "_stratum", risk)
+    cuts = risk_cutoffs(_marked(stats, labels, id_col, label_col), "_stratum", "_good", risk)
     return _judged(stats, cuts, risk).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -166,22 +179,21 @@ def quality_filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """The rows of docs that quality_verdicts keeps, with all their columns, judged where they are: no text is shuffled.
 
     Statistics of all rows are made first, as numbers, for the cutoffs; then each text is measured again where it is judged,
-    which costs less than to bring the numbers to the texts by a shuffle.
+    which costs less than to bring the numbers to the texts by a shuffle. Columns may have any names. Nulls, empty texts and tables as
+    in quality_verdicts.
     """
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(stratum).cast("string").alias("_stratum"))
     stats = written(text_statistics(sample, "_id", "_text", ("_stratum",)), "quality")
-    cuts = written(risk_cutoffs(_holdouts(stats, labels.withColumnRenamed(id_col, "_id"), "_id", label_col), "_stratum", risk), "cutoffs")
+    cuts = written(risk_cutoffs(_marked(stats, labels.withColumnRenamed(id_col, "_id"), "_id", label_col), "_stratum", "_good", risk), "cutoffs")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(stratum).cast("string").alias("_stratum"))
     return _judged(text_statistics(rows, "_row", "_text", ("_stratum",)), cuts, risk).where("kept").select("_row.*")
 
 
-def _good(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+def _marked(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """Rows that the base passes, with _good: 1 if all labels of the id are 1, 0 if not, null without a label."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    return known.groupBy(F.col(id_col)).agg(F.min(label_col).alias("_good")).where("_good = 1").select(id_col)
-
-
-def _holdouts(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    return stats.withColumns(features()).where(~base_failed()).join(_good(labels, id_col, label_col), id_col, "left_semi")
+    known = known.groupBy(F.col(id_col).alias("_labelled")).agg((F.min(label_col) == 1).cast("int").alias("_good"))
+    return stats.withColumns(features()).where(~base_failed()).join(known, F.col(id_col) == F.col("_labelled"), "left")
 
 
 def _judged(stats: DataFrame, cuts: DataFrame, risk: Risk) -> DataFrame:

@@ -8,7 +8,7 @@ from ._base import table, word_count, written
 from .chat import CLOSE, OPEN, perspectives
 from .decontaminate import leaks
 from .minhash import minhash_components
-from .mixing import CELL_ROWS, DRAWS, mixed
+from .mixing import mixed
 from .quality import RISK, quality_verdicts
 from .repeats import without_repeats
 from .tokens import token_output
@@ -94,9 +94,9 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(oth
 
 def _op2() -> str:
     ratio = {"symbol_ratio": "n_symbols::DOUBLE / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines::DOUBLE / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words::DOUBLE / greatest(n_words, 1)", "bang_ratio": "n_bangs::DOUBLE / greatest(word_chars, 1)"}
-    tests = [(f, c) for f, cs in RISK.grid.items() for c in cs]
-    cases = " UNION ALL ".join(f"SELECT lang, '{f}' AS f, {c}::DOUBLE AS cut, count(*) AS n, count(*) FILTER ({f} > {c}) AS k FROM good GROUP BY lang" for f, c in tests)
-    a = RISK.alpha
+    a, steps = RISK.alpha, list(enumerate(RISK.steps()))
+    rejected = " UNION ALL ".join(f"SELECT lang, {i} AS i, count(*) FILTER ({f} > {c}) AS n FROM free GROUP BY lang" for i, (f, c) in steps)
+    hits = " UNION ALL ".join(f"SELECT doc_id, good.lang, r FROM good JOIN path ON path.lang IS NOT DISTINCT FROM good.lang AND i = {i} WHERE {f} > {c}" for i, (f, c) in steps)
     tail = f"CASE WHEN k < {a} * n THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) ELSE 1 END"
     fails = " OR ".join(f"coalesce({f} > (SELECT min(cut) FROM safe WHERE safe.lang IS NOT DISTINCT FROM x.lang AND safe.f = '{f}'), false)" for f in RISK.grid)
     return rf"""
@@ -109,18 +109,25 @@ stat AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_strin
     coalesce(line.n - line.u, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(line.n, 0) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_bangs
     FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN line ON line.doc_id = w.doc_id),
 x AS (SELECT *, {', '.join(f'{e} AS {f}' for f, e in ratio.items())}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stat),
-good AS (SELECT x.* FROM x WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
-tests AS ({cases}),
-safe AS (SELECT lang, f, cut FROM tests WHERE {tail} <= {RISK.delta} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM good)) * {len(tests)}))
+l AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+good AS (SELECT x.* FROM x JOIN l ON l.doc_id = x.doc_id WHERE q = 1 AND NOT base_failed),
+free AS (SELECT x.* FROM x ANTI JOIN l ON l.doc_id = x.doc_id WHERE NOT base_failed),
+step(i, f, cut) AS (VALUES {', '.join(f"({i}, '{f}', {c}::DOUBLE)" for i, (f, c) in steps)}),
+n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+path AS (SELECT n.lang, step.*, row_number() OVER (PARTITION BY n.lang ORDER BY coalesce(j.n, 0), step.i) AS r FROM n CROSS JOIN step LEFT JOIN ({rejected}) j ON j.lang IS NOT DISTINCT FROM n.lang AND j.i = step.i),
+first AS (SELECT doc_id, lang, min(r) AS r FROM ({hits}) GROUP BY doc_id, lang),
+tests AS (SELECT path.lang, path.r, any_value(n.n) AS n, count(first.doc_id) AS k FROM path JOIN n ON n.lang IS NOT DISTINCT FROM path.lang LEFT JOIN first ON first.lang IS NOT DISTINCT FROM path.lang AND first.r <= path.r GROUP BY path.lang, path.r),
+went AS (SELECT lang, max(r) AS r FROM tests WHERE {tail} <= {RISK.delta} / (SELECT count(*) FROM n) GROUP BY lang),
+safe AS (SELECT path.* FROM path JOIN went ON went.lang IS NOT DISTINCT FROM path.lang AND path.r <= went.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {fails}) AS kept FROM x
 """
 
 
-_OP3 = f"""
+_OP3 = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (SELECT t.conv_id, perspective, turn, speaker, text, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-    CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+    CASE WHEN speaker <> 'system' AND speaker <> perspective THEN regexp_replace(replace(speaker, '<|im_', '< |im_'), '[\r\n]+', ' ', 'g') END AS name FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
 h AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM r),
 s AS (SELECT *, head || text || '{CLOSE}' || chr(10) AS segment FROM h),
 o AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
@@ -147,12 +154,9 @@ c AS (SELECT *, 2 * ss AS cap, (2 * ss)::DOUBLE / w::DOUBLE AS ratio, sum(ss) OV
 v AS (SELECT *, (1.5 * every_size::DOUBLE - (sum(cap) OVER o - cap)::DOUBLE) / (every_w - sum(w) OVER o + w)::DOUBLE AS level FROM c WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT arg_min(level, ratio) AS level FROM v WHERE level <= ratio),
 g AS (SELECT v.source, v.key, ss, CASE WHEN ratio < l.level THEN cap::DOUBLE ELSE l.level * w::DOUBLE END AS target FROM v, l),
-r AS (SELECT doc_id, d.key, size, ss, target, CASE WHEN ss > 0 THEN target / ss::DOUBLE ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY d.key ORDER BY size, (doc_id % (SELECT greatest(1, (count(*) + {CELL_ROWS - 1}) // {CELL_ROWS}) FROM d)), doc_id) AS k FROM d JOIN g ON g.key = d.key),
-u AS (SELECT key, j, ('0x' || substr(md5('mix:' || j || ':' || key), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM s, (SELECT unnest(range(0, {DRAWS})) AS j)),
-t AS (SELECT r.key, u.j, u.u, abs(sum((floor(k::DOUBLE * rate + u.u) - floor((k - 1)::DOUBLE * rate + u.u))::BIGINT * size)::DOUBLE - any_value(target)) AS miss FROM r JOIN u ON u.key = r.key GROUP BY r.key, u.j, u.u),
-b AS (SELECT key, u FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY miss, j) = 1)
-SELECT doc_id, size, ss AS source_size, target, ((floor(k::DOUBLE * rate + u) - floor((k - 1)::DOUBLE * rate + u))::BIGINT * size)::BIGINT AS taken FROM r JOIN b ON b.key = r.key
+r AS (SELECT doc_id, size, ss, target, CASE WHEN ss > 0 THEN target / ss::DOUBLE ELSE 0 END AS rate, ('0x' || substr(md5('mix:' || d.key), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u,
+    row_number() OVER (PARTITION BY d.key ORDER BY size, doc_id) AS k FROM d JOIN g ON g.key = d.key)
+SELECT doc_id, size, ss AS source_size, target, ((floor(k::DOUBLE * rate + u) - floor((k - 1)::DOUBLE * rate + u))::BIGINT * size)::BIGINT AS taken FROM r
 """
 
 

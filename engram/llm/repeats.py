@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import dropped, released, written
+from ._base import dropped, released, tidy, written
 from ._text import U64, byte_view, chunks, grams, spread, words_of
 from .fmindex import FMIndex
 
@@ -74,6 +74,7 @@ def _digest(words: bytes) -> bytes:
 def _sketch(window: int):
     """A row for each segment, and one with windows = 0 and the digest of its words for each document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
@@ -95,6 +96,7 @@ def _sketch(window: int):
 def _contents(window: int):
     """The words of the segments that a document's row lists, and their digest."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
@@ -168,6 +170,7 @@ def _searched(window: int):
     def shard_of(rows: list[tuple]) -> Shard:
         return Shard(pa.array([r[3] for r in rows], pa.binary()), np.array([r[4] for r in rows], np.int64), window)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group: tuple | None = None
@@ -201,6 +204,7 @@ def _searched(window: int):
 def _kept(window: int, with_text: bool):
     """n_words, n_removed, the kept words' digest and text, from a row's starts of repeated windows."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column("text"))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import simple8b
-from ._base import work_path, written
+from ._base import tidy, work_path, written
 from ._files import Replaced, opened
 from ._text import _NOT_SPACE, byte_view, chunks, spread, words_of
 
@@ -119,6 +119,7 @@ def encode_texts(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int
 def _writer(folder: str, tokenizer: str, end_id: int):
     """One file for each partition; a file holds ids, then a footer: block offsets, document ids and sizes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

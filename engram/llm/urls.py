@@ -8,10 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._base import written
+from ._base import tidy, written
 
-#: Bytes of rules that every task may hold. A larger rule table is range-partitioned with the urls.
-MOST_RULE_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -30,34 +28,31 @@ def reversed_host(host) -> Column:
 
 
 class Sweep:
-    """Rules as nested intervals of reversed hosts; keys must come in ascending order.
+    """The rules' hosts that cover the key that a sorted sweep is at, outermost first, each with its sorted paths.
 
-    A host key k covers [k, k + U+10FFFF): those of its subdomains. The stack holds the rules' hosts that cover the current
-    key, outermost first; each has its paths sorted. Of the rules that fit, the longest host and path
-    together win, then the longer host, then the verdict first in code point order.
+    A host key k covers [k, k + U+10FFFF): itself and its subdomains. Keys, and paths of equal keys, must come in ascending order.
+    Of the rules that fit, the longest host and path together win, then the longer host, then the verdict first in code point order.
     """
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        by: dict[str, dict[str, str]] = {}
-        for key, path, verdict in rules:
-            paths = by.setdefault(key, {})
-            paths[path] = min(verdict, paths.get(path, verdict))
-        self.hosts = sorted((k, sorted(p), p) for k, p in by.items())
-        self.next, self.stack, self.last = 0, [], ""
+    def __init__(self):
+        self.stack: list[tuple[str, list[str], dict[str, str]]] = []
 
-    def find(self, key: str, path: str) -> tuple[str, str, str] | None:
-        """(reversed host, path, verdict) of the rule that wins."""
-        if key < self.last:
-            self.next, self.stack = 0, []
-        self.last = key
-        while self.next < len(self.hosts) and self.hosts[self.next][0] <= key:
-            top = self.hosts[self.next]
-            while self.stack and not top[0].startswith(self.stack[-1][0]):
-                self.stack.pop()
-            self.stack.append(top)
-            self.next += 1
+    def at(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
             self.stack.pop()
+
+    def rule(self, key: str, path: str, verdict: str) -> None:
+        self.at(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, [], {}))
+        _, paths, verdicts = self.stack[-1]
+        if path not in verdicts:
+            paths.append(path)
+        verdicts[path] = min(verdict, verdicts.get(path, verdict))
+
+    def find(self, key: str, path: str) -> tuple[str, str, str] | None:
+        """(reversed host, path, verdict) of the rule that wins."""
+        self.at(key)
         best = None
         for host, paths, verdicts in self.stack:
             p = self._longest(paths, path)
@@ -80,79 +75,55 @@ class Sweep:
         return None
 
 
-def _judge(sweep: Sweep, keys: list, paths: list, default: str) -> tuple[list, list]:
-    rules, verdicts = [], []
-    for key, path in zip(keys, paths):
-        hit = sweep.find(key, path)
-        rules.append(".".join(reversed(hit[0][:-1].split("."))) + hit[1] if hit else None)
-        verdicts.append(hit[2] if hit else default)
-    return rules, verdicts
-
-
-def _in_place(rules: list, default: str):
-    """Each batch is put in order, swept, and put back: no shuffle at all."""
+def _swept(id_col: str, default: str):
+    """Rows in order of range, key, rules first, path: rules go on the stack, urls are judged by it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        sweep = Sweep(rules)
+        sweep, now = Sweep(), None
         for batch in batches:
-            order = pc.sort_indices(batch, [("_key", "ascending")])
-            b = batch.take(order)
-            got = _judge(sweep, b.column("_key").to_pylist(), b.column("path").to_pylist(), default)
-            keep = [n for n in b.schema.names if n != "_key"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(got[0], pa.string()), pa.array(got[1], pa.string())], [*keep, "rule", "verdict"])
+            urls, rules, verdicts = [], [], []
+            for i, (part, is_url, key, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "is_url", "key", "path", "verdict")))):
+                if part != now:
+                    sweep, now = Sweep(), part
+                if not is_url:
+                    sweep.rule(key, path, verdict)
+                    continue
+                hit = sweep.find(key, path)
+                urls.append(i)
+                rules.append(".".join(reversed(hit[0][:-1].split("."))) + hit[1] if hit else None)
+                verdicts.append(hit[2] if hit else default)
+            b = batch.take(pa.array(urls, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], [id_col, "host", "path", "rule", "verdict"])
 
     return run
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_rule_bytes: int = MOST_RULE_BYTES, ranges: int | None = None) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages. rules(host, path, verdict).
 
     host is what follows the first :// up to / ? # or the end, A-Z lower-cased; path goes on up to ? or #.
     Null urls and those without :// have both empty and match only rules with an empty host, of
     which there are none: such rules, and rules with a null, are ignored. A rule fits its host and subdomains
     where the path starts with its own; the longest wins. Rows without a rule get the default verdict.
-    Repeated urls and ids are judged row by row; an empty table gives an empty result.
+    Repeated urls and ids are judged row by row; other columns aren't read; an empty table gives an empty result.
 
-    Rules of up to most_rule_bytes are held by every task, which sweeps the urls where they are. Beyond that
-    size urls and rules meet by range: see _by_range.
+    Urls are cut into ranges of (reversed host, path, hash of the id), so that a host, or a url, of any share of all rows is many
+    ranges of about the same size. A rule goes to each range that meets the interval of its host; the ranges' borders, one pair a partition,
+    are what the driver sees. Each range is one sorted stream of rules and urls: a task holds the rules that cover
+    the key where it is, and nothing else.
     """
     clean = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL AND host <> ''")
-    clean = clean.select(reversed_host(F.translate("host", _UPPER, _LOWER)).alias("key"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.withColumn("_key", F.when(F.col("host") == "", "").otherwise(reversed_host(F.col("host"))))
-    schema = f"{id_col} {dict(urls.dtypes)[id_col]}, host string, path string, rule string, verdict string"
-    size = clean.agg(F.sum(F.octet_length("key") + F.octet_length("rule_path") + F.octet_length("rule_verdict") + 100)).first()[0] or 0
-    if size <= most_rule_bytes:
-        return urls.mapInArrow(_in_place([tuple(r) for r in clean.collect()], default), schema)
-    return _by_range(urls, clean, default, schema, ranges or max(2, -(-size // most_rule_bytes)))
-
-
-def _by_range(urls: DataFrame, rules: DataFrame, default: str, schema: str, ranges: int) -> DataFrame:
-    """Both sides cut at the same rule hosts; rules go to every range that their interval meets.
-
-    The borders are quantiles of the rule hosts (ranges numbers to the driver), so a range's rules are bounded:
-    those that begin in it, and the few covering its first key. Its urls may be any number: they are split in
-    parts, of which each is a group with a copy of the range's rules; a hot host is many groups.
-    """
-    import pyarrow.compute as pc
-
-    rules = written(rules.distinct(), "rules")
-    sample = sorted(r[0] for r in rules.select("key").distinct().sample(min(1.0, 2000 * ranges / max(1, rules.count())), 7).collect())
-    borders = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
-    cuts = F.array(*map(F.lit, borders)) if borders else F.array().cast("array<string>")
-    spot = lambda k: F.size(F.filter(cuts, lambda b: b <= k))
-    parts = 16
+    clean = clean.select(reversed_host(F.translate("host", _UPPER, _LOWER)).alias("key"), F.col("path"), F.col("verdict")).distinct()
+    kind = dict(pages.dtypes)[id_col]
+    urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    urls = urls.withColumn("key", F.when(F.col("host") == "", "").otherwise(reversed_host(F.col("host"))))
+    urls = written(urls.repartitionByRange(F.col("key"), F.col("path"), F.xxhash64("id")).withColumn("range", F.spark_partition_id()), "urls")
+    borders = urls.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    spans = F.array(*(F.struct(F.lit(r.range).alias("range"), F.lit(r.low).alias("low"), F.lit(r.high).alias("high")) for r in borders)) if borders else F.array().cast("array<struct<range:int,low:string,high:string>>")
     last = F.concat("key", F.lit("\U0010ffff"))
-    r = rules.withColumn("_range", F.explode(F.sequence(spot(F.col("key")), spot(last)))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    u = urls.withColumn("_range", spot(F.col("_key"))).withColumn("_part", F.pmod(F.xxhash64("path", urls.columns[0]), F.lit(parts)).cast("int"))
-
-    def run(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep([x for b in right for x in zip(*(b.column(c).to_pylist() for c in ("key", "rule_path", "rule_verdict")))])
-        for batch in left:
-            b = batch.take(pc.sort_indices(batch, [("_key", "ascending")]))
-            got = _judge(sweep, b.column("_key").to_pylist(), b.column("path").to_pylist(), default)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names[:3]), pa.array(got[0], pa.string()), pa.array(got[1], pa.string())], [b.schema.names[0], "host", "path", "rule", "verdict"])
-
-    return u.groupBy("_range", "_part").cogroup(r.groupBy("_range", "_part")).applyInArrow(lambda a, b: pa.Table.from_batches(list(run(iter(a.to_batches()), iter(b.to_batches())))) if a.num_rows else pa.table({n: pa.array([], t) for n, t in [(schema.split()[0], a.schema.field(0).type), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())]}), schema)
+    met = clean.withColumn("span", F.explode(F.filter(spans, lambda b: (b["high"] >= F.col("key")) & (b["low"] < last))))
+    met = met.select("span.range", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("host"), "path", "key", F.lit(False).alias("is_url"), "verdict")
+    both = urls.select("range", "id", "host", "path", "key", F.lit(True).alias("is_url"), F.lit(None).cast("string").alias("verdict")).unionByName(met)
+    both = both.repartition("range").sortWithinPartitions("range", "key", "is_url", "path")
+    return both.mapInArrow(_swept(id_col, default), f"{id_col} {kind}, host string, path string, rule string, verdict string")

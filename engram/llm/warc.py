@@ -11,7 +11,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import work_path, written
+from ._base import tidy, work_path, written
 from ._files import Replaced, opened
 
 DATE = "2024-01-01T00:00:00Z"
@@ -65,6 +65,7 @@ def parsed(member: bytes) -> dict:
 
 
 def _writer(folder: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -161,6 +162,7 @@ def _reader(with_payload: bool):
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(found: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in zip(names, types)], names)
