@@ -5,18 +5,21 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._base import tidy
+from ._base import tidy, written
 from ._text import U64, byte_view, chunks
 
-#: q-grams are Q bytes, so a gram is one 64-bit number and grams are compared exactly.
+#: q-grams are Q characters, each mapped to a byte, so a gram is one 64-bit number.
 Q = 8
 #: Bytes of benchmark text that a task holds at once; a larger benchmark is taken in blocks of this size.
 BLOCK_BYTES = 16 << 20
+#: Pairs of a place and an item with the same gram that are counted at once.
+MOST_PAIRS = 1 << 21
 
 #: Normal form, byte by byte: A-Z in lower case; ASCII letters, digits and bytes of other characters stay;
 #: everything else is a space, and spaces in a row are one.
@@ -27,23 +30,31 @@ _NORMAL[65:91] = np.arange(97, 123)
 _NORMAL[128:] = np.arange(128, 256)
 
 
-def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the documents in normal form, and their offsets; documents keep no space at either end."""
+def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a byte for each character, its code point, where documents begin and the last ends) of documents in normal form.
+
+    A space stands before each document and after the last, so document d and its borders are [at[d], at[d + 1]]. An ASCII
+    character is its own byte; others share the bytes from 128 on by a hash.
+    """
     b = np.frombuffer(raw.tobytes().translate(_NORMAL.tobytes()), np.uint8)
+    b = np.insert(b, off, np.uint8(32))
+    at = off + np.arange(len(off))
     space = b == 32
-    gone = space.copy()
-    gone[1:] &= space[:-1]
-    starts = off[:-1][off[:-1] < len(b)]
-    gone[starts] = space[starts]
-    dropped = np.flatnonzero(gone)
-    at = off - np.searchsorted(dropped, off)
-    out = b[~gone]
-    last = at[1:] - 1
-    ends = last[(np.diff(at) > 0) & (out[np.maximum(last, 0)] == 32)] if len(out) else last[:0]
-    if len(ends):
-        at = at - np.searchsorted(ends, at)
-        out = np.delete(out, ends)
-    return out, at
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[at] = True
+    point = b
+    lead = np.flatnonzero(b >= 0xC0)
+    if len(lead) or (b >= 128).any():
+        keep &= (b & 0xC0) != 0x80
+        first, rest = b[lead].astype(np.int32), [np.append(b, np.zeros(3, np.uint8))[lead + k].astype(np.int32) & 63 for k in (1, 2, 3)]
+        two, three = (first & 31) << 6 | rest[0], (first & 15) << 12 | rest[0] << 6 | rest[1]
+        value = np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 7) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2]))
+        point = b.astype(np.int32)
+        point[lead] = value
+        b = b.copy()
+        b[lead] = 128 + ((value.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(57)).astype(np.uint8)
+    return b[keep], point[keep], np.cumsum(keep)[at] - 1
 
 
 def gram_codes(b: np.ndarray) -> np.ndarray:
@@ -57,93 +68,144 @@ def gram_codes(b: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items: their grams in order, a bitmap of these, edit budgets and least counts.
 
-    An item of n bytes within e edits of a region shares at least n - Q + 1 - Q * e grams with it (the q-gram
-    lemma). e = rate * n, less where that would leave fewer grams than a third of the item's.
+    An item of n characters within e edits of a region shares at least n - Q + 1 - Q * e grams with it (the q-gram
+    lemma). e = rate * n, less where that would leave fewer grams than a third of the item's. Items of fewer than `short`
+    characters have no budget and count with the spaces around them: they are found as whole words. Those that are
+    shorter than a gram even so are `tiny`: length -> their codes in order, and items.
     """
 
-    def __init__(self, ids: list[int], texts: list[bytes], rate: float):
-        self.ids, self.texts = np.array(ids, np.int64), texts
-        n = np.array([len(t) for t in texts], np.int64)
-        grams = np.maximum(n - Q + 1, 0)
-        self.edits = np.minimum((rate * n).astype(np.int64), grams * 2 // 3 // Q)
+    def __init__(self, ids: list[int], texts: list[bytes], rate: float, short: int = 32):
+        self.ids, self.plain, self.text, self.point = [], [], [], []
+        for i, t in zip(ids, texts):
+            t = np.frombuffer(t, np.uint8)
+            b, point, _ = normalised(t, np.array([0, len(t)]))
+            inner = np.flatnonzero(b != 32)
+            if not len(inner):
+                continue
+            border = int(inner[-1] - inner[0] + 1 < short)
+            span = slice(inner[0] - border, inner[-1] + 1 + border)
+            self.ids.append(i)
+            self.text.append(b[span].tobytes())
+            self.point.append(point[span].astype(np.int32))
+            self.plain.append(bool((b[span] < 128).all()))
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        grams = np.maximum(self.size - Q + 1, 0)
+        self.edits = np.where(self.size < short + 2, 0, np.minimum((rate * self.size).astype(np.int64), grams * 2 // 3 // Q))
         self.least = np.maximum(grams - Q * self.edits, 1)
-        self.size = n
-        codes = [gram_codes(np.frombuffer(t, np.uint8)) for t in texts]
+        codes = [gram_codes(np.frombuffer(t, np.uint8)) for t in self.text]
         code = np.concatenate([*codes, np.zeros(0, U64)])
-        item = np.repeat(np.arange(len(texts)), grams)
+        item = np.repeat(np.arange(len(self.text)), grams)
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.item, self.place = code[order], item[order], place[order]
         self.bits = max(16, int(len(code) * 32).bit_length())
         self.map = np.zeros(1 << self.bits, bool)
         self.map[self.slot(code)] = True
-        self.reach = int((n + self.edits).max(initial=0))
+        self.reach = int((self.size + self.edits).max(initial=0))
         # a region of any item shows at least so many grams of the block within its reach
-        self.dense = int(self.least.min(initial=1))
+        self.dense = int(self.least[grams > 0].min(initial=1 << 30))
+        self.tiny: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.size[grams == 0]):
+            mine = np.flatnonzero(self.size == n)
+            code = np.array([int.from_bytes(self.text[k], "little") for k in mine], U64)
+            self.tiny[int(n)] = code[np.argsort(code)], mine[np.argsort(code)]
 
     def slot(self, code: np.ndarray) -> np.ndarray:
         h = code * U64(0x9E3779B97F4A7C15)
         h >>= U64(64 - self.bits)
         return h.view(np.int64)
 
+    def edits_in(self, i: int, text: bytes, point: np.ndarray, shift: int) -> int:
+        """Fewest edits between item i and a part of a region, up to its budget; more if there is none. The part starts about at shift."""
+        e, k = int(self.edits[i]), text.find(self.text[i])
+        while k >= 0:
+            if self.plain[i] or (point[k : k + len(self.point[i])] == self.point[i]).all():
+                return 0
+            k = text.find(self.text[i], k + 1)
+        return band_distance(self.point[i], point, shift, 2 * e + 1) if e else 1
 
-def band_distance(item: bytes, region: bytes, shift: int, most: int) -> int:
-    """Least edits between the item and some part of the region, up to most; else most + 1.
 
-    The part starts within most of place shift. Rows are the item's bytes, the band is 2 * most + 1 wide, both ends of the region are free.
+def band_distance(item: np.ndarray, region: np.ndarray, shift: int, most: int) -> int:
+    """Least edits between the item and some part of the region, up to most; else most + 1. Both are code points.
+
+    The part starts within most of place shift. Rows are the item's characters, the band is 2 * most + 1 wide, both ends of the region are free.
     """
     n, width = len(item), 2 * most + 1
-    text = np.full(len(region) + 4 * most + n + 2, 255, np.int16)
-    lead = 2 * most + 1
-    text[lead : lead + len(region)] = np.frombuffer(region, np.uint8)
-    text = np.concatenate([np.full(max(0, most - shift), 255, np.int16), text]) if shift < most else text
-    at = lead + shift - most + max(0, most - shift)
+    lead = 2 * most + 1 + max(0, most - shift)
+    text = np.full(lead + len(region) + 2 * most + n + 1, -1, np.int32)
+    text[lead : lead + len(region)] = region
+    at = lead + shift - most
     row = np.zeros(width, np.int64)  # starting anywhere in the band is free
     steps = np.arange(width)
-    pattern = np.frombuffer(item, np.uint8)
     for i in range(n):
         part = text[at + i : at + i + width]
         if len(part) < width:
-            part = np.concatenate([part, np.full(width - len(part), 255, np.int16)])
-        new = row + (part != pattern[i])  # match or change: the same diagonal
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a byte of the item left out
-        new = np.minimum.accumulate(new - steps) + steps  # bytes of the region left out
+            part = np.concatenate([part, np.full(width - len(part), -1, np.int32)])
+        new = row + (part != item[i])  # match or change: the same diagonal
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a character of the item left out
+        new = np.minimum.accumulate(new - steps) + steps  # characters of the region left out
         row = new
         if row.min() > most:
             return most + 1
     return int(row.min())
 
 
-def _hits(b: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+def _hits(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(document, item, edits) of some normalised documents."""
+    seen: dict[tuple[int, int], int] = {}
+    for n, (codes, mine) in items.tiny.items():
+        code = gram_codes(np.append(b, np.zeros(Q - 1, np.uint8))) & U64((1 << 8 * n) - 1)
+        lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+        where = np.flatnonzero(hi > lo)
+        doc = np.searchsorted(at, where, "right") - 1
+        for w, d in zip(where.tolist(), doc.tolist()):
+            if d < len(at) - 1 and w + n - 1 <= at[d + 1]:
+                for i in mine[lo[w] : hi[w]]:
+                    if (point[w : w + n] == items.point[i]).all():
+                        seen[(d, int(i))] = 0
     code = gram_codes(b)
-    if not len(code) or not len(items.code):
-        return []
-    hit = items.map[items.slot(code)]
-    for k in range(1, Q):  # grams across a document's end are none
-        ends = at[1:] - k
-        hit[ends[(ends >= 0) & (ends < len(hit))]] = False
-    places = np.flatnonzero(hit)
+    if len(code) and len(items.code):
+        hit = items.map[items.slot(code)]
+        for k in range(1, Q - 1):  # grams beyond a document's last border are none
+            ends = at[1:] - k
+            hit[ends[(ends >= 0) & (ends < len(hit))]] = False
+        hit[at[-1] :] = False
+        _counted(b, point, at, items, code, np.flatnonzero(hit), seen)
+    return [(d, i, edits) for (d, i), edits in seen.items()]
+
+
+def _counted(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, code: np.ndarray, places: np.ndarray, seen: dict) -> None:
+    """Counts shared grams in bands, some places at a time, and aligns where a band has enough; adds to seen."""
     if not len(places):
-        return []
+        return
     # keep hits with enough others within an item's reach on their right, or that are such others themselves
-    right = np.minimum(places + items.reach, len(hit))
+    right = np.minimum(places + items.reach, len(code))
     opens = np.searchsorted(places, right) - np.arange(len(places)) >= items.dense
     if not opens.any():
-        return []
-    cover = np.zeros(len(hit) + 1, np.int64)
+        return
+    cover = np.zeros(len(code) + 1, np.int64)
     np.add.at(cover, places[opens], 1)
     np.add.at(cover, right[opens], -1)
     places = places[np.cumsum(cover)[places] > 0]
     lo, hi = np.searchsorted(items.code, code[places]), np.searchsorted(items.code, code[places], "right")
     n = hi - lo
+    sums = np.cumsum(n)
+    begin = 0
+    while begin < len(places):
+        # an alignment that begins in these places ends within its reach of the last
+        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + MOST_PAIRS)))
+        over = int(np.searchsorted(places, places[end - 1] + 2 * items.reach, "right"))
+        _banded(b, point, at, items, places[begin:over], lo[begin:over], n[begin:over], seen)
+        begin = end
+
+
+def _banded(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, places: np.ndarray, lo: np.ndarray, n: np.ndarray, seen: dict) -> None:
     where = np.repeat(places, n)
     pick = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     item, diagonal = items.item[pick], where - items.place[pick]
     # bands of twice the budget that overlap by half: each alignment lies wholly in one of them
     half = items.edits[item] + 1
     shift = items.reach + 1
-    found = []
     band = (diagonal + shift) // half
     keys = np.concatenate([np.stack([item, band, diagonal, where], 1), np.stack([item, band - 1, diagonal, where], 1)])
     doc_of = np.searchsorted(at, keys[:, 3], "right") - 1
@@ -153,34 +215,26 @@ def _hits(b: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, i
     new[1:] = (doc_of[1:] != doc_of[:-1]) | (keys[1:, 0] != keys[:-1, 0]) | (keys[1:, 1] != keys[:-1, 1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(keys)))
-    seen: dict[tuple[int, int], int] = {}
     for f in first[count >= items.least[keys[first, 0]]]:
         i, d = int(keys[f, 0]), int(doc_of[f])
         if seen.get((d, i), 1) == 0:
             continue
         e = int(items.edits[i])
         begin = int(keys[f, 1]) * (e + 1) - shift
-        doc = b[at[d] : at[d + 1]]
-        lo = max(0, begin - int(at[d]) - e)
-        region = doc[lo : max(0, begin - int(at[d])) + int(items.size[i]) + 4 * e + 4].tobytes()
-        if items.texts[i] in region:
-            edits = 0
-        else:
-            edits = band_distance(items.texts[i], region, begin + e - int(at[d]) - lo, 2 * e + 1) if e else 1
+        low = max(0, begin - int(at[d]) - e)
+        part = slice(int(at[d]) + low, min(int(at[d + 1]) + 1, max(int(at[d]), begin) + int(items.size[i]) + 4 * e + 4))
+        edits = items.edits_in(i, b[part].tobytes(), point[part], begin + e - int(at[d]) - low)
         if edits <= e:
             seen[(d, i)] = min(edits, seen.get((d, i), edits))
-    for (d, i), edits in seen.items():
-        found.append((d, i, edits))
-    return found
 
 
 def _found(column: pa.Array, items: Items) -> Iterator[tuple[int, int, list[dict[int, int]]]]:
     """(first row, end row, edits by item for each row) for runs of rows."""
     raw, off = byte_view(column)
     for i, j in chunks(off):
-        b, at = normalised(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        b, point, at = normalised(raw[off[i] : off[j]], off[i : j + 1] - off[i])
         by: list[dict[int, int]] = [{} for _ in range(j - i)]
-        for d, k, edits in _hits(b, at, items):
+        for d, k, edits in _hits(b, point, at, items):
             item = int(items.ids[k])
             by[d][item] = min(edits, by[d].get(item, edits))
         yield i, j, by
@@ -231,7 +285,7 @@ class _Block:
         return self.sent.value
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least_bytes: int, block_bytes: int) -> list[_Block]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[_Block]:
     """The benchmark, measured first: one broadcast up to block_bytes, else parts of about that size by a hash of the items."""
     spark = benchmark.sparkSession
     items = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
@@ -239,44 +293,40 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least_bytes: int
     n = max(1, math.ceil(size / block_bytes))
     out = []
     for k in range(n):
-        rows = []
-        for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator():
-            t = np.frombuffer(r.text.encode(), np.uint8)
-            t = normalised(t, np.array([0, len(t)]))[0].tobytes()
-            if len(t) >= max(least_bytes, Q):
-                rows.append((r.item, t))
+        rows = [(r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).toLocalIterator()]
         out.append(_Block(uuid.uuid4().hex, spark.sparkContext.broadcast(sorted(rows))))
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, least_bytes: int = 32, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which leaks() finds no item, with all their columns; nothing is shuffled."""
-    for block in _blocks(benchmark, item_col, item_text_col, least_bytes, block_bytes):
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which leaks() finds no item, with all their columns, whatever their names; nothing is shuffled."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         docs = docs.mapInArrow(_clean(block, rate, docs.columns.index(text_col)), docs.schema)
     return docs
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, least_bytes: int = 32, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, contaminated, item_ids, edits) for each row: the items found in it, in order, and the fewest edits of each.
 
-    Text and items are compared byte by byte in normal form: A-Z in lower case, what is no letter or digit a
+    Text and items are compared character by character in normal form: A-Z in lower case, ASCII that is no letter or digit a
     space, spaces in a row one. An item is in a document if a part of it is within rate * length edits of the
-    whole item (fewer for short items, see Items). Items of fewer than least_bytes normalised bytes are too short to
-    tell a leak from common words and are not looked for; nor are null items. Null and empty texts
-    have no leak; null and repeated ids are judged row by row; either table may be empty.
+    whole item (fewer for items of little over 32 characters, see Items); an item of fewer characters is, if it is there without an edit as
+    whole words. Null and blank items are not looked for. Null and empty texts have no leak; null and repeated
+    ids are judged row by row; either table may be empty. Other columns aren't read.
 
     The benchmark is measured first. Up to block_bytes it is one broadcast; a larger one is split by a hash of its
-    items into blocks of that size, which scan the documents one after another.
+    items into blocks of that size, which scan the documents one after another; rows are then numbered in a written table.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {dict(texts.dtypes)['id']}, item_ids array<long>, edits array<int>"
-    parts = [texts.mapInArrow(_scan(block, rate), schema) for block in _blocks(benchmark, item_col, item_text_col, least_bytes, block_bytes)]
-    flat = parts[0]
-    if len(parts) > 1:  # a row's answers from several blocks have only its id in common: rows of one id are judged together
-        for p in parts[1:]:
-            flat = flat.unionByName(p)
-        one = flat.select("id", F.explode_outer(F.arrays_zip("item_ids", "edits")).alias("x")).groupBy("id", "x.item_ids").agg(F.min("x.edits").alias("e")).where("item_ids IS NOT NULL")
-        one = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("item_ids").alias("i"), "e"))).alias("x")).select(F.col("id").alias("k"), F.col("x.i").alias("item_ids"), F.col("x.e").alias("edits"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    kind = "item_ids array<long>, edits array<int>"
+    if len(blocks) == 1:
+        flat = texts.mapInArrow(_scan(blocks[0], rate), f"id {dict(texts.dtypes)['id']}, {kind}")
+    else:
+        rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+        parts = [rows.select("row", "text").mapInArrow(_scan(block, rate), f"row long, {kind}") for block in blocks]
+        one = reduce(DataFrame.unionByName, parts).where(F.size("item_ids") > 0).select("row", F.explode(F.arrays_zip("item_ids", "edits")).alias("x")).groupBy("row", "x.item_ids").agg(F.min("x.edits").alias("e"))
+        one = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("item_ids").alias("i"), "e"))).alias("x")).select("row", F.col("x.i").alias("item_ids"), F.col("x.e").alias("edits"))
         none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("item_ids", "array<long>"), ("edits", "array<int>"))]
-        flat = texts.select("id").join(one, F.col("id").eqNullSafe(F.col("k")), "left").select("id", *none)
+        flat = rows.select("row", "id").join(one, "row", "left").select("id", *none)
     return flat.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
