@@ -19,6 +19,10 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_BYTES = 1000
 #: Bytes of an archive that one task looks for record starts in, and bytes read at once.
 SPLIT_BYTES, READ_BYTES = 4 << 20, 1 << 20
+#: Bytes beyond a range in which its chain of records must go on.
+LOOK_BYTES = 1 << 20
+#: A record's head has fewer bytes.
+HEAD_BYTES = 64 << 10
 _GZIP = b"\x1f\x8b\x08"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -104,58 +108,113 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return written(met.mapInArrow(_writer(folder), "path string, n_bytes long, n_records long"), "archives")
 
 
+def _fields(head: bytes) -> dict[str, str] | None:
+    """The header fields of a record's head, up to the empty line; None if it is no head of a record."""
+    if not head.startswith(b"WARC/1."):
+        return None
+    try:
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    except (UnicodeDecodeError, ValueError):
+        return None
+    return fields if {"WARC-Type", "WARC-Record-ID", "Content-Length"} <= fields.keys() and fields["Content-Length"].isdigit() else None
+
+
+class _Archive:
+    """A file read in pieces; at most a piece more than the member at hand is held."""
+
+    def __init__(self, f):
+        self.f, self.size, self.buffer, self.base = f, f.size(), b"", 0
+
+    def piece(self, at: int) -> bytes:
+        """READ_BYTES from a place on, less at the file's end."""
+        if not self.base <= at <= self.base + len(self.buffer):
+            self.buffer, self.base = b"", at
+        while self.base + len(self.buffer) < min(at + READ_BYTES, self.size):
+            place = self.base + len(self.buffer)
+            self.buffer = self.buffer[max(0, at - self.base) :] + self.f.read_at(min(READ_BYTES, self.size - place), place)
+            self.base = max(self.base, at)
+        return self.buffer[at - self.base : at - self.base + READ_BYTES]
+
+    def member(self, start: int) -> tuple[bytes, int] | None:
+        """(record, the place after it) if a gzip member with a whole record begins here, decided by the record's head."""
+        unpack, parts, at, fields, size = zlib.decompressobj(31), [], start, None, 0
+        try:
+            while not unpack.eof:
+                packed = self.piece(at)
+                if not packed:
+                    return None
+                at += len(packed)
+                while packed and not unpack.eof:
+                    part = unpack.decompress(packed, READ_BYTES if fields else HEAD_BYTES)
+                    packed = unpack.unconsumed_tail
+                    parts.append(part)
+                    size += len(part)
+                    if fields is None:
+                        head, line, _ = b"".join(parts).partition(b"\r\n\r\n")
+                        fields = _fields(head) if line else None
+                        if fields is None and (line or size >= HEAD_BYTES or not head.startswith(b"WARC/1."[: len(head)])):
+                            return None
+                        end = len(head) + 4 + int(fields["Content-Length"]) + 4 if fields else 0
+                    if fields and size > end:
+                        return None
+        except zlib.error:
+            return None
+        return (b"".join(parts), at - len(unpack.unused_data)) if fields and size == end else None
+
+
 def members(path: str, start: int, end: int) -> Iterator[bytes]:
     """Uncompressed records whose gzip member starts in [start, end).
 
-    The magic bytes are searched for; a place is a record's start if what follows inflates to WARC/1. After a record
-    the next one is looked for at its end, so magic bytes within a member are met only before the first
-    own record, where they do not inflate to a record's head.
+    The magic bytes are searched for; a place is a record's start if what follows inflates to a whole head of a WARC record and
+    to as many bytes as that says. At most HEAD_BYTES are inflated to decide. Members follow each other without a gap, so
+    the records of a range that begins within the file count only if their chain goes on to LOOK_BYTES beyond the range, or to the
+    file's end: an archive stored uncompressed inside a record is no chain, unless it is longer than that.
     """
     system, where = opened(path)
     with system.open_input_file(where) as f:
-        size = f.size()
-        at, buffer, base = start, b"", start  # buffer holds the file's bytes from base on
-
-        def upto(n: int) -> None:
-            nonlocal buffer
-            while base + len(buffer) < min(n, size):
-                buffer += f.read_at(min(READ_BYTES, size - base - len(buffer)), base + len(buffer))
-
-        while at < end:
-            buffer, base = buffer[at - base :], at
-            upto(at + READ_BYTES)
-            k = buffer.find(_GZIP)
-            if k < 0:
-                at = max(at + 1, base + len(buffer) - 2)
-                if base + len(buffer) >= size:
+        archive, at = _Archive(f), start
+        chain: list[bytes] = []
+        first = None if start else 0  # where the chain begins; the file's first byte surely is a member's
+        while True:
+            # along the chain to the range's end, and then LOOK_BYTES further without keeping what comes
+            limit = min(end, archive.size)
+            while first is not None and at < limit:
+                found = archive.member(at)
+                if not found:
+                    break
+                at = found[1]
+                if not start:
+                    yield found[0]
+                else:
+                    chain.append(found[0])
+            if first is not None and at >= limit:
+                if not start or _goes_on(archive, at, min(end + LOOK_BYTES, archive.size)):
+                    yield from chain
+                    return
+            elif first is not None and not start:
+                raise ValueError(f"{path} has no record at {at}")
+            # look for the next place that may begin a chain
+            at, chain, first = (at if first is None else first + 1), [], None
+            while first is None:
+                if at >= limit:
                     return
-                continue
-            if base + k >= end:
-                return
-            at = base + k
-            unpack, parts, pos, good = zlib.decompressobj(31), [], k, True
-            try:
-                head = b""
-                while not unpack.eof:
-                    upto(base + pos + READ_BYTES)
-                    if pos >= len(buffer):
-                        good = False
-                        break
-                    piece = unpack.decompress(buffer[pos : pos + READ_BYTES])
-                    pos = min(len(buffer), pos + READ_BYTES)
-                    parts.append(piece)
-                    if len(head) < 7:
-                        head = b"".join(parts)[:7]
-                        if not b"WARC/1.".startswith(head[:7]) and head[:7] != b"WARC/1.":
-                            good = False
-                            break
-            except zlib.error:
-                good = False
-            if good and head == b"WARC/1.":
-                yield b"".join(parts)
-                at = base + pos - len(unpack.unused_data)
-            else:
-                at += 1
+                k = archive.piece(at).find(_GZIP)
+                if k < 0:
+                    at += max(1, len(archive.piece(at)) - len(_GZIP) + 1)
+                elif at + k < limit and archive.member(at + k):
+                    at = first = at + k
+                else:
+                    at += k + 1
+
+
+def _goes_on(archive: _Archive, at: int, limit: int) -> bool:
+    """Whether records follow each other from a place on up to the limit."""
+    while at < limit:
+        found = archive.member(at)
+        if not found:
+            return False
+        at = found[1]
+    return True
 
 
 def _reader(with_payload: bool):
@@ -186,7 +245,11 @@ def _reader(with_payload: bool):
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """Records of the archives (path, n_bytes): each task scans byte ranges and owns the records starting there."""
+    """Records of the archives (path, n_bytes): each task scans byte ranges and owns the records starting there.
+
+    Every record comes once, whatever the split size; no archives, or empty ones, give no records. A payload that lacks its
+    digest, and an archive that does not begin with a record, are errors.
+    """
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least("n_bytes", F.col("start") + split_bytes).alias("end"))
     tasks = max(1, min(ranges.count(), 20_000))  # named, or adaptive execution would put such small rows into one task
@@ -194,7 +257,11 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from archives of pages."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from archives of pages.
+
+    One row for each row of pages, repeated rows included; nulls as in write_warc. Other columns aren't read; an empty table gives an
+    empty result.
+    """
     archives = write_warc(pages, folder or work_path(pages.sparkSession, "warc"), id_col, url_col, html_col)
     out = read_warc(archives, with_payload=False)
     return out.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
