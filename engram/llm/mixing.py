@@ -72,10 +72,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", s
     goals = source_targets(of_source, "source", "size", weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     goals = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target", rate.alias("rate"))
-    placed = cells.withColumn("within", F.sum("n").over(before_part) - F.col("n")).join(by_size.join(goals, "key"), ["key", "size"])
+    placed = cells.withColumn("within", F.sum("n").over(before_part) - F.col("n")).join(by_size.join(goals, "key").hint("merge"), ["key", "size"])
     placed = placed.select("key", "size", "part", (F.col("below") + F.col("within")).alias("before"), "source_size", "target", "rate")
     in_cell = Window.partitionBy("key", "size", "part").orderBy(F.col("id").asc_nulls_first(), "h")
-    out = rows.withColumn("rank", F.row_number().over(in_cell)).join(placed, ["key", "size", "part"])
+    out = rows.withColumn("rank", F.row_number().over(in_cell)).join(placed.hint("merge"), ["key", "size", "part"])
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     at = lambda k: F.floor(k.cast("double") * F.col("rate") + offset)
     rank = F.col("before") + F.col("rank")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import mixing, simple8b
+from engram.llm import decontaminate, mixing, simple8b
 from engram.llm.chat import perspectives
 from engram.llm.decontaminate import Items, _hits, leaks, without_leaks
 from engram.llm.mixing import mixed, repeated
@@ -205,26 +205,61 @@ def test_url_sweep_agrees_with_brute_force(spark):
     assert url_verdicts(pages, frame.limit(0)).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
 
 
-def test_q_gram_filter_loses_no_alignment():
-    def edits(p, t):
-        row = [0] * (len(t) + 1)
-        for i, x in enumerate(p, 1):
-            new = [i]
-            for j, y in enumerate(t, 1):
-                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-            row = new
-        return min(row)
+def fewest_edits(p, t):
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(p, 1):
+        new = [i]
+        for j, y in enumerate(t, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
 
+
+def normal(t):
+    return re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).strip()
+
+
+def leaked(item, text, rate=0.06):
+    """By brute force: fewest edits of an item in a text, or None."""
+    p, t = normal(item), normal(text)
+    if not p:
+        return None
+    if len(p) < 32:
+        return 0 if f" {p} " in f" {t} " else None
+    most = min(int(rate * len(p)), (len(p) - 7) * 2 // 3 // 8)
+    n = fewest_edits(p, t)
+    return n if n <= most else None
+
+
+def test_q_gram_filter_loses_no_alignment(spark, monkeypatch):
+    """The whole query against an edit-distance matrix of every item and document, accents and short items included."""
     rng = random.Random(1)
-    for _ in range(60):
-        item = bytes(rng.choice(b"abcdefghij ") for _ in range(rng.randint(40, 160)))
-        x = bytearray(item)
-        for _ in range(rng.randint(0, len(item) // 12)):
+    letters = "abcdefghij éüñß中"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [draw(rng.randint(40, 160)) for _ in range(8)] + ["a", "Ab c", "é?", "abc dé fgh", "the short item 12", draw(30), "  ", None]
+    docs = [None, "", "é", "ab, C", "xé yé", "abc dé fgh", "zabc dé fgh", "abc de fgh", "The (short) item 12!", "the short item 123"]
+    for _ in range(70):
+        x = list(rng.choice(items[:8]))
+        for _ in range(rng.randint(0, len(x) // 12)):
             p = rng.randrange(len(x))
-            x[p : p + rng.randint(0, 1)] = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 1)))
-        doc = bytes(rng.choice(b"abcdefghij ") for _ in range(rng.choice([0, 4, 90]))) + bytes(x) + b" end"
-        items = Items([1], [item], 0.06)
-        assert bool(_hits(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]), items)) == (edits(item, doc) <= items.edits[0])
+            x[p : p + rng.randint(0, 1)] = [rng.choice("abcé")] * rng.randint(0, 1)
+        docs.append(draw(rng.choice([0, 4, 90])) + rng.choice(["", " ", "."]) + re.sub("[a-z]", lambda m: m[0].upper(), "".join(x)) + rng.choice(["", " a end", draw(9)]))
+    table_ = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({"item_ids": F.lit("clash"), "id": F.lit(0)})
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i): n for d, t in enumerate(docs) for i, p in enumerate(items) if (n := leaked(p, t)) is not None}
+    assert len(want) > 60 and len({n for n in want.values()}) > 3
+    for size in (16 << 20, 300):
+        got = leaks(table_, bench, block_bytes=size).collect()
+        assert len(got) == len(docs) and {(r.doc_id, i): n for r in got for i, n in zip(r.item_ids, r.edits)} == want
+    assert {r.doc_id for r in without_leaks(table_, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+    # a few pairs at a time
+    monkeypatch.setattr(decontaminate, "MOST_PAIRS", 3)
+    known = Items(list(range(len(items))), [(x or "").encode() for x in items], 0.06)
+    whole = "\n".join(x or "" for x in docs)
+    for t in [*docs, whole, whole * 2]:
+        b = (t or "").encode()
+        found = _hits(*decontaminate.normalised(np.frombuffer(b, np.uint8), np.array([0, len(b)])), known)
+        assert {known.ids[k] for _, k, _ in found} == {i for i, p in enumerate(items) if leaked(p, t) is not None}
 
 
 def test_simple8b_round_trip():
@@ -259,13 +294,23 @@ def test_warc_revisits_and_splits(spark, tmp_path):
     d = hashlib.sha1(big.encode()).hexdigest()
     assert Counter(out)[(6, 1200, d, "response", None)] == 2 and (1, 1200, d, "revisit", 6) in out and (2, 1200, d, "revisit", 6) in out
     assert {r[3] for r in out if r[0] in (3, 4, 5, None)} == {"response"} and len(out) == len(rows)
-    inner = zlib.compress(b"q") + b"\x1f\x8b\x08\x00"
-    parts = [record(i, "u", inner * 50 + bytes(str(i), "ascii"), None, level=0) for i in range(40)]
+    assert warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+    clash = spark.createDataFrame(rows[:2], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("id", "payload", "d", "n", "refers", "path")})
+    assert {r.page_id: r.record_type for r in warc_round_trip(clash).collect()} == {1: "revisit", 2: "response"}
+    # magic bytes, a whole member and two in a row within records that are stored, not deflated, and a long payload
+    inner = [zlib.compress(b"q") + b"\x1f\x8b\x08\x00", record(7, "u", b"nested", None), record(8, "u", b"n", None, level=0) * 2, b"x" * 300_000]
+    parts = [record(i, "u", inner[i % 4] * (3 if i % 4 < 1 else 1) + bytes(str(i), "ascii"), None, level=0) for i in range(24)]
     path = tmp_path / "a.warc.gz"
     path.write_bytes(b"".join(parts))
     size = path.stat().st_size
-    for step in (97, 1000, size):
-        assert sum(len(list(members(str(path), a, min(size, a + step)))) for a in range(0, size, step)) == 40
+    for step in (1999, 100_000, size):
+        got = [m for a in range(0, size, step) for m in members(str(path), a, min(size, a + step))]
+        assert got == [zlib.decompress(p, 31) for p in parts]
+    small = b"".join(parts[:3])
+    path.write_bytes(small)
+    assert sum(len(list(members(str(path), a, min(len(small), a + 100)))) for a in range(0, len(small), 100)) == 3
+    path.write_bytes(b"")
+    assert list(members(str(path), 0, 0)) == []
 
 
 def test_toxic_words_are_learnt_from_training_rows_only(spark):
