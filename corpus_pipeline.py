@@ -1,11 +1,15 @@
-"""A training corpus from documents in five stages, each one operator of engram.llm."""
+"""A training corpus from documents in five stages, each one operator of engram.llm.
+
+Every stage but the last returns the columns of its input, which may be any besides doc_id, text, lang and source, and may
+have no rows.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engram.llm._base import table, word_count, written
+from engram.llm._base import table, unused, word_count, written
 from engram.llm.decontaminate import without_leaks
 from engram.llm.minhash import minhash_components
 from engram.llm.mixing import mixed, repeated
@@ -16,34 +20,40 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    """Documents that the base rules and the risk-controlled cutoffs keep; null and empty texts go, each repeated row is judged alike."""
     return quality_filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five-word shingles, similarity 0.8)."""
-    found = minhash_components(docs, ngram=5, numerator=80, denominator=100)
-    found = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "groups")
-    out = docs.join(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not again.isEmpty():  # repeated rows are a group of copies too: the first text of an id stays
-        first = out.join(again, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").select(docs.columns)
-        out = out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(first)
-    return out
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the least id.
+
+    Rows are what is compared, by numbers of their own in a written table: rows of one id with different texts are two documents,
+    equal rows are copies. Ids that tie, and null ids, which come last, are in order of a hash of the text. Documents
+    without words have no copies and stay.
+    """
+    row = unused(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = minhash_components(rows.select(row, "text"), id_col=row, ngram=5, numerator=80, denominator=100)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    grouped = written(found.select(row, "component_id").join(rows.select(row, order.alias("order")), row), "groups")
+    stay = grouped.groupBy("component_id").agg(F.min("order")[row].alias(row)).select(row)
+    gone = written(grouped.select(row).join(stay, row, "left_anti"), "copies")
+    return rows.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts and null ids stay."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
-    return repeated(mixed(docs.withColumn("_words", word_count(F.col("text"))), size_col="_words")).select(docs.columns)
+    """Documents as often as the target weights of their sources ask for; a null source is one, null texts have size 0."""
+    size = unused(docs, "_words")
+    return repeated(mixed(docs.withColumn(size, word_count(F.col("text"))), size_col=size)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's ids are in the written corpus, read back from its files."""
+    """Where each document's ids are in the written corpus, read back from its files; a null text has the end id alone."""
     return token_output(docs, TOKENIZER)
 
 
