@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _sum(a: Column) -> Column:
@@ -82,3 +84,49 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     return out.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
+
+
+#: Numbers of query vectors that a task holds at once.
+BLOCK_VALUES = 1 << 20
+
+
+def nearest_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_col: str = "query_id") -> DataFrame:
+    """(query_id, id, score, rank): the k rows most similar by cosine to each query vector, in blocks of queries.
+
+    A block is multiplied with each batch of rows, which keeps the batch's k best of each query; the best of all batches are
+    found by query. Rows are scanned once a block. Vectors of length zero have similarity 0; ties go to the smaller id. Ids are longs.
+    """
+    found, block, size = [], [], 0
+
+    def search(block: list) -> DataFrame:
+        names = np.array([r[0] for r in block], np.int64)
+        asked = np.array([r[1] for r in block], np.float64)
+        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+
+        def run(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                ids = batch.column(0).to_numpy()
+                order = np.argsort(ids, kind="stable")
+                m = np.array(batch.column(1).to_pylist(), np.float64)[order]
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                score = asked @ m.T
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top.shape[1])), pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "i", "score"])
+
+        return rows.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "q long, i long, score double")
+
+    for r in queries.select(F.col(query_col).cast("long"), vector_col).toLocalIterator():
+        block.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= BLOCK_VALUES:
+            found.append(search(block))
+            block, size = [], 0
+    if block or not found:
+        found.append(search(block) if block else rows.sparkSession.createDataFrame([], "q long, i long, score double"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_col), F.col("i").alias(id_col), "score", "rank")

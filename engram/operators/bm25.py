@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import fnv1a
 from ..functions.text import bind, tokenize
@@ -66,10 +66,10 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, tokens: Column, title:
     # bound in one expression: a filter that moves below a projection would have it tokenize again for every use
     d = docs.select(F.col(id_col), bind(tokens, measured).alias("_m")).select(id_col, F.col("_m.l").alias("_l"), F.col("_m.hits").alias("_h"))
     if stats is None:
-        per = d.select(F.explode(F.transform("_h", lambda h: h["term"])).alias("term"))
-        seen = per.groupBy("term").agg(F.count("*").alias("df")).collect()  # as many rows as the query has terms
-        n, avgdl = d.agg(F.count("*"), F.avg("_l")).first()
-        df = {r.term: r.df for r in seen}
+        # one aggregate: a count for each query term beside the number of rows and their mean length
+        has = [F.count_if(F.array_contains("_h.term", q)) for q in query]
+        n, avgdl, *counts = d.agg(F.count("*"), F.avg("_l"), *has).first()
+        df = dict(zip(query, counts))
     else:
         one = stats.select("n", "avgdl", *(F.element_at("df", F.lit(q)).alias(f"t{i}") for i, q in enumerate(query))).first()
         n, avgdl, df = one.n, one.avgdl, {q: one[f"t{i}"] or 0 for i, q in enumerate(query)}
@@ -97,3 +97,63 @@ def sparse_vectors(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     tf = term_frequencies(docs, id_col, tokens)
     terms = tf.select("term").distinct().withColumn("index", fnv1a(F.col("term")))
     return tf.join(terms, "term").groupBy(id_col, "index").agg(F.sum("tf").alias("tf"))
+
+
+def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, tokens: Column, query_col: str, query_tokens: Column, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, id, score, rank): the best documents of each of many queries, which share one pass over the documents.
+
+    Postings of terms that a query has meet the queries by term; a term's queries come as one array, so a term's postings are not repeated
+    before they are scored. Each document has a content term once, however often it is in it.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t"))
+    n, avgdl = d.agg(F.count("*"), F.avg(F.size("t"))).first()
+    ask = queries.select(F.col(query_col).alias("q"), F.array_distinct(query_tokens).alias("t"))
+    size = ask.select("q", F.size("t").alias("m"))
+    asked = ask.select("q", F.explode("t").alias("term")).groupBy("term").agg(F.collect_list("q").alias("qs"))
+    postings = d.select("id", F.size("t").alias("l"), F.explode("t").alias("term")).join(asked, "term")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    part = term_score(F.lit(1.0), idf(F.lit(float(n or 0)), F.col("df")), F.col("l"), F.lit(float(avgdl or 1)), k1, b)
+    scored = postings.join(df, "term").select("id", part.alias("s"), F.explode("qs").alias("q"))
+    total = scored.groupBy("q", "id").agg(F.sum("s").alias("s"), F.count("*").alias("c")).join(size, "q")
+    total = total.select("q", "id", F.round(F.col("s") * (1 + COVERAGE * F.col("c") / F.col("m")), 9).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
+
+
+class TextIndex:
+    """Postings of a collection in a folder: written once, a query reads only the buckets of its terms.
+
+    postings(bucket, term, id, tf, length) are partitioned by a hash of the term and sorted by it; boosted fields add to tf. statistics is one
+    row (n, avgdl). Document frequencies are counted from the postings that a query reads anyway.
+    """
+
+    def __init__(self, spark, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def build(self, docs: DataFrame, id_col: str, tokens: Column, title: Column | None = None, tags: Column | None = None) -> "TextIndex":
+        boost = F.array().cast("array<string>")
+        for x in (title, tags):
+            if x is not None:
+                boost = F.concat(boost, F.flatten(F.array_repeat(x, FIELD_BOOST)))
+        d = docs.select(F.col(id_col).alias("id"), bind(tokens, lambda t: F.struct(F.size(t).alias("length"), F.concat(t, boost).alias("all"))).alias("m"))
+        rows = d.select("id", "m.length", F.explode("m.all").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+        rows = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        d.agg(F.count("*").alias("n"), F.coalesce(F.avg("m.length"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{self.folder}/statistics")
+        return self
+
+    def search(self, query: list[str], k1: float = K1, b: float = B, coverage: bool = True) -> DataFrame:
+        """(id, bm25_score, matched) of the documents with a term of the query."""
+        postings = self.spark.read.parquet(f"{self.folder}/postings")
+        ask = sorted(set(query))
+        wanted = sorted({r[0] for r in self.spark.createDataFrame([(q,) for q in ask], "term string").select(self._bucket(F.col("term"))).collect()}) if ask else []
+        n, avgdl = self.spark.read.parquet(f"{self.folder}/statistics").first()
+        hits = postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(ask)) if ask and n and avgdl else postings.limit(0)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        weight = idf(F.lit(float(n)), F.col("df"))
+        scored = hits.join(F.broadcast(df), "term").select("id", term_score(F.col("tf"), weight, F.col("length"), F.lit(float(avgdl or 1)), k1, b).alias("s"))
+        out = scored.groupBy("id").agg(F.sum("s").alias("bm25_score"), F.count("*").cast("int").alias("matched"))
+        return out.withColumn("bm25_score", F.col("bm25_score") * (1 + COVERAGE * F.col("matched") / max(1, len(ask)))) if coverage else out

@@ -97,7 +97,7 @@ def near_copies_dropped(events: DataFrame, gap: int = GAP, per: list[str] | None
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, tie], ascending=[False, True], kind="stable")
-        kept: list[tuple] = []
+        kept: dict = {}  # by windows of the gap's length; those without a time under None
         stay = []
         for r in pdf.itertuples(index=False):
             end = getattr(r, "source_window_end")
@@ -105,14 +105,16 @@ def near_copies_dropped(events: DataFrame, gap: int = GAP, per: list[str] | None
             native = bool(getattr(r, "rerank_applied", False) or False)
             sim = next((x for x in (r.score, getattr(r, "vector_score", None)) if x is not None and not pd.isna(x)), 0.0)
             copy = False
-            for e, cast, was in kept:
+            block = None if end is None else int(end // max(1, gap))
+            near = [x for b in kept for x in kept[b]] if end is None else [x for b in (block - 1, block, block + 1, None) for x in kept.get(b, ())]
+            for e, cast, was in near:
                 if (end is None or e is None or abs(e - end) < gap) and _overlap(cast, r.characters) >= OVERLAP:
                     if not native and not was and sim >= ESCAPE:
                         continue
                     copy = True
                     break
             if not copy:
-                kept.append((end, r.characters, native))
+                kept.setdefault(block, []).append((end, r.characters, native))
             stay.append(not copy)
         return pdf[stay]
 
@@ -127,8 +129,15 @@ def beyond_context(events: DataFrame, chat_length: int, depth: int) -> DataFrame
 
 
 def retrieved(live: DataFrame, archive: DataFrame | None, chat_length: int, top_k: int = 8, anchor_text: str = "", depth: int = 0, gap: int = GAP, least_importance: int = 1, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The event query: candidates of all lookups, best row of each event, rerank, near copies, context, top k."""
-    merged = _merged(live)
+    """The event query: candidates of all lookups, best row of each event, rerank, near copies, context, top k.
+
+    Of each lookup (column lookup, where there is one) the 2 * top_k best are candidates, so the walk over near copies sees a few rows. More
+    are needed only for what has no score at all.
+    """
+    per = [F.col("lookup")] if "lookup" in live.columns else []
+    w = Window.partitionBy(*per).orderBy(F.col("score").desc_nulls_last(), "event_id")
+    best = live.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2 * top_k).drop("_r") if per else live.orderBy(F.col("score").desc_nulls_last(), "event_id").limit(2 * top_k)
+    merged = _merged(best)
     if archive is not None:
         merged = merged.unionByName(archive, allowMissingColumns=True)
     scored = reranked(merged, chat_length, weights, anchor_text, None, least_importance)

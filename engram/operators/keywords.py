@@ -9,65 +9,114 @@ from ..functions.text import CJK, bind, cjk_tokens, stem, stop_words
 #: Characters scanned and keywords kept at each level.
 LEVELS = {"minimal": {"scan": 1500, "keep": 5}, "balanced": {"scan": 5000, "keep": 12}, "aggressive": {"scan": None, "keep": 15}}
 MOST_WEIGHT, BASE_WEIGHT = 3.0, 1.5
+#: Fixed values of the extraction: what is cut from a text, what a capitalised word, a compound and a bracketed term are.
+TAGS = (r"(?i)\s*\[keywords?[:\s][^\]]*\]", rf"\[[^\]{CJK}]{{1,30}}\]")
+CITATIONS, ITALICS, POSSESSIVE = r"\([^)]+\)", r"\*[^*]+\*", r"'s\b"
+CAPITALISED, COMPOUND, LATIN_WORD = r"\b[A-Z][a-z]{3,}\b", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]+[/_][A-Za-z0-9_]+(?![A-Za-z0-9_])", r"(?<![a-z0-9_])[a-z]{4,}(?![a-z0-9_])"
+BRACKETS = (r"【([^】\n]{2,20})】", r"\[([^\]\n]{2,20})\]")
 
 
 def _untagged(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\s*\[keywords?[:\s][^\]]*\]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"\[[^\]{CJK}]{{1,30}}\]", " "), r"[ \t]+", " "))
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), TAGS[0], "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, TAGS[1], " "), r"\s+", " "))
 
 
 def bracket_terms(text: Column) -> Column:
     """Terms of 2 to 20 letters in square or lenticular brackets that have a letter of a script without word spaces."""
-    both = F.concat(F.regexp_extract_all(text, F.lit(r"【([^】\n]{2,20})】"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\[([^\]\n]{2,20})\]"), F.lit(1)))
+    both = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in BRACKETS))
     return F.array_distinct(F.filter(F.transform(both, F.trim), lambda t: t.rlike(f"[{CJK}]")))
 
 
-def _words(text: Column, least: int) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(text, f"[{CJK}]", " "), r"[^\w\s'-]", " ")
-    return F.concat(F.filter(F.split(F.lower(plain), r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(text))
+def _kept(word: Column, n: Column, singles: list[str] | None) -> Column:
+    """Whether a piece of a script without word spaces may be a keyword: of one letter only in modes that list such ones, if it is listed or repeated."""
+    alone = (F.length(word) < 2) & word.rlike(f"[{CJK}]")
+    return ~alone | ((n >= 2) | word.isin(singles) if singles is not None else F.lit(False))
 
 
-def _candidates(docs: DataFrame, id_col: str, text: Column, least: int, level: str, mode: str) -> DataFrame:
-    """(id, sentence, word, form, proper): every word that is no stop word, stemmed unless the text has it capitalised."""
+def _scanned(text: Column, level: str, at_space: bool) -> Column:
+    """As much of a text as the level scans, up to a space where there is one in its last fifth."""
     scan = LEVELS[level]["scan"]
-    clean = F.regexp_replace(_untagged(text), r"'s\b", "")
-    d = docs.select(F.col(id_col), (F.substring(clean, 1, scan) if scan else clean).alias("_t"))
-    parts = F.filter(F.transform(F.split("_t", r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
-    proper = F.transform(F.regexp_extract_all("_t", F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0)), F.lower)
-    d = d.select(id_col, F.array_distinct(proper).alias("_p"), bind(parts, lambda p: F.when(F.size(p) == 0, F.array(F.col("_t"))).otherwise(p)).alias("_s"))
-    d = d.select(id_col, "_p", F.size("_s").alias("sentences"), F.posexplode("_s").alias("sentence", "_x"))
-    d = d.select(id_col, "_p", "sentences", "sentence", F.explode(_words(F.col("_x"), least)).alias("form"))
-    d = d.where(~F.col("form").isin(stop_words(mode)))
-    is_proper = F.array_contains("_p", F.col("form"))
-    return d.select(id_col, "sentences", "sentence", "form", is_proper.alias("proper"), F.when(is_proper | (F.length("form") <= 3) | F.col("form").rlike(f"[{CJK}]"), F.col("form")).otherwise(stem(F.col("form"))).alias("word"))
+    if not scan:
+        return text
+    cut = F.substring(text, 1, scan)
+    if not at_space:
+        return cut
+    last = scan - F.instr(F.reverse(cut), " ")
+    return F.when((F.length(text) > scan) & F.contains(cut, F.lit(" ")) & (last > scan * 0.8), F.substring(cut, F.lit(1), last)).otherwise(cut)
+
 
+def _of_forms(rows: DataFrame, id_col: str, mode: str, *kept: str) -> DataFrame:
+    """rows(id, form, proper, ...) with word: the form of a capitalised or short word or one without word spaces, else its stem."""
+    as_is = F.col("proper") | (F.length("form") <= 3) | F.col("form").rlike(f"[{CJK}]")
+    return rows.withColumn("word", F.when(as_is, F.col("form")).otherwise(stem(F.col("form"))))
 
-def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", least: int = 3) -> DataFrame:
-    """(id, rank, keyword, score, weight): words by tf * (ln((S + 1) / (sentences with it + 1)) + 1), 1.3 times as much if capitalised.
 
-    A text's sentences are its corpus. The most frequent form of a stem is shown, the first in order on a tie.
+def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", least: int = 3, singles: list[str] | None = None) -> DataFrame:
+    """(id, rank, keyword, score, weight): words by tf * (ln((S + 1) / (sentences with it + 1)) + 1), 1.3 times as much if the text has it capitalised.
+
+    A text's sentences are its corpus. Terms in brackets come before all others. The most frequent form of a stem is shown, the first in
+    order on a tie. The texts are shuffled once, by id; all that follows stays in their partitions.
     """
-    words = _candidates(docs, id_col, text, least, level, mode)
-    per_form = words.groupBy(id_col, "word", "form").agg(F.count("*").alias("c"), F.max("sentences").alias("s"), F.collect_set("sentence").alias("in_"), F.max("proper").alias("proper"))
+    clean = F.regexp_replace(_scanned(_untagged(text), level, True), POSSESSIVE, "")
+    d = docs.select(F.col(id_col), _untagged(text).alias("_u"), clean.alias("_t")).where(F.length("_u") > 0).repartition(id_col)
+    parts = F.filter(F.transform(F.split("_t", r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
+    proper = F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))
+    d = d.select(id_col, "_u", "_t", proper.alias("_p"), bind(parts, lambda p: F.when(F.size(p) == 0, F.array(F.col("_t"))).otherwise(p)).alias("_s"))
+    plain = F.regexp_replace(F.lower(F.regexp_replace("_x", f"[{CJK}]", " ")), r"[^\w\s'-]", " ")
+    words = F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(F.col("_x")))
+    rows = d.select(id_col, F.size("_s").alias("s"), F.posexplode("_s").alias("sentence", "_x")).select(id_col, "s", "sentence", F.explode(words).alias("form"))
+    rows = rows.where(~F.col("form").isin(stop_words(mode)))
+    per_form = rows.groupBy(id_col, "form").agg(F.count("*").alias("c"), F.first("s").alias("s"), F.collect_set("sentence").alias("in_"))
+    # capitalised words, once each, tell which forms are names, and later which words the text has capitalised
+    names = d.select(id_col, F.explode("_p").alias("form")).withColumn("proper", F.lit(True))
+    per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
     per = per_form.groupBy(id_col, "word").agg(
-        F.sum("c").alias("tf"), F.max("s").alias("s"), F.size(F.array_distinct(F.flatten(F.collect_list("in_")))).alias("df"), F.max("proper").alias("proper"),
-        F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"),
-    )
-    score = F.col("tf") * (F.log((F.col("s") + 1) / (F.col("df") + 1)) + 1) * F.when(F.col("proper"), 1.3).otherwise(1.0)
+        F.sum("c").alias("tf"), F.first("s").alias("s"), F.size(F.array_distinct(F.flatten(F.collect_list("in_")))).alias("df"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"),
+    ).where(_kept(F.col("word"), F.col("tf"), singles))
+    caps = d.select(id_col, F.array_distinct(F.regexp_extract_all("_u", F.lit(r"\p{Lu}\S*"), F.lit(0))).alias("caps"), F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stop_words(mode)))).alias("terms"))
+    first = F.substring("word", 1, 1)
+    title = F.concat(F.upper(first), F.expr("substring(word, 2)"))
+    capital = (F.upper(first) == first) | F.exists("caps", lambda x: F.contains(x, title))
+    score = F.col("tf") * (F.log((F.col("s") + 1) / (F.col("df") + 1)) + 1)
+    per = per.join(caps, id_col).select(id_col, "word", "f.form", "terms", (score * F.when(capital, 1.3).otherwise(1.0)).alias("score"))
+    keep = LEVELS[level]["keep"]
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "word")
-    out = per.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LEVELS[level]["keep"])
-    top = F.max("score").over(Window.partitionBy(id_col))
-    return out.select(id_col, "rank", F.col("f.form").alias("keyword"), "score", (F.lit(base) + F.col("score") / top * 0.5).alias("weight"))
-
-
-def frequency_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en") -> DataFrame:
-    """(id, rank, keyword, n, weight): words of four letters or more by frequency, weight base + 0.1 a repetition, 3 at most."""
-    words = _candidates(docs, id_col, F.regexp_replace(F.regexp_replace(text, r"\([^)]+\)", " "), r"\*[^*]+\*", " "), 4, level, mode)
-    per_form = words.groupBy(id_col, "word", "form").agg(F.count("*").alias("c"))
-    per = per_form.groupBy(id_col, "word").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"))
+    top = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    # bracketed terms that are no word already
+    boost = F.col("score") * 1.5 + 10
+    lists = top.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("form").alias("keyword"), "score"))).alias("own"), F.first("terms").alias("terms"), F.collect_set("word").alias("words"), F.max("score").alias("score"))
+    none = d.join(lists.select(id_col), id_col, "left_anti").select(id_col, F.array().cast("array<struct<rank:bigint,keyword:string,score:double>>").alias("own"), bracket_terms(F.col("_t")).alias("terms"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("score"))
+    both = lists.unionByName(none)
+    extra = F.transform(F.array_except("terms", "words"), lambda t, i: F.struct(i.cast("long").alias("rank"), t.alias("keyword"), boost.alias("score")))
+    out = both.select(id_col, F.posexplode(F.slice(F.concat(extra, "own"), 1, keep)).alias("place", "k"))
+    best = F.max("k.score").over(Window.partitionBy(id_col))
+    return out.select(id_col, (F.col("place") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score"), (F.lit(base) + F.col("k.score") / best * 0.5).alias("weight"))
+
+
+def frequency_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", singles: list[str] | None = None) -> DataFrame:
+    """(id, rank, keyword, n, weight): words of four Latin letters or more by frequency, weight base + 0.1 a repetition, 3 at most.
+
+    Compounds (a/b, a_b, as a_b) weigh base + 0.2, terms in brackets 3. Of one keyword the highest weight counts. On a tie the more
+    frequent comes first, then words, compounds and terms, each in order. The texts are shuffled once, by id.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(_untagged(text), CITATIONS, " "), ITALICS, " "), POSSESSIVE, "")
+    d = docs.select(F.col(id_col), _scanned(clean, level, False).alias("_t")).repartition(id_col)
+    stops = stop_words(mode)
+    words = F.concat(F.regexp_extract_all(F.lower("_t"), F.lit(LATIN_WORD), F.lit(0)), cjk_tokens(F.col("_t")))
+    per_form = d.select(id_col, F.explode(words).alias("form")).where(~F.col("form").isin(stops)).groupBy(id_col, "form").agg(F.count("*").alias("c"))
+    names = d.select(id_col, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))).alias("form")).withColumn("proper", F.lit(True))
+    per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
+    per = per_form.groupBy(id_col, "word").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f")).where(_kept(F.col("word"), F.col("n"), singles))
     weight = F.least(F.lit(MOST_WEIGHT), base + 0.1 * (F.col("n") - 1))
-    out = per.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("n").desc(), "word"))).where(F.col("rank") <= LEVELS[level]["keep"])
-    return out.select(id_col, "rank", F.col("f.form").alias("keyword"), "n", weight.alias("weight"))
+    rows = per.select(id_col, F.col("f.form").alias("keyword"), "n", weight.alias("weight"), F.lit(0).alias("kind"), "word")
+    one = lambda found, kind, w: d.select(id_col, F.explode(found).alias("keyword")).select(id_col, "keyword", F.lit(1).cast("long").alias("n"), F.lit(min(MOST_WEIGHT, w)).cast("double").alias("weight"), F.lit(kind).alias("kind"), F.col("keyword").alias("word"))
+    compounds = F.transform(F.regexp_extract_all("_t", F.lit(COMPOUND), F.lit(0)), lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
+    rows = rows.unionByName(one(F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)), 1, base + 0.2))
+    rows = rows.unionByName(one(F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stops))), 2, MOST_WEIGHT))
+    order = [F.col("weight").desc(), F.col("n").desc(), "kind", "word"]
+    rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy(id_col, "keyword").orderBy(*order))).where("_d = 1")
+    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col("rank") <= LEVELS[level]["keep"])
+    return out.select(id_col, "rank", "keyword", "n", "weight")
 
 
 def chat_keywords(text: Column, most: int = 8, mode: str = "en") -> Column:
@@ -85,20 +134,24 @@ def lorebook_keywords(keys: Column, secondary: Column, mode: str = "en") -> Colu
 
 
 def query_keywords(queries: DataFrame, id_col: str, text: Column, most: int = 50, mode: str = "en") -> DataFrame:
-    """(id, rank, keyword): pieces of scripts without spaces first, 15 of them from the first 240 characters; Latin words by frequency, those of the
-    beginning twice; 10 Latin ones more when the others fill the list."""
+    """(id, rank, keyword): pieces of scripts without spaces, first the 15 most frequent of the first 240 characters, then those of the rest, most in
+    all; Latin words by frequency, those of the beginning twice, fill the list, or come as 10 more behind a full one. Ties are in order.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
     head = F.substring(low, 1, 240)
-    latin = lambda t: F.filter(F.regexp_extract_all(t, F.lit(r"[a-z][a-z0-9'-]{2,}"), F.lit(0)), lambda w: ~w.isin(stop_words(mode)))
-    rows = queries.select(F.col(id_col), F.explode(F.concat(
-        F.transform(cjk_tokens(head), lambda t: F.struct(F.lit(0).alias("kind"), t.alias("t"), F.lit(1000000).alias("n"))),
-        F.transform(cjk_tokens(low), lambda t: F.struct(F.lit(0).alias("kind"), t.alias("t"), F.lit(1).alias("n"))),
-        F.transform(F.concat(latin(low), latin(head)), lambda t: F.struct(F.lit(1).alias("kind"), t.alias("t"), F.lit(1).alias("n"))),
-    )).alias("x")).select(id_col, "x.*")
-    per = rows.groupBy(id_col, "kind", "t").agg(F.sum("n").alias("n"))
-    per = per.withColumn("place", F.row_number().over(Window.partitionBy(id_col, "kind").orderBy(F.col("n").desc(), "t")))
-    cjk = F.least(F.count_if(F.col("kind") == 0).over(Window.partitionBy(id_col)), F.lit(most))
-    keep = F.when(F.col("kind") == 0, F.col("place") <= most).otherwise(F.col("place") <= F.when(cjk >= most, 10).otherwise(most - cjk))
+    stops = stop_words(mode)
+    latin = lambda t: F.regexp_extract_all(t, F.lit(r"[a-z][a-z0-9'-]{2,}"), F.lit(0))
+    tagged = lambda a, kind, h: F.transform(a, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t"), F.lit(h).alias("h"), F.lit(1).alias("n")))
+    rows = queries.select(F.col(id_col), F.explode(F.concat(tagged(cjk_tokens(low), 0, 0), tagged(cjk_tokens(head), 0, 1), tagged(latin(low), 1, 0), tagged(latin(head), 1, 0))).alias("x")).select(id_col, "x.*")
+    per = rows.where(~F.col("t").isin(stops)).groupBy(id_col, "kind", "t").agg(F.sum(F.when(F.col("h") == 0, 1).otherwise(0)).alias("n"), F.sum("h").alias("head"))
+    early = min(15, most)
+    place = lambda *o: F.row_number().over(Window.partitionBy(id_col, "kind").orderBy(*o))
+    per = per.withColumn("at", place(F.col("head").desc(), "t")).withColumn("at", F.when((F.col("kind") == 0) & (F.col("head") > 0) & (F.col("at") <= early), F.col("at")))
+    # those of the beginning fill their own share only, the rest the rest of the list
+    per = per.withColumn("place", place(F.col("at").asc_nulls_last(), F.col("n").desc(), "t")).withColumn("early", F.count("at").over(Window.partitionBy(id_col, "kind")))
+    cjk = (F.col("kind") == 0) & (F.col("at").isNotNull() | (F.col("place") - F.col("early") <= most - early))
+    per = per.withColumn("_c", F.count_if(cjk).over(Window.partitionBy(id_col)))
+    keep = cjk | ((F.col("kind") == 1) & (F.col("place") <= F.when(F.col("_c") >= most, 10).otherwise(most - F.col("_c"))))
     return per.withColumn("_keep", keep).where("_keep").withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("kind", "place"))).select(id_col, "rank", F.col("t").alias("keyword"))
 
 

@@ -24,7 +24,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table in as many partitions as there are cores at least: a small file is one row group, which one task reads."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def r6(c):
@@ -259,9 +261,9 @@ def vectorization_tip(spark, d):
     return _events(spark, d).agg(events.vectorization_tip(None).alias("tip"))
 
 
-@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM ({_EVENTS}) WHERE importance = 10 GROUP BY event_type")
+@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM ({_EVENTS}) GROUP BY event_type")
 def event_format(spark, d):
-    e = _events(spark, d).where("importance = 10").withColumns({"summary": F.concat("event_type", F.lit(" "), "event_id"), "final_score": F.col("score")})
+    e = _events(spark, d).withColumns({"summary": F.concat("event_type", F.lit(" "), "event_id"), "final_score": F.col("score")})
     return e.groupBy("event_type").agg(events.formatted(e, "summary").alias("context"))
 
 
@@ -386,7 +388,7 @@ def extract_links(spark, d):
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(?:b|i|u|em|strong)>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS text FROM (SELECT page_id, regexp_replace(html, '(?i)<font[^>]*>(.*?)</font>', '\1', 'g') AS html FROM pages)")
 def clean_preset(spark, d):
-    rules_ = [cleaning.BUILT_IN["font_tags"], cleaning.BUILT_IN["bold_italic"]]
+    rules_ = [cleaning.BUILT_IN["strip_font_tags"], cleaning.BUILT_IN["strip_bold_italic"]]
     return table(spark, d, "pages").select("page_id", cleaning.clean(F.col("html"), rules_).alias("text"))
 
 
@@ -457,14 +459,17 @@ def glossary(spark, d):
 
 
 def _chunks(spark, d) -> DataFrame:
-    e = table(spark, d, "documents")
+    """Documents as chunks of their sources, scored by their vectors, or 0 without one; every third is a summary of another."""
+    q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, d)))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), ((1 + vectors.cosine(F.col("embedding"), q)) / 2).alias("score"))
+    e = table(spark, d, "documents").join(v, "doc_id", "left")
     return e.select(
-        F.col("source").alias("collection_id"), F.col("doc_id").alias("hash"), F.substring("text", 1, 40).alias("text"), (1 / (1 + F.col("doc_id") % 97)).alias("score"), (F.col("doc_id") % 3 == 0).alias("is_summary"),
+        F.col("source").alias("collection_id"), F.col("doc_id").alias("hash"), "text", F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("doc_id") % 3 == 0).alias("is_summary"),
         F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 20).alias("parent_hash"),
     )
 
 
-_CHUNKS = "SELECT source AS collection_id, doc_id AS hash, substr(text, 1, 40) AS text, 1.0::DOUBLE / (1 + doc_id % 97) AS score, doc_id % 3 = 0 AS is_summary, CASE WHEN doc_id % 3 = 0 THEN doc_id + 20 END AS parent_hash FROM documents"
+_CHUNKS = f"SELECT source AS collection_id, doc_id AS hash, text, CASE WHEN vec_id IS NULL THEN 0::DOUBLE ELSE (1 + list_cosine_similarity(embedding::DOUBLE[], {_Q})) / 2 END AS score, doc_id % 3 = 0 AS is_summary, CASE WHEN doc_id % 3 = 0 THEN doc_id + 20 END AS parent_hash FROM documents LEFT JOIN embeddings ON vec_id = doc_id"
 _HITS = f"SELECT * FROM ({_CHUNKS}) WHERE score >= 0.1"
 
 
@@ -556,7 +561,7 @@ def _pages(spark, d) -> DataFrame:
     return p.select(
         F.col("page_id").cast("string").alias("key"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("library_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), "url",
         F.array(F.regexp_extract("html", 'lang="([a-z]+)"', 1)).alias("categories"), F.length("html").cast("long").alias("size_bytes"), (F.col("page_id") % 2).cast("int").alias("content_fetched"),
-        F.substring("html", 1, 60).alias("content"), F.substring("html", 1, 60).alias("plaintext"), F.col("page_id").alias("fetched_at"),
+        F.col("html").alias("content"), F.col("html").alias("plaintext"), F.col("page_id").alias("fetched_at"),
     )
 
 

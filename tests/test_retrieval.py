@@ -159,9 +159,9 @@ def test_keywords_of_whole_texts_equal_brute_force(spark, tmp_path):
         for least, out in ((3, tfidf), (4, frequency)):
             n, rows = plain_words(spark, text, least)
             forms, tf, df = Counter((w, f) for _, f, w, _ in rows), Counter(w for _, _, w, _ in rows), Counter(w for _, w in {(k, w) for k, _, w, _ in rows})
-            proper = {w for _, _, w, p in rows if p}
+            capital = {w for w in tf if w[0].upper() + w[1:] in text}
             shown = {w: min((-c, f) for (v, f), c in forms.items() if v == w)[1] for w in tf}
-            score = {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) * (1.3 if w in proper else 1) if least == 3 else c for w, c in tf.items()}
+            score = {w: c * (math.log((n + 1) / (df[w] + 1)) + 1) * (1.3 if w in capital else 1) if least == 3 else c for w, c in tf.items()}
             top = sorted(score, key=lambda w: (-round(score[w], 9), w))[:15]
             for rank, w in enumerate(top, 1):
                 out[i, rank] = (shown[w], pytest.approx(score[w], abs=2e-6), pytest.approx(1.5 + score[w] / score[top[0]] * 0.5 if least == 3 else min(3, 1.5 + 0.1 * (score[w] - 1)), abs=2e-6))
