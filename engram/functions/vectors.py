@@ -130,3 +130,36 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vecto
         out = out.unionByName(f)
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_col), F.col("i").alias(id_col), "score", "rank")
+
+
+#: Vectors of one block of a pairwise comparison.
+BLOCK_ROWS = 2048
+
+
+def pairwise(rows: DataFrame, per: str, id_col: str, vector_col: str) -> DataFrame:
+    """(per, pairs, mean_similarity, max_similarity): cosines of all pairs within each group, in pairs of blocks of about BLOCK_ROWS rows.
+
+    A large group is cut by a hash of the ids, so that no task has more than two blocks of it.
+    """
+    size = rows.groupBy(per).agg(F.count("*").alias("_n")).select(F.col(per).alias("_g"), F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
+    r = rows.select(F.col(per).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(size, F.col("g").eqNullSafe(F.col("_g")))
+    r = r.withColumn("b", F.pmod(F.xxhash64("id"), "_blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    r = r.select("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "v")
+
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column("b").to_numpy()
+        m = np.array(t.column("v").to_pylist(), np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        first, last = block == block.min(), block == t.column("j")[0].as_py()
+        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        if not one and (block.min() == block.max()):
+            score = np.zeros(0)
+        else:
+            s = m[first] @ m[last].T
+            score = s[np.triu_indices(len(s), 1)] if one else s.ravel()
+        most = [float(score.max())] if len(score) else [None]
+        return pa.table({"g": t.column("g").slice(0, 1), "n": pa.array([len(score)], pa.int64()), "s": pa.array([float(score.sum())]), "m": pa.array(most, pa.float64())})
+
+    kind = dict(rows.dtypes)[per]
+    out = r.groupBy("g", "i", "j").applyInArrow(run, f"g {kind}, n long, s double, m double").groupBy("g").agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.max("m").alias("max_similarity"))
+    return out.where("pairs > 0").select(F.col("g").alias(per), "pairs", (F.col("s") / F.col("pairs")).alias("mean_similarity"), "max_similarity")

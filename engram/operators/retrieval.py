@@ -108,7 +108,7 @@ def enriched(chunks: DataFrame, id_col: str, content_type: str, source_name: str
         amount = lambda k: base + 0.2 + (F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(k["importance"], F.lit(5)))) - 1) / 9 * 0.6
         own.append(F.transform(F.filter("record_keywords", lambda k: k["text"] != ""), lambda k: F.struct(F.lower(k["text"]).alias("text"), amount(k).alias("weight"))))
     find = keywords.tfidf_keywords if content_type == "chat" else keywords.frequency_keywords
-    parts = [chunks.select(id_col, F.explode(F.concat(*own)).alias("k")).select(id_col, F.col("k.text").alias("keyword"), F.col("k.weight").alias("weight"))]
+    parts = [chunks.select(id_col, F.explode(F.concat(*(F.coalesce(x, none) for x in own))).alias("k")).select(id_col, F.col("k.text").alias("keyword"), F.col("k.weight").alias("weight"))]
     if level != "off":
         parts.append(find(chunks, id_col, F.col("text"), level, base).select(id_col, "keyword", "weight"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import hashing, scoring, text as tx, vectors
+from ..functions import bloom, hashing, scoring, text as tx, vectors
 from ..operators import bm25, browse, catalog, chunking, context, events, joins, keywords, retrieval, rules, wiki
 from .registry import _CHUNKS, _EVENTS, _HITS, _LINKS, _PAGES, _Q, _TOK, _bm25_sql, _chunks, _events, _item_terms, _links, _pages, _query_vector, _simple, query, r6, table
 
@@ -474,3 +474,12 @@ def continued_categories(spark, d):
 def text_counts(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", tx.char_count(F.col("text")).alias("chars"), tx.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def bloom_semi_join(spark, d):
+    """A Bloom filter of the smaller side thins the larger one before the join."""
+    wanted = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    bits, hashes = bloom.shape(wanted.count())
+    thin = bloom.maybe_in(table(spark, d, "documents").select("doc_id"), "doc_id", bloom.build(wanted, "doc_id", bits, hashes), bits, hashes)
+    return thin.join(wanted, "doc_id", "left_semi")

@@ -79,11 +79,9 @@ def knn_per_collection(spark, d):
 @query("""SELECT a.label, count(*) AS pairs, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_similarity, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS max_similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def pairwise_cosine_by_label(spark, d):
-    """All pairs of a small collection, as the matrix functions give; vectors are made unit length once, not per pair."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", vectors.normalize(F.col("embedding")).alias("v"))
-    a, b = e.select("label", F.col("vec_id").alias("i"), F.col("v").alias("x")), e.select("label", F.col("vec_id").alias("j"), F.col("v").alias("y"))
-    s = vectors.dot(F.col("x"), F.col("y"))
-    return a.join(b, "label").where("i < j").groupBy("label").agg(F.count("*").alias("pairs"), r6(F.avg(s)).alias("mean_similarity"), r6(F.max(s)).alias("max_similarity"))
+    """All pairs of each collection, as the matrix functions give, block by block."""
+    out = vectors.pairwise(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+    return out.select("label", "pairs", r6("mean_similarity").alias("mean_similarity"), r6("max_similarity").alias("max_similarity"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first_component, len(embedding) AS dims, list_min(embedding) < 0 AS has_negative FROM embeddings")

@@ -8,7 +8,7 @@ import struct
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.cleaning import Rule, clean
 
@@ -25,7 +25,9 @@ def _messages(rows: DataFrame) -> DataFrame:
 
 def chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chats of one JSON message a line; a first line that describes the chat is left out. A file is a chat."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("chat_id"), F.posexplode(F.split("value", r"\r?\n")).alias("idx", "line")).where(F.trim("line") != "")
+    # a file may be read in parts: its lines are numbered by where their part begins and their order in it
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("chat_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    lines = rows.withColumn("idx", F.row_number().over(Window.partitionBy("chat_id").orderBy("at", "n")) - 1).where(F.trim("line") != "")
     head = F.get_json_object("line", "$.chat_metadata").isNotNull() | F.get_json_object("line", "$.user_name").isNotNull() | F.get_json_object("line", "$.character_name").isNotNull()
     return _messages(lines.where(~((F.col("idx") == 0) & F.coalesce(head, F.lit(False)))).select("chat_id", "idx", F.from_json("line", MESSAGE).alias("m")))
 
@@ -149,5 +151,10 @@ def export_rows(chunks: DataFrame, collection: Column, version: str = "1.0.0") -
     return chunks.select(F.lit(version).alias("version"), collection.alias("collection"), F.struct(*chunks.columns).alias("chunk"))
 
 
+def write_export(chunks: DataFrame, collection: Column, path: str, version: str = "1.0.0") -> None:
+    """The export as files of JSON lines."""
+    export_rows(chunks, collection, version).write.mode("overwrite").json(path)
+
+
 def dumps(rows: list[dict]) -> str:
     return json.dumps(rows, ensure_ascii=False)

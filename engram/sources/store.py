@@ -2,77 +2,137 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.hashing import event_hash
 from ..functions.vectors import is_valid
+from ..operators.events import assert_unique, embed_text
+from .readers import import_errors
 
 
 class ChunkStore:
     """Insert, delete, update, scan and look up chunks by (collection_id, hash).
 
-    Every change writes the collections it touches as a new version and then names it current, so a reader sees
-    all of a change or nothing, and a task that is run again does no harm. Scans prune to the collection's folder and to
-    the columns asked for.
+    A change is a folder of the rows it touches, in buckets of their hashes; after `deltas` of them the collection is written as
+    one again. A folder counts once the log names it, under a number that only one writer can take, so a reader sees all of a
+    change or nothing, and a task that is run again does no harm. A look-up reads one bucket, a scan the columns asked for.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    BUCKETS = 16
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, deltas: int = 16):
+        self.spark, self.path, self.schema, self.deltas = spark, path.rstrip("/"), schema, deltas
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path
         return p(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self, collection: str) -> list[int]:
+    def _log(self, collection: str) -> list[tuple[int, str, str]]:
+        """(number, kind, folder) of what counts: the last whole table and the changes after it."""
+        fs, p = self._fs()
+        folder = p(f"{self.path}/{collection}/log")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        entries = [(int(n[:9]), n[10:15], n[10:]) for n in names if n[:1].isdigit()]
+        last = max((k for k, e in enumerate(entries) if e[1] == "whole"), default=0)
+        return entries[last:]
+
+    def _commit(self, collection: str, kind: str, rows: DataFrame) -> None:
+        """Write the rows, then take the next number; another writer's change in between comes before this one."""
         fs, p = self._fs()
-        folder = p(f"{self.path}/{collection}")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(p(f"{self.path}/{collection}/{n}/_SUCCESS")))
+        name = f"{kind}-{uuid.uuid4().hex}"
+        bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64("hash"), F.lit(self.BUCKETS)).cast("int"))
+        bucketed.write.partitionBy("_bucket").parquet(f"{self.path}/{collection}/data/{name}")
+        while True:
+            log = self._log(collection)
+            number = log[-1][0] + 1 if log else 1
+            try:  # a name without the folder takes the number; the entry behind it says what it stands for
+                fs.create(p(f"{self.path}/{collection}/taken/{number:09d}"), False).close()
+            except Exception as e:
+                if "Exist" not in str(e):
+                    raise
+                continue
+            fs.create(p(f"{self.path}/{collection}/log/{number:09d}-{name}"), False).close()
+            return
+
+    def _read(self, collection: str, name: str) -> DataFrame:
+        schema = self.spark.createDataFrame([], self.schema).schema
+        if name.startswith("delta"):
+            schema = schema.add("_gone", T.BooleanType())
+        return self.spark.read.schema(schema.add("_bucket", T.IntegerType())).parquet(f"{self.path}/{collection}/data/{name}")
+
+    def _rows(self, collection: str) -> DataFrame:
+        """The collection's rows with their buckets: of each hash the last change, or the whole table's row."""
+        log = self._log(collection)
+        empty = self.spark.createDataFrame([], self.schema).withColumn("_bucket", F.lit(0))
+        columns = empty.columns
+        whole = self._read(collection, log[0][2]) if log and log[0][1] == "whole" else empty
+        changes = [self._read(collection, name).withColumn("_n", F.lit(n)) for n, kind, name in log if kind == "delta"]
+        if not changes:
+            return whole.select(*columns)
+        both = reduce(DataFrame.unionByName, changes)
+        last = both.groupBy("hash", "_bucket").agg(F.max_by(F.struct(*[c for c in both.columns if c not in ("hash", "_bucket")]), "_n").alias("r")).select("hash", "_bucket", "r.*")
+        return whole.join(last.select("hash", "_bucket"), ["hash", "_bucket"], "left_anti").select(*columns).unionByName(last.where("NOT _gone").select(*columns))
 
     def scan(self, collection: str) -> DataFrame:
-        v = self._versions(collection)
-        if not v:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{collection}/v{v[-1]}")
-
-    def _replace(self, collection: str, rows: DataFrame) -> None:
-        v = self._versions(collection)
-        rows.write.parquet(f"{self.path}/{collection}/v{v[-1] + 1 if v else 1}")
+        return self._rows(collection).drop("_bucket")
+
+    def _change(self, collection: str, rows: DataFrame) -> None:
+        self._commit(collection, "delta", rows)
+        if len(self._log(collection)) > self.deltas:
+            self.compact(collection)
+
+    def compact(self, collection: str) -> None:
+        """Write the collection as one table. What came before stays for readers that have begun, until vacuum()."""
+        self._commit(collection, "whole", self.scan(collection))
+
+    def vacuum(self, collection: str) -> None:
+        """Delete the folders that no longer count."""
         fs, p = self._fs()
-        for old in v[:-1]:  # the version before stays for readers that have begun
-            fs.delete(p(f"{self.path}/{collection}/v{old}"), True)
+        keep = {name for _, _, name in self._log(collection)}
+        for s in fs.listStatus(p(f"{self.path}/{collection}/data")):
+            if s.getPath().getName() not in keep:
+                fs.delete(s.getPath(), True)
 
     def upsert(self, collection: str, rows: DataFrame) -> None:
+        """Rows by hash, the first of equal ones; columns they lack are null. Vectors must be finite and not empty (ValueError)."""
         new = rows.dropDuplicates(["hash"])
-        bad = new.where(~is_valid(F.col("vector"))).limit(1).count() if "vector" in new.columns else 0
-        if bad:
+        if "vector" in new.columns and not new.where(~F.coalesce(is_valid(F.col("vector")), F.lit(False))).isEmpty():
             raise ValueError("vectors must be finite and not empty")
-        kept = self.scan(collection).join(new.select("hash"), "hash", "left_anti")
-        self._replace(collection, kept.unionByName(new, allowMissingColumns=True).select(*self.scan(collection).columns))
+        like = self.spark.createDataFrame([], self.schema)
+        self._change(collection, like.unionByName(new, allowMissingColumns=True).select(*like.columns).withColumn("_gone", F.lit(False)))
 
     def delete(self, collection: str, hashes: DataFrame) -> None:
-        self._replace(collection, self.scan(collection).join(hashes.select("hash"), "hash", "left_anti"))
+        """Rows of these hashes go; unknown ones do no harm."""
+        like = self.spark.createDataFrame([], self.schema)
+        self._change(collection, like.unionByName(hashes.select("hash").distinct(), allowMissingColumns=True).withColumn("_gone", F.lit(True)))
 
     def update(self, collection: str, changes: DataFrame) -> None:
+        """New values, nulls included, of the columns that changes has; unknown hashes are left out."""
         cols = [c for c in changes.columns if c != "hash"]
-        c = changes.select("hash", *(F.col(x).alias(f"_{x}") for x in cols))
         now = self.scan(collection)
-        new = now.join(c, "hash", "left").withColumns({x: F.coalesce(F.col(f"_{x}"), F.col(x)) for x in cols}).select(*now.columns)
-        self._replace(collection, new)
+        c = changes.select("hash", *(F.col(x).alias(f"_{x}") for x in cols))
+        new = now.join(c, "hash").withColumns({x: F.col(f"_{x}") for x in cols}).select(*now.columns)
+        self._change(collection, new.withColumn("_gone", F.lit(False)))
 
     def purge(self, collection: str) -> None:
         fs, p = self._fs()
         fs.delete(p(f"{self.path}/{collection}"), True)
 
+    def purge_all(self) -> None:
+        for c in self.collections():
+            self.purge(c)
+
     def hashes(self, collection: str) -> DataFrame:
         return self.scan(collection).select("hash")
 
     def chunk(self, collection: str, h: int) -> DataFrame:
-        return self.scan(collection).where(F.col("hash") == h)
+        """The chunk of a hash: one bucket is read."""
+        return self._rows(collection).where((F.col("_bucket") == F.pmod(F.xxhash64(F.lit(h).cast("long")), F.lit(self.BUCKETS)).cast("int")) & (F.col("hash") == h)).drop("_bucket")
 
     def page(self, collection: str, offset: int = 0, limit: int = 100, vectors: bool = False) -> DataFrame:
         rows = self.scan(collection)
@@ -89,3 +149,28 @@ class ChunkStore:
 def embedded(rows: DataFrame, embed: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """rows with a vector by a hook, usually a pandas UDF; rows whose vector isn't finite go."""
     return rows.withColumn("vector", embed(F.col(text))).where(is_valid(F.col("vector")))
+
+
+def event_rows(events: DataFrame, per: str = "collection_id") -> DataFrame:
+    """Valid events as rows to store: their text, its hash, and the fields as they are; two of one hash in a batch are an error."""
+    out = events.withColumn("text", embed_text())
+    return assert_unique(out.withColumn("hash", event_hash(F.col("text"))), "hash")
+
+
+def import_collection(store: ChunkStore, collection: str, rows: DataFrame, embed: Callable[[Column], Column] | None = None, source: str | None = None, model: str | None = None) -> dict:
+    """Put an export's rows (readers.export_chunks) into a collection; returns what import_errors says.
+
+    Rows without text go. Vectors are used again if all rows have one of one size and the model is ours, else all texts are embedded
+    anew; without a hook for that, or with a vector that isn't finite, it is an error and nothing is written.
+    """
+    full = rows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    said = import_errors(full, source, model).first().asDict()
+    if said["bad_version"] or said["bad_vectors"]:
+        raise ValueError(f"not an export of ours, or vectors that aren't finite: {said}")
+    if not said["vectors_usable"]:
+        if embed is None:
+            raise ValueError("the vectors can't be used again, and there is no hook to make new ones")
+        full = embedded(full.drop("vector"), embed)
+    like = store.spark.createDataFrame([], store.schema).columns
+    store.upsert(collection, full.select(*[c for c in like if c in full.columns]))
+    return said

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.hashing import window_fingerprint
 from ..operators.chunking import count_windows
 
+#: Buckets of conversations that stored messages and the ledger are kept in; a batch reads those of its conversations.
+BUCKETS = 64
+
 
 def fingerprinted(messages: DataFrame, size: int, overlap: int, conv: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
     """Complete windows with a fingerprint of their messages: an edited message makes another window."""
@@ -30,24 +33,33 @@ def window_sync(messages: DataFrame, folder: str, handle: Callable[[DataFrame],
     batch that is run again writes the same folders again.
     """
     base = folder.rstrip("/")
+    bucket = F.pmod(F.xxhash64(conv), F.lit(BUCKETS)).cast("int")
+
+    def stored(spark, name: str, upto: int, buckets: list[int]) -> DataFrame | None:
+        """What the batches before have of these buckets; None before the first."""
+        try:
+            out = spark.read.parquet(f"{base}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return None
+        return out.where((F.col("batch") < upto) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{base}/messages/batch={number}")
+        rows = rows.withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/messages/batch={number}")
+        buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
         touched = rows.select(conv).distinct()
-        everything = spark.read.parquet(f"{base}/messages").where(F.col("batch") <= number).join(touched, conv, "left_semi")
+        before = stored(spark, "messages", number, buckets)
+        now = rows.drop("bucket")
+        everything = now if before is None else before.join(touched, conv, "left_semi").unionByName(now)
         windows = fingerprinted(everything, size, overlap, conv)
-        if number:
-            try:
-                done = spark.read.parquet(f"{base}/ledger").where(F.col("batch") < number)
-            except Exception as e:  # no batch has had a whole window yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                done = None
-            if done is not None:
-                windows = unprocessed(windows, done, 0, conv)
+        done = stored(spark, "ledger", number, buckets)
+        if done is not None:
+            windows = unprocessed(windows, done, 0, conv)
         handle(windows).write.mode("overwrite").parquet(f"{base}/events/batch={number}")
-        windows.write.mode("overwrite").parquet(f"{base}/ledger/batch={number}")
+        windows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/ledger/batch={number}")
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
 
