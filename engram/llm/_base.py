@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -57,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives any executor."""
     path = work_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, compression="zstd")
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.work = path
     return out
@@ -87,11 +89,10 @@ def tidy(run: Callable) -> Callable:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the next collection."""
-    import gc
-
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the next collection, and give it a moment."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -16,6 +16,8 @@ from .fmindex import FMIndex
 
 #: Words of the gram whose least hash names a window's shard, and windows of a segment at most.
 ANCHOR, MOST_WINDOWS = 4, 64
+#: Bits that a segment's number of windows takes beside its place in one number.
+WINDOW_BITS = 7
 #: Segments that one FM-index holds, about; a shard is cut between anchors.
 INDEX_SEGMENTS = 1 << 16
 #: Different segments of an anchor that one index holds, about; an anchor with more is cut into blocks.
@@ -72,7 +74,7 @@ def _digest(words: bytes) -> bytes:
 
 
 def _sketch(window: int):
-    """A row for each segment, and one with windows = 0 and the digest of its words for each document."""
+    """A row for each segment, and one with no windows and the digest of its words for each document. at: place and windows."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +86,10 @@ def _sketch(window: int):
                 doc, place, size, anchor = _segments(w, window)
                 for k in range(0, len(doc), 1 << 16):
                     b = slice(k, k + (1 << 16))
-                    cols = [anchor[b].view(np.int64), ids[doc[b]], place[b].astype(np.int32), size[b].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(doc[b]), pa.binary())], ["anchor", "id", "place", "windows", "digest"])
+                    cols = [anchor[b].view(np.int64), ids[doc[b]], place[b].astype(np.int64) << WINDOW_BITS | size[b]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(doc[b]), pa.binary())], ["anchor", "id", "at", "digest"])
                 whole = [_digest(t) for t in Spelt(w).joined(w.first[:-1], w.first[1:])]
-                zero = pa.array(np.zeros(j - i, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int64)), pa.array(ids), pa.array(w.count.astype(np.int32)), zero, pa.array(whole, pa.binary())], ["anchor", "id", "place", "windows", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int64)), pa.array(ids), pa.array(w.count << WINDOW_BITS), pa.array(whole, pa.binary())], ["anchor", "id", "at", "digest"])
 
     return run
 
@@ -100,20 +101,21 @@ def _contents(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = byte_view(batch.column(1))
-            listed = [batch.column(k) for k in (2, 3, 4)]
+            listed = [batch.column(k) for k in (2, 3)]
             for i, j in chunks(off):
                 w = words_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], hashed=False)
                 spelt = Spelt(w)
                 part = [c.slice(i, j - i) for c in listed]
                 many = np.diff(part[0].offsets.to_numpy())
-                place, windows, anchor = (c.flatten().to_numpy() for c in part)
+                at, anchor = (c.flatten().to_numpy() for c in part)
+                place, windows = at >> WINDOW_BITS, at & ((1 << WINDOW_BITS) - 1)
                 doc = np.repeat(np.arange(j - i), many)
                 ids = batch.column(0).slice(i, j - i).to_numpy()[doc]
                 first = w.first[doc] + place
                 for a in range(0, len(doc), 1 << 14):
                     b = slice(a, a + (1 << 14))
                     words = spelt.joined(first[b], first[b] + windows[b] + window - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array([_digest(x) for x in words], pa.binary()), pa.array(ids[b]), pa.array(place[b]), pa.array(words, pa.binary())], ["anchor", "key", "id", "place", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[b]), pa.array([_digest(x) for x in words], pa.binary()), pa.array(ids[b]), pa.array(place[b].astype(np.int32)), pa.array(words, pa.binary())], ["anchor", "key", "id", "place", "words"])
 
     return run
 
@@ -261,21 +263,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    sketch = written(known.mapInArrow(_sketch(window), "anchor long, id long, place int, windows int, digest binary"), "segments")
-    whole = sketch.where(f"windows = 0 AND place >= {window}").select("digest", "id")
+    sketch = written(known.mapInArrow(_sketch(window), "anchor long, id long, at long, digest binary"), "segments")
+    whole = sketch.where(f"digest IS NOT NULL AND at >= {window << WINDOW_BITS}").select("digest", "id")
     same = whole.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     copies = written(whole.join(same, "digest").where("id > first").select("id").distinct(), "copies")
-    segments = sketch.where("windows > 0")
+    segments = sketch.where("digest IS NULL")
     shared = segments.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    listed = written(segments.select("anchor", "id", "place", "windows").join(shared, "anchor", "left_semi").join(copies, "id", "left_anti"), "listed")
+    listed = written(segments.select("anchor", "id", "at").join(shared, "anchor", "left_semi").join(copies, "id", "left_anti"), "listed")
     dropped(sketch)
     released(spark)
-    per_doc = listed.groupBy("id").agg(F.collect_list(F.struct("place", "windows", "anchor")).alias("s")).select(F.col("id").alias("k"), "s.place", "s.windows", "s.anchor")
-    spelt = known.join(per_doc, F.col("id") == F.col("k")).select("id", "text", "place", "windows", "anchor")
+    per_doc = listed.groupBy("id").agg(F.collect_list(F.struct("at", "anchor")).alias("s")).select(F.col("id").alias("k"), "s.at", "s.anchor")
+    spelt = known.join(per_doc, F.col("id") == F.col("k")).select("id", "text", "at", "anchor")
     spelt = written(spelt.mapInArrow(_contents(window), "anchor long, key binary, id long, place int, words binary"), "spelt")
     dropped(listed)
     released(spark)
     distinct = written(spelt.groupBy("anchor", "key", "words").agg(F.min("id").alias("first"), F.max("id").alias("last")), "distinct")
+    places = written(spelt.select("key", "id", "place"), "places")
+    dropped(spelt)
     released(spark)
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SEGMENTS)
     crowded = crowded.select("anchor", F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
@@ -286,12 +290,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = written(rows.mapInArrow(_searched(window), "key binary, firsts array<long>"), "answers")
     dropped(distinct)
     released(spark)
-    starts = spelt.select("key", "id", "place").join(answers, "key")
+    starts = places.join(answers, "key")
     starts = starts.select("id", F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("id"), F.col("place") + i)), lambda x: x.isNotNull()).alias("s")).where(F.size("s") > 0)
     gone = starts.groupBy("id").agg(F.flatten(F.collect_list("s")).alias("starts"), F.lit(False).alias("copy"))
     gone = gone.unionByName(copies.select("id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     gone = written(gone.withColumnRenamed("id", "k"), "gone")
-    dropped(spelt, answers, copies)
+    dropped(places, answers, copies)
     released(spark)
     out = texts.join(gone, F.col("id") == F.col("k"), "left").select("id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("copy", F.lit(False)).alias("copy"))
     out = out.mapInArrow(_kept(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
