@@ -30,6 +30,8 @@ CODE_BYTES = 6 << 20
 #: tokenizer's own pattern does; any other word, and one with an apostrophe or with <|, goes to the tokenizer whole.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+")
 _PIECE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+#: Words that a tokenizer is tried on, with all kinds of white space between them, before it is used word by word.
+_PROBE = ["The", "the", "cat's", "don't", "3.14", "1234567890", "a-b_c", "!!", "...", "(x)", "É", "naïve", "ÿß", "中文字", "Ωμέγα", "🙂", "<|x|>", "x<y>z", "e.g.,", "“q”", "I", "HELLO", "world", "'s", "a" * 70]
 
 
 class WordEncoder:
@@ -51,6 +53,9 @@ class WordEncoder:
         self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.pieces: dict[str, bytes] = {}
+        probe = "".join(f"{a}{s}" for a, s in zip(_PROBE, " \t\n\x0b\f\r" * len(_PROBE)))
+        if b"".join(self.ids(probe.split())) != array("I", self.whole.encode(probe, add_special_tokens=False).ids).tobytes():
+            raise ValueError(f"{path}: a text's ids are not its words' ids in a row")
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
