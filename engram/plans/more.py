@@ -385,13 +385,6 @@ def keyword_filter(spark, d):
     return table(spark, d, "part").where(keywords.has_keyword(F.array("p_brand"), "BRAND#12, , brand#23")).select("p_partkey")
 
 
-@query("""WITH w AS (SELECT item_id, w, sum(n) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{2,}')) AS w, 1 AS n FROM benchmark UNION ALL SELECT item_id, unnest(regexp_extract_all(lower(substr(text, 1, 240)), '[a-z][a-z0-9''-]{2,}')), 1 FROM benchmark)
-WHERE w NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.stop_words("en")) + """) GROUP BY 1, 2)
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, w) AS rank, w AS keyword FROM w QUALIFY rank <= 50""")
-def query_keyword_lists(spark, d):
-    return keywords.query_keywords(table(spark, d, "benchmark"), "item_id", F.col("text"))
-
-
 @query("SELECT vec_id, len(embedding)::INT AS dims, round(list_min(embedding), 6) AS least, round(list_max(embedding), 6) AS most, list_bool_and(list_transform(embedding, lambda x: x IN (0, 1))) AS is_binary, list_bool_and(list_transform(embedding, lambda x: x = floor(x))) AS is_quantized FROM embeddings")
 def vector_profiles(spark, d):
     p = table(spark, d, "embeddings").select("vec_id", vectors.profile(F.col("embedding")).alias("p"))

@@ -242,7 +242,12 @@ def near_copies_dropped(spark, d):
     return events.near_copies_dropped(events.reranked(e, e.count())).select("event_id", "event_type", r6("final_score").alias("final_score"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM events), e AS ({_EVENTS}), b AS (SELECT * FROM e ORDER BY score DESC, event_id LIMIT 20),
+f AS (SELECT *, 0.55 * score + 0.2 * importance / 10 + 0.15 * persist::INT + 0.1 * pow(0.5, greatest(0, n - wend) / greatest(40, 0.2 * n)) + CASE WHEN length(kw) >= 2 AND contains('about 42', kw) THEN 0.2 ELSE 0 END AS final FROM b, n),
+o AS (SELECT *, row_number() OVER (ORDER BY final DESC, event_id) AS r FROM f),
+w AS (SELECT 0::BIGINT AS r, []::STRUCT(id BIGINT, t VARCHAR, u BIGINT, w BIGINT)[] AS kept UNION ALL
+    SELECT o.r, CASE WHEN o.score < 0.75 AND len(list_filter(w.kept, lambda k: k.t = o.event_type AND k.u = o.user_id AND abs(k.w - o.wend) < 10)) > 0 THEN w.kept ELSE list_append(w.kept, {{'id': o.event_id, 't': o.event_type, 'u': o.user_id, 'w': o.wend}}) END FROM w JOIN o ON o.r = w.r + 1)
+SELECT event_id, round(final, 6) AS final_score FROM o WHERE event_id IN (SELECT unnest(kept).id FROM w WHERE r = (SELECT max(r) FROM w)) AND wend < n - 20 ORDER BY final DESC, event_id LIMIT 10""")
 def event_retrieval(spark, d):
     e = _events(spark, d)
     return events.retrieved(e, None, e.count(), 10, "about 42", 20).select("event_id", r6("final_score").alias("final_score"))
@@ -350,7 +355,7 @@ def chunk_paragraph(spark, d):
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "text"), "paragraph").drop("strategy")
 
 
-@query(None)
+@query(_parts_sql(r"string_split(regexp_replace(text, '(?m)^(#{1,6}\s+.+)$', chr(1) || '\1', 'g'), chr(1))"))
 def chunk_section(spark, d):
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "text"), "section").drop("strategy")
 
@@ -406,7 +411,12 @@ def string_functions(spark, d):
     )
 
 
-@query(None)
+_CODES = "list_prepend({0}::BIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT))"
+_A = f"list_reduce({_CODES.format(5381)}, lambda h, c: xor(h * 33, c) & 4294967295)"
+_B = f"list_reduce({_CODES.format(0xABCDEF)}, lambda h, c: xor(xor(h * 33, c), c * 65536) & 4294967295)"
+
+
+@query(f"SELECT p_partkey, list_reduce({_CODES.format(0x811C9DC5)}, lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS fnv1a, {_A} AS djb2, ({_B} >> 11) * 4294967296 + {_A} AS event_hash FROM part")
 def hash_functions(spark, d):
     n = F.col("p_name")
     return table(spark, d, "part").select("p_partkey", hashing.fnv1a(n).alias("fnv1a"), hashing.djb2(n).alias("djb2"), hashing.event_hash(n).alias("event_hash"))
@@ -426,7 +436,9 @@ def frequency_keywords(spark, d):
     return keywords.frequency_keywords(table(spark, d, "documents"), "doc_id", F.col("text"), level="aggressive")
 
 
-@query(None)
+@query("""WITH w AS (SELECT item_id, w, sum(n) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{2,}')) AS w, 1 AS n FROM benchmark UNION ALL SELECT item_id, unnest(regexp_extract_all(lower(substr(text, 1, 240)), '[a-z][a-z0-9''-]{2,}')), 1 FROM benchmark)
+WHERE w NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.stop_words("en")) + """) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, w) AS rank, w AS keyword FROM w QUALIFY rank <= 50""")
 def query_keywords(spark, d):
     return keywords.query_keywords(table(spark, d, "benchmark"), "item_id", F.col("text"))
 
