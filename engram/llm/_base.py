@@ -89,7 +89,11 @@ def tidy(run: Callable) -> Callable:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the next collection, and give it a moment."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not at the next collection, and give it a moment.
+
+    The listeners' queues hold the last query, and so its shuffles, until another one has ended: hence an empty one.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(1)
