@@ -20,8 +20,8 @@ ANCHOR, MOST_WINDOWS = 4, 64
 WINDOW_BITS = 7
 #: Segments that one FM-index holds, about; a shard is cut between anchors.
 INDEX_SEGMENTS = 1 << 16
-#: Different segments of an anchor that one index holds, about; an anchor with more is cut into blocks.
-BLOCK_SEGMENTS = 1 << 13
+#: Different segments of an anchor that are indexed, and that are streamed, at once, about; an anchor with more is cut into blocks.
+BLOCK_SEGMENTS = 1 << 10
 
 _SPACES = bytes(32 if 9 <= k <= 13 else k for k in range(256))
 
@@ -147,58 +147,40 @@ class Shard:
 
 
 def _searched(window: int):
-    """Segments come in order of anchor and block, those that go into the index first; an index is made of whole blocks.
+    """Segments come in order of anchor and pair of blocks; an index is made of whole pairs.
 
-    Of each block the index gets segments that some other segment comes after, and the segments that come after some other are
-    streamed through it. Both may be bounded: what is indexed by the block, what is streamed by the batch.
+    Of each pair the first block's segments are indexed, those that some other segment comes after, and the second's are streamed
+    through the index, those that come after some other.
     """
 
-    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-        """(rows to index, rows to search) of whole blocks."""
+    def results(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         youngest: dict[tuple, int] = {}
         oldest: dict[tuple, int] = {}
-        for r in rows:
-            g = r[:2]
-            youngest[g] = max(r[5], youngest.get(g, r[5]))
-            if r[6]:
-                oldest[g] = min(r[4], oldest.get(g, r[4]))
-        return [r for r in rows if r[6] and (r[4] < youngest[r[:2]] or not r[7])], [r for r in rows if r[:2] in oldest and r[5] > oldest[r[:2]]]
-
-    def answers(shard: Shard, rows: list[tuple]) -> pa.RecordBatch:
-        found = shard.earliest(pa.array([r[3] for r in rows], pa.binary())) if rows else []
-        keep = [k for k, (f, r) in enumerate(zip(found, rows)) if f.min() < r[5]]
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in keep], pa.binary()), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], ["key", "firsts"])
-
-    def shard_of(rows: list[tuple]) -> Shard:
-        return Shard(pa.array([r[3] for r in rows], pa.binary()), np.array([r[4] for r in rows], np.int64), window)
+        for *pair, _, _, first, last, indexed, streamed in rows:
+            pair = tuple(pair)
+            if streamed:
+                youngest[pair] = max(last, youngest.get(pair, last))
+            if indexed:
+                oldest[pair] = min(first, oldest.get(pair, first))
+        library = [r for r in rows if r[7] and r[5] < youngest.get(r[:3], r[5])]
+        search = [r for r in rows if r[8] and r[6] > oldest.get(r[:3], r[6])]
+        if not library or not search:
+            return
+        shard = Shard(pa.array([r[4] for r in library], pa.binary()), np.array([r[5] for r in library], np.int64), window)
+        found = shard.earliest(pa.array([r[4] for r in search], pa.binary()))
+        keep = [k for k, (f, r) in enumerate(zip(found, search)) if f.min() < r[6]]
+        yield pa.RecordBatch.from_arrays([pa.array([search[k][3] for k in keep], pa.binary()), pa.array([found[k] for k in keep], pa.list_(pa.int64()))], ["key", "firsts"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        group: tuple | None = None
-        shard: Shard | None = None  # made when all that the group's block indexes is there; the group may go on
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            nonlocal held, shard
-            search = held
-            if shard is None:
-                library, search = split(held)
-                shard = shard_of(library) if library else None
-            if shard is not None:
-                yield answers(shard, search)
-            held = []
-
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "key", "words", "first", "last", "indexed", "alone"))):
-                new = r[:2] != group
-                if held and (new and shard is not None or len(held) >= INDEX_SEGMENTS and (new or not r[6])):
-                    yield from flushed()
-                if new and not held:
-                    shard = None
-                group = r[:2]
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "i", "j", "key", "words", "first", "last", "indexed", "streamed"))):
+                if len(held) >= INDEX_SEGMENTS and held[-1][:3] != r[:3]:
+                    yield from results(held)
+                    held = []
                 held.append(r)
-        if held:
-            yield from flushed()
+        yield from results(held)
 
     return run
 
@@ -255,8 +237,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row with the least and greatest id, again before the shuffle, so a passage that a third of the corpus has is one row a task. (3) A
     shard builds an FM-index of the segments that others come after and streams those others through it by backward search;
     matching statistics of a whole window report a range of suffixes, whose least document is what the window
-    wants. Words are compared as they are, not by hashes. An anchor of very many different segments is cut: each of its
-    blocks indexes a part, and all its segments are streamed through every block. (4) Segments take the answers back to their
+    wants. Words are compared as they are, not by hashes. An anchor of very many different segments is cut into blocks, and each
+    pair of blocks, one indexed and one streamed, is a group of its own, which bounds what a task holds. (4) Segments take the answers back to their
     documents in a join on the digest (BLAKE2b, 128 bits) of their words, which adaptive execution splits where one segment has
     very many documents.
     """
@@ -284,9 +266,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SEGMENTS)
     crowded = crowded.select("anchor", F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
     rows = distinct.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("anchor", "block", "key", "words", "first", "last", (F.col("block") == F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("indexed"), (F.col("blocks") == 1).alias("alone"))
-    rows = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.col("indexed").desc())
+    # a segment is indexed in its block, for all others to be streamed, and streamed through all blocks; alone, it is one row
+    own, blocks = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = lambda i, j, indexed, streamed: F.struct(i.alias("i"), j.alias("j"), indexed.alias("indexed"), streamed.alias("streamed"))
+    indexed = F.transform(blocks, lambda k: pair(own, k, F.lit(True), k == own))
+    streamed = F.transform(F.filter(blocks, lambda k: k != own), lambda k: pair(k, own, F.lit(False), F.lit(True)))
+    rows = rows.withColumn("p", F.explode(F.concat(indexed, streamed)))
+    rows = rows.select("anchor", "p.i", "p.j", "key", "words", "first", "last", "p.indexed", "p.streamed")
+    rows = rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
     answers = written(rows.mapInArrow(_searched(window), "key binary, firsts array<long>"), "answers")
     dropped(distinct)
     released(spark)

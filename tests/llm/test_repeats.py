@@ -86,7 +86,7 @@ def test_words_are_compared_not_hashes(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("block", [1 << 13, 4])
+@pytest.mark.parametrize("block", [1 << 10, 4])
 def test_an_anchor_of_many_segments_is_cut_into_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK_SEGMENTS", block)
     rng = random.Random(8)
@@ -102,25 +102,24 @@ def test_an_anchor_of_many_segments_is_cut_into_blocks(spark, monkeypatch, block
     assert sum(want.values()) > 10000
 
 
-def test_a_block_may_go_on_after_its_index(monkeypatch):
-    """Indexed rows come first; what follows is streamed in parts."""
+def test_an_index_is_made_of_whole_pairs_of_blocks(monkeypatch):
     monkeypatch.setattr(repeats, "INDEX_SEGMENTS", 7)
     rng = random.Random(2)
     rows, ids = [], iter(range(10000))
     for anchor in range(6):
         base = [f"v{anchor}_{k}" for k in range(30)]  # equal windows have equal anchors
-        alone = anchor % 2 == 0
-        for k in range(rng.randint(1, 6) if alone else 40):
+        for k in range(rng.randint(1, 30)):
             w = list(base)
             w[rng.randrange(30)] = f"e{rng.randrange(4)}"
             i = next(ids)
-            rows.append((anchor, 0, str(i).encode(), " ".join(w).encode(), i, i, alone or k < 5, alone))
-    names = ["anchor", "block", "key", "words", "first", "last", "indexed", "alone"]
+            rows.append((anchor, 0, 0, str(i).encode(), " ".join(w).encode(), i, i, k % 3 < 2, k % 3 > 0))
+    names = ["anchor", "i", "j", "key", "words", "first", "last", "indexed", "streamed"]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 11])], names) for k in range(0, len(rows), 11)]
     got = {k: f for b in repeats._searched(13)(iter(batches)) for k, f in zip(b["key"].to_pylist(), b["firsts"].to_pylist())}
-    for r in rows:
-        w = r[3].split()
+    assert got and not set(got) & {r[3] for r in rows if not r[8]}
+    for r in (r for r in rows if r[8]):
+        w = r[4].split()
         for p in range(len(w) - 12):
-            here = [x for x in rows if x[0] == r[0] and x[6] and any(x[3].split()[q : q + 13] == w[p : p + 13] for q in range(18))]
-            least = min((x[4] for x in here), default=r[5])
-            assert (got[r[2]][p] if r[2] in got else r[5]) == least or least >= r[5]
+            here = [x for x in rows if x[0] == r[0] and x[7] and any(x[4].split()[q : q + 13] == w[p : p + 13] for q in range(18))]
+            least = min((x[5] for x in here), default=r[6])
+            assert (got[r[3]][p] if r[3] in got else r[6]) == least or least >= r[6]
