@@ -37,14 +37,32 @@ def plain_near_duplicates(rows):
     return [r for r in rows if found[r["doc_id"]][1] == r["doc_id"]]
 
 
+def edits(p, t):
+    """Fewest edits between p and a part of t, a character of p at a time over all places of t."""
+    t = np.array([ord(c) for c in t])
+    step = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i, c in enumerate(p, 1):
+        new = np.concatenate([[i], np.minimum(row[:-1] + (t != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.min())
+
+
 def plain_decontamination(rows):
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
-    grams = [(x["text"], {normal(x["text"])[k : k + 8] for k in range(len(normal(x["text"])) - 7)}) for x in items]
+    eights = lambda t: {t[k : k + 8] for k in range(len(t) - 7)}
+    grams = [(x["text"], eights(normal(x["text"]))) for x in items]
 
     def clean(text):
-        own = {normal(text)[k : k + 8] for k in range(len(normal(text)) - 7)}
+        own = eights(normal(text))
         # an item within its budget shares a gram; short items are looked for in any case
-        return not any(leaked(t, text) is not None for t, g in grams if g & own or len(normal(t)) < 32)
+        def has(t, g):
+            p = normal(t)
+            if len(p) < 32:
+                return leaked(t, text) is not None
+            return bool(g & own) and edits(p, normal(text)) <= min(int(0.06 * len(p)), (len(p) - 7) * 2 // 3 // 8)
+
+        return not any(has(t, g) for t, g in grams)
 
     return [r for r in rows if clean(r["text"])]
 
