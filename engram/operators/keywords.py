@@ -73,22 +73,24 @@ def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "bal
     per = per_form.groupBy(id_col, "word").agg(
         F.sum("c").alias("tf"), F.first("s").alias("s"), F.size(F.array_distinct(F.flatten(F.collect_list("in_")))).alias("df"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"),
     ).where(_kept(F.col("word"), F.col("tf"), singles))
-    caps = d.select(id_col, F.array_distinct(F.regexp_extract_all("_u", F.lit(r"\p{Lu}\S*"), F.lit(0))).alias("caps"), F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stop_words(mode)))).alias("terms"))
+    caps = d.select(id_col, F.array_join(F.array_distinct(F.regexp_extract_all("_u", F.lit(r"\p{Lu}\S*"), F.lit(0))), " ").alias("caps"), F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stop_words(mode)))).alias("terms"))
     first = F.substring("word", 1, 1)
     title = F.concat(F.upper(first), F.expr("substring(word, 2)"))
-    capital = (F.upper(first) == first) | F.exists("caps", lambda x: F.contains(x, title))
-    score = F.col("tf") * (F.log((F.col("s") + 1) / (F.col("df") + 1)) + 1)
-    per = per.join(caps, id_col).select(id_col, "word", "f.form", "terms", (score * F.when(capital, 1.3).otherwise(1.0)).alias("score"))
+    capital = (F.upper(first) == first) | F.contains(F.col("caps"), title)
+    score = F.col("base")
+    # what can't reach the list even if it is capitalised need not be looked up
     keep = LEVELS[level]["keep"]
+    per = per.withColumn("base", F.col("tf") * (F.log((F.col("s") + 1) / (F.col("df") + 1)) + 1))
+    per = per.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("base").desc())))
+    per = per.withColumn("_k", F.min(F.when(F.col("_r") <= keep, F.col("base"))).over(Window.partitionBy(id_col))).where(F.col("base") * 1.3 >= F.col("_k") * 0.999999)
+    per = per.join(caps, id_col).select(id_col, "word", "f.form", "terms", (score * F.when(capital, 1.3).otherwise(1.0)).alias("score"))
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "word")
     top = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
     # bracketed terms that are no word already
     boost = F.col("score") * 1.5 + 10
     lists = top.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("form").alias("keyword"), "score"))).alias("own"), F.first("terms").alias("terms"), F.collect_set("word").alias("words"), F.max("score").alias("score"))
-    none = d.join(lists.select(id_col), id_col, "left_anti").select(id_col, F.array().cast("array<struct<rank:bigint,keyword:string,score:double>>").alias("own"), bracket_terms(F.col("_t")).alias("terms"), F.array().cast("array<string>").alias("words"), F.lit(0.0).alias("score"))
-    both = lists.unionByName(none)
     extra = F.transform(F.array_except("terms", "words"), lambda t, i: F.struct(i.cast("long").alias("rank"), t.alias("keyword"), boost.alias("score")))
-    out = both.select(id_col, F.posexplode(F.slice(F.concat(extra, "own"), 1, keep)).alias("place", "k"))
+    out = lists.select(id_col, F.posexplode(F.slice(F.concat(extra, "own"), 1, keep)).alias("place", "k"))
     best = F.max("k.score").over(Window.partitionBy(id_col))
     return out.select(id_col, (F.col("place") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score"), (F.lit(base) + F.col("k.score") / best * 0.5).alias("weight"))
 
