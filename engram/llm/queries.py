@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._base import table, word_count, written
 from .chat import CLOSE, OPEN, perspectives
 from .decontaminate import leaks
+from .divergence import source_divergence
 from .minhash import minhash_components
 from .mixing import mixed
 from .quality import RISK, quality_verdicts
 from .repeats import without_repeats
+from .resample import resampled
 from .tokens import token_output
 from .toxicity import toxicity_scores
 from .urls import url_verdicts
@@ -68,13 +70,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_chat, op4_repeats, op5_mixture, op6_urls, op7_decontaminate, op8_tokens, op9_warc, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_chat, op4_repeats, op5_mixture, op6_urls, op7_decontaminate, op8_tokens, op9_warc, op10_toxicity, op11_resample, op13_divergence, pipeline)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -178,5 +188,40 @@ SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN top > pag
 FROM p LEFT JOIN m ON m.n = p.n AND m.d = p.d
 """
 
+#: CRC-32 of a word's bytes, a byte at a time through the table of its polynomial.
+_OP11 = rf"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT r, unnest(w) AS w FROM d),
+word AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM b)),
+hash AS (SELECT w, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM word, crc),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN hash USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN hash USING (w) GROUP BY bucket),
+tot AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS ss, (SELECT count(*) FROM b)::DOUBLE AS tt),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS g FROM (SELECT unnest(range(0, 10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), tot),
+doc AS (SELECT r, sum(g)::BIGINT AS g FROM x JOIN hash USING (w) JOIN gain USING (bucket) GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n, coalesce((g - ((g % len(w)) + len(w)) % len(w)) // len(w), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN doc USING (r)),
+score AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM f)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 THEN CASE WHEN row_number() OVER o <= 10 * count(*) FILTER (n >= 20) OVER () // 100 THEN row_number() OVER o END END AS rank FROM score WINDOW o AS (ORDER BY n >= 20 DESC, score DESC, doc_id)
+"""
+
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(DISTINCT r) AS docs, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT c.lang, source, sum(c.n) AS n FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY c.lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(gn.n, 0) + 5 * v) AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (v.n + 5 * v) AS q
+    FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+u AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM u WHERE part = 'pair' OR rank <= 50
+"""
+
 #: op7 aligns with edits, op8 needs the tokenizer and op10 a fitted model: tests hold them against plain versions.
-ORACLES = {"op1_minhash": _OP1, "op2_quality": _op2(), "op3_chat": _OP3, "op4_repeats": _OP4, "op5_mixture": _OP5, "op6_urls": _op6(), "op9_warc": _OP9}
+ORACLES = {"op1_minhash": _OP1, "op2_quality": _op2(), "op3_chat": _OP3, "op4_repeats": _OP4, "op5_mixture": _OP5, "op6_urls": _op6(), "op9_warc": _OP9, "op11_resample": _OP11, "op13_divergence": _OP13}
