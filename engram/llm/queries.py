@@ -10,6 +10,7 @@ from .decontaminate import leaks
 from .divergence import source_divergence
 from .minhash import minhash_components
 from .mixing import mixed
+from .neighbours import nearest
 from .quality import RISK, quality_verdicts
 from .repeats import without_repeats
 from .resample import resampled
@@ -74,6 +75,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_chat, op4_repeats, op5_mixture, op6_urls, op7_decontaminate, op8_tokens, op9_warc, op10_toxicity, op11_resample, op13_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op3_chat, op4_repeats, op5_mixture, op6_urls, op7_decontaminate, op8_tokens, op9_warc, op10_toxicity, op11_resample, op12_neighbours, op13_divergence, pipeline)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
