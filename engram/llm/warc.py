@@ -167,44 +167,50 @@ def members(path: str, start: int, end: int) -> Iterator[bytes]:
 
     The magic bytes are searched for; a place is a record's start if what follows inflates to a whole head of a WARC record and
     to as many bytes as that says. At most HEAD_BYTES are inflated to decide. Members follow each other without a gap, so
-    the records of a range that begins within the file count only if their chain goes on to LOOK_BYTES beyond the range, or to the
-    file's end: an archive stored uncompressed inside a record is no chain, unless it is longer than that.
+    a range is done when its chain of records reaches its end and goes on for LOOK_BYTES, or to the file's end.
+
+    Where a chain breaks, the archive is damaged, or the chain was that of an archive stored uncompressed inside a record. The file is
+    then followed from its first byte, which surely begins a record: either that chain has the range's records, or it
+    breaks as well, and that is an error. As the end of each range's chain is looked at too, damage anywhere is found by the range whose
+    records lead to it, whatever the ranges are: records are never left out. An archive inside a record that goes on
+    over a whole range and LOOK_BYTES is taken for records.
     """
     system, where = opened(path)
     with system.open_input_file(where) as f:
         archive, at = _Archive(f), start
+        end = min(end, archive.size)
+        while start and at < end:  # the first place in the range that may begin a chain
+            k = archive.piece(at).find(_GZIP)
+            if k < 0:
+                at += max(1, len(archive.piece(at)) - len(_GZIP) + 1)
+            elif at + k < end and not archive.member(at + k):
+                at += k + 1
+            else:
+                at += k
+                break
+        if at >= end:
+            return
         chain: list[bytes] = []
-        first = None if start else 0  # where the chain begins; the file's first byte surely is a member's
-        while True:
-            # along the chain to the range's end, and then LOOK_BYTES further without keeping what comes
-            limit = min(end, archive.size)
-            while first is not None and at < limit:
-                found = archive.member(at)
-                if not found:
-                    break
-                at = found[1]
-                if not start:
-                    yield found[0]
-                else:
-                    chain.append(found[0])
-            if first is not None and at >= limit:
-                if not start or _goes_on(archive, at, min(end + LOOK_BYTES, archive.size)):
-                    yield from chain
-                    return
-            elif first is not None and not start:
+        while at < end and (found := archive.member(at)):
+            if start:
+                chain.append(found[0])
+            else:
+                yield found[0]
+            at = found[1]
+        if at >= end and _goes_on(archive, at, min(end + LOOK_BYTES, archive.size)):
+            yield from chain
+            return
+        if not start and at < end:
+            raise ValueError(f"{path} has no record at {at}")
+        chain.clear()
+        at = 0
+        while at < max(end, min(end + LOOK_BYTES, archive.size)):
+            found = archive.member(at)
+            if not found:
                 raise ValueError(f"{path} has no record at {at}")
-            # look for the next place that may begin a chain
-            at, chain, first = (at if first is None else first + 1), [], None
-            while first is None:
-                if at >= limit:
-                    return
-                k = archive.piece(at).find(_GZIP)
-                if k < 0:
-                    at += max(1, len(archive.piece(at)) - len(_GZIP) + 1)
-                elif at + k < limit and archive.member(at + k):
-                    at = first = at + k
-                else:
-                    at += k + 1
+            if start and start <= at < end:
+                yield found[0]
+            at = found[1]
 
 
 def _goes_on(archive: _Archive, at: int, limit: int) -> bool:
@@ -248,7 +254,7 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     """Records of the archives (path, n_bytes): each task scans byte ranges and owns the records starting there.
 
     Every record comes once, whatever the split size; no archives, or empty ones, give no records. A payload that lacks its
-    digest, and an archive that does not begin with a record, are errors.
+    digest is an error, and so is whatever is no record, at an archive's start, between its records or at its cut end, for every split size.
     """
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least("n_bytes", F.col("start") + split_bytes).alias("end"))
