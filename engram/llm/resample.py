@@ -27,9 +27,17 @@ def _lower(s: Column) -> Column:
 
 def grams(tokens: Column, most: int) -> Column:
     """array<string> of all runs of 1 to most consecutive tokens, joined by one space."""
-    none = F.array().cast("array<string>")
-    runs = [F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " "))).otherwise(none) for k in range(2, most + 1)]
-    return F.concat(tokens, *runs) if runs else tokens
+    if most == 1:
+        return tokens
+
+    def spans(w: Column, k: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + k <= F.size(w))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
+
+    def runs(w: Column) -> Column:  # w is the tokens made once, not anew for each run
+        return F.concat(w, *(spans(w, k) for k in range(2, most + 1)))
+
+    return F.flatten(F.transform(F.array(tokens), runs))
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
