@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import packing
+
 CHUNK_SIZE = 500
-SENTENCE_END = r"(?<=[.!?。！？])\s*"
 
 
 def _exploded(df: DataFrame, chunks: Column, strategy: str) -> DataFrame:
-    """A row for each chunk: chunk_index, total_chunks, strategy and text replace the text."""
-    return df.withColumn("_c", chunks).select(*[c for c in df.columns if c != "text"], F.posexplode("_c").alias("chunk_index", "text"), F.size("_c").alias("total_chunks"), F.lit(strategy).alias("strategy"))
+    """A row for each chunk: chunk_index, total_chunks, strategy and text replace the text. The list itself is not carried along with each row."""
+    rest = [c for c in df.columns if c != "text"]
+    counted = df.withColumn("_c", chunks).withColumn("_n", F.size("_c"))
+    return counted.select(*rest, F.posexplode("_c").alias("chunk_index", "text"), F.col("_n").alias("total_chunks"), F.lit(strategy).alias("strategy"))
 
 
 def _trimmed(parts: Column) -> Column:
@@ -29,108 +31,19 @@ def sections(df: DataFrame) -> DataFrame:
     return _exploded(df, _trimmed(F.split(F.coalesce("text", F.lit("")), r"(?m)(?=^#{1,6}\s+.+$)")), "section")
 
 
-def _pack(pieces: Column, size: int, joint: str) -> Column:
-    """Pieces joined in order while the chunk stays within size; a longer piece is a chunk of its own."""
-    grow = F.length(F.lit(joint))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(a: Column, p: Column) -> Column:
-        fits = F.length(a["now"]) + F.length(p) + grow <= size
-        joined = F.when(a["now"] == "", p).otherwise(F.concat(a["now"], F.lit(joint), p))
-        closed = F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
-        return F.struct(F.when(fits, a["done"]).otherwise(closed).alias("done"), F.when(fits, joined).otherwise(p).alias("now"))
-
-    return F.aggregate(pieces, zero, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
-
-
 def sentences(df: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """Sentences packed up to size."""
-    return _exploded(df, _pack(_trimmed(F.split(F.coalesce("text", F.lit("")), SENTENCE_END)), size, " "), "sentence")
-
-
-def _split_long(text: str, size: int) -> list[str]:
-    """A long paragraph by sentences, and a long sentence by words."""
-    import re
-
-    out, now = [], ""
-    for sentence in re.split(SENTENCE_END, text):
-        if len(now) + len(sentence) + 1 <= size:
-            now = f"{now} {sentence}" if now else sentence
-            continue
-        if now:
-            out.append(now)
-        now = sentence
-        if len(sentence) > size:
-            now = ""
-            for word in sentence.split():
-                if len(now) + len(word) + 1 <= size:
-                    now = f"{now} {word}" if now else word
-                else:
-                    if now:
-                        out.append(now)
-                    now = word
-    return [*out, now] if now else out
-
-
-def adaptive_chunks(text: str, size: int = CHUNK_SIZE) -> list[str]:
-    """Paragraphs packed up to size; those beyond it are split by sentences, then words."""
-    import re
-
-    out, now = [], ""
-    for p in (x.strip() for x in re.split(r"\n\n+", text)):
-        if not p:
-            continue
-        if len(now) + len(p) + 2 <= size:
-            now = f"{now}\n\n{p}" if now else p
-            continue
-        if now:
-            out.append(now)
-        now = ""
-        if len(p) > size:
-            out += _split_long(p, size)
-        else:
-            now = p
-    if now:
-        out.append(now)
-    return out or [text]
-
-
-def dialogue_chunks(text: str, size: int = CHUNK_SIZE) -> list[str]:
-    """Quoted speech is never cut unless it alone is longer than size."""
-    import re
-
-    out, now, last = [], "", 0
-    for m in re.finditer(r"\"[^\"]+\"|'[^']+'|「[^」]+」|『[^』]+』", text):
-        now += text[last : m.start()]
-        if len(now) + len(m.group()) <= size:
-            now += m.group()
-        else:
-            if now.strip():
-                out.append(now.strip())
-            now = m.group()
-        last = m.end()
-    now += text[last:]
-    if now.strip():
-        out.append(now.strip())
-    return [c for x in out for c in ([x] if len(x) <= size else adaptive_chunks(x, size))]
-
-
-def _python(f, size: int):
-    """Packers with backtracking between three kinds of borders: one Arrow batch at a time."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: f(t, size) if isinstance(t, str) else [])
-
-    return run
+    return _exploded(df, packing.by_sentences(F.col("text"), size), "sentence")
 
 
 def adaptive(df: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    return _exploded(df, _python(adaptive_chunks, size)("text"), "adaptive")
+    """Paragraphs packed up to size; those beyond it by sentences, then words."""
+    return _exploded(df, packing.by_paragraphs(F.col("text"), size), "adaptive")
 
 
 def dialogue(df: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    return _exploded(df, _python(dialogue_chunks, size)("text"), "dialogue")
+    """Quoted speech is never cut unless it alone is longer than size."""
+    return _exploded(df, packing.by_speech(F.col("text"), size), "dialogue")
 
 
 def whole(df: DataFrame, strategy: str = "per_message") -> DataFrame:
