@@ -109,7 +109,7 @@ def possible_terms(docs: DataFrame, least: int, width: int = WIDTH, depth: int =
     return np.packbits(bits)
 
 
-def term_counts(docs: DataFrame, least: int, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+def term_counts(docs: DataFrame, least: int, width: int = WIDTH, depth: int = DEPTH, held_rows: int = HELD_ROWS) -> DataFrame:
     """(lang, source, term, docs, n) of all terms that may be in least documents of their lang; docs as possible_terms takes.
 
     What the sketch rules out is discarded in the task that reads it; what is left is counted exactly.
@@ -119,23 +119,24 @@ def term_counts(docs: DataFrame, least: int, width: int = WIDTH, depth: int = DE
 
     def added(tables: list[pa.Table]) -> pa.Table:
         out = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("docs", "sum"), ("n", "sum")])
-        return out.rename_columns({"docs_sum": "docs", "n_sum": "n"})
+        return out.rename_columns({"docs_sum": "docs", "n_sum": "n"}).select(["lang", "source", "term", "docs", "n"])
 
     def survivors(batches):
         bits, held, rows = np.unpackbits(held_bits.value).view(bool), [], 0
         for batch in batches:
             for counts, code, terms in _counts(batch):
                 keep = bits[_cells(counts["lang"], code, terms, width, depth)].all(0)
-                held.append(counts.append_column("term", terms.take(pa.array(code)).cast(pa.string())).filter(pa.array(keep)))
+                found = counts.append_column("term", terms.take(pa.array(code)).cast(pa.string())).filter(pa.array(keep))
+                held.append(found.select(["lang", "source", "term", "docs", "n"]))
                 rows += held[-1].num_rows
-                if rows > 2 * HELD_ROWS:
+                if rows > 2 * held_rows:
                     held = [added(held)]
                     rows = held[0].num_rows
-                    if rows > HELD_ROWS:
-                        yield from held[0].select(["lang", "source", "term", "docs", "n"]).to_batches(1 << 16)
+                    if rows > held_rows:
+                        yield from held[0].to_batches(1 << 16)
                         held, rows = [], 0
         if held:
-            yield from added(held).select(["lang", "source", "term", "docs", "n"]).to_batches(1 << 16)
+            yield from added(held).to_batches(1 << 16)
 
     found = docs.mapInArrow(tidy(survivors), "lang string, source string, term string, docs long, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
