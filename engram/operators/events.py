@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import WEIGHTS, anchor, anchor_amount, event_score
+from .suppression import GAP, few_kept, near_copies_dropped  # noqa: F401
 
 #: The vocabulary of event types; any other is "other".
 EVENT_TYPES = (
@@ -15,7 +15,6 @@ EVENT_TYPES = (
 ARRAYS = ("characters", "locations", "factions", "items", "concepts", "keywords", "open_threads")
 #: Fixed values of the embedding text: a field's label; factions are a filter, not text.
 LABELS = {"date_time": "TIME", "cause": "CAUSE", "result": "RESULT", "characters": "CHARS", "locations": "LOCS", "items": "ITEMS", "keywords": "KEYS", "open_threads": "THREADS"}
-GAP, OVERLAP, ESCAPE = 10, 0.6, 0.75
 
 
 def clean_array(a: Column) -> Column:
@@ -81,46 +80,6 @@ def reranked(events: DataFrame, chat_length: int, weights: dict[str, float] = WE
     return events.where(keep).withColumn("final_score", F.when(ranked, F.coalesce("score", F.lit(0.0))).otherwise(own) + extra)
 
 
-def _overlap(a, b) -> float:
-    x, y = ({s.lower() for s in (v if v is not None else ())} for v in (a, b))
-    return len(x & y) / len(x | y) if x and y else 0.0
-
-
-def near_copies_dropped(events: DataFrame, gap: int = GAP, per: list[str] | None = None, order: str = "final_score", tie: str = "event_id") -> DataFrame:
-    """events without those that repeat a better one: same type, cast overlap of 0.6, windows less than gap apart or unknown.
-
-    Two rows that the server has not ranked both stay if the later is 0.75 similar itself. What is dropped depends on what was
-    kept before, so a group is walked in order. The groups are event types (of each of `per`): rows of different types never
-    meet, and within one only those that were kept are compared.
-    """
-    keys = [*(per or []), "event_type"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, tie], ascending=[False, True], kind="stable")
-        kept: dict = {}  # by windows of the gap's length; those without a time under None
-        stay = []
-        for r in pdf.itertuples(index=False):
-            end = getattr(r, "source_window_end")
-            end = None if end is None or pd.isna(end) else end
-            native = bool(getattr(r, "rerank_applied", False) or False)
-            sim = next((x for x in (r.score, getattr(r, "vector_score", None)) if x is not None and not pd.isna(x)), 0.0)
-            copy = False
-            block = None if end is None else int(end // max(1, gap))
-            near = [x for b in kept for x in kept[b]] if end is None else [x for b in (block - 1, block, block + 1, None) for x in kept.get(b, ())]
-            for e, cast, was in near:
-                if (end is None or e is None or abs(e - end) < gap) and _overlap(cast, r.characters) >= OVERLAP:
-                    if not native and not was and sim >= ESCAPE:
-                        continue
-                    copy = True
-                    break
-            if not copy:
-                kept.setdefault(block, []).append((end, r.characters, native))
-            stay.append(not copy)
-        return pdf[stay]
-
-    return events.groupBy(*keys).applyInPandas(walk, events.schema)
-
-
 def beyond_context(events: DataFrame, chat_length: int, depth: int) -> DataFrame:
     """Without events of the last `depth` messages, which the reader sees anyway; depth 0 keeps all."""
     if depth <= 0:
@@ -131,8 +90,8 @@ def beyond_context(events: DataFrame, chat_length: int, depth: int) -> DataFrame
 def retrieved(live: DataFrame, archive: DataFrame | None, chat_length: int, top_k: int = 8, anchor_text: str = "", depth: int = 0, gap: int = GAP, least_importance: int = 1, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The event query: candidates of all lookups, best row of each event, rerank, near copies, context, top k.
 
-    Of each lookup (column lookup, where there is one) the 2 * top_k best are candidates, so the walk over near copies sees a few rows. More
-    are needed only for what has no score at all.
+    Of each lookup (column lookup, where there is one) the 2 * top_k best are candidates, and archive holds candidates of other lookups, so
+    near copies are a walk over few rows.
     """
     per = [F.col("lookup")] if "lookup" in live.columns else []
     w = Window.partitionBy(*per).orderBy(F.col("score").desc_nulls_last(), "event_id")
@@ -141,7 +100,7 @@ def retrieved(live: DataFrame, archive: DataFrame | None, chat_length: int, top_
     if archive is not None:
         merged = merged.unionByName(archive, allowMissingColumns=True)
     scored = reranked(merged, chat_length, weights, anchor_text, None, least_importance)
-    out = beyond_context(near_copies_dropped(scored, gap), chat_length, depth)
+    out = beyond_context(few_kept(scored, gap), chat_length, depth)
     return out.orderBy(F.col("final_score").desc(), "event_id").limit(top_k)
 
 

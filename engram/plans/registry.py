@@ -236,7 +236,15 @@ def merge_by_max(spark, d):
     return events.best_by(_events(spark, d).select("user_id", "event_id", "score"), ["user_id"], "score", "event_id").select("user_id", "event_id", r6("score").alias("score"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM events), e AS ({_EVENTS}),
+f AS (SELECT *, 0.55 * score + 0.2 * importance / 10 + 0.15 * persist::INT + 0.1 * pow(0.5, greatest(0, n - wend) / greatest(40, 0.2 * n)) AS final FROM e, n),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY final DESC, event_id) AS r FROM f),
+w AS (SELECT event_type, user_id, 0::BIGINT AS r, []::BIGINT[] AS kept, []::BIGINT[] AS ends FROM (SELECT DISTINCT event_type, user_id FROM e)
+    UNION ALL SELECT o.event_type, o.user_id, o.r, CASE WHEN o.score < 0.75 AND len(list_filter(w.ends, lambda x: abs(x - o.wend) < 10)) > 0 THEN w.kept ELSE list_append(w.kept, o.event_id) END,
+        CASE WHEN o.score < 0.75 AND len(list_filter(w.ends, lambda x: abs(x - o.wend) < 10)) > 0 THEN w.ends ELSE list_append(w.ends, o.wend) END
+    FROM w JOIN o ON o.event_type = w.event_type AND o.user_id = w.user_id AND o.r = w.r + 1),
+k AS (SELECT unnest(arg_max(kept, r)) AS event_id FROM w GROUP BY event_type, user_id)
+SELECT event_id, event_type, round(final, 6) AS final_score FROM f WHERE event_id IN (SELECT event_id FROM k)""")
 def near_copies_dropped(spark, d):
     e = _events(spark, d)
     return events.near_copies_dropped(events.reranked(e, e.count())).select("event_id", "event_type", r6("final_score").alias("final_score"))
@@ -360,7 +368,9 @@ def chunk_section(spark, d):
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "text"), "section").drop("strategy")
 
 
-@query(None)
+@query(rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS s FROM documents),
+p AS (SELECT doc_id, string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) <= 500 THEN a || ' ' || x ELSE a || chr(1) || x END), chr(1)) AS p FROM s WHERE len(s) > 0)
+SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS chunk_index, unnest(p) AS text, len(p)::INT AS total_chunks FROM p""")
 def chunk_sentence(spark, d):
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "text"), "sentence").drop("strategy")
 

@@ -81,7 +81,8 @@ def test_windows_and_chunks(spark):
     assert chunking.message_batches(m, size=4).count() == 2
     d = spark.createDataFrame([(1, "# A\nx\n\n# B\ny"), (2, None)], "id long, text string")
     assert [r.text for r in chunking.sections(d).collect()] == ["# A\nx", "# B\ny"]
-    assert all(len(c) <= 60 for c in chunking.adaptive_chunks("word " * 200 + ". " + "other text. " * 30, 60))
+    long = spark.createDataFrame([(1, "word " * 200 + ". " + "other text. " * 30)], "id long, text string")
+    assert all(len(r.text) <= 60 for r in chunking.adaptive(long, 60).collect())
 
 
 def test_entities_and_glossary():
