@@ -72,7 +72,7 @@ def _text(v) -> str:
 
 
 def normal(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", text.lower())).strip()
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", " ", text.lower())).strip()
 
 
 def validate(raw: dict) -> dict | None:
@@ -114,29 +114,55 @@ def union_strings(a: list[str], b: list[str]) -> list[str]:
     return list(out.values())
 
 
-def merge(entities: list[dict]) -> list[dict]:
-    """Entities of one type that share a name or an alias are one, in the order of the first; bodies are joined unless one has the other."""
+def merge_bodies(a: str, b: str) -> str:
+    """The longer text, and what paragraphs (of a single one: sentences) of the other it does not have."""
+    if not a or not b:
+        return a or b
+    out, rest = (b, a) if len(b) > len(a) else (a, b)
+    flat = normal(out)
+    parts = [p.strip() for p in re.split(r"\n\n+", rest) if p.strip()]
+    for p in parts:
+        pieces = [p] if len(parts) > 1 else [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+", p) if s.strip()]
+        new = " ".join(s for s in pieces if normal(s) and normal(s) not in flat)
+        if new:
+            out, flat = f"{out}\n\n{new}", f"{flat} {normal(new)}"
+    return out
+
+
+def merge(entities: list[dict], counted: bool = False):
+    """Entities of one type that share a name or an alias, without case, are one, in the order of the first; bodies lose nothing.
+
+    counted: with the number of entities behind each.
+    """
     out: list[dict] = []
+    copies: list[int] = []
+    place: dict[tuple[str, str], int] = {}
+    low = lambda s: s.strip().lower()
     for e in entities:
-        names = {normal(n) for n in [e["name"], *e["aliases"]]}
-        same = next((o for o in out if o["entry_type"] == e["entry_type"] and names & {normal(n) for n in [o["name"], *o["aliases"]]}), None)
-        if same is None:
+        keys = [(e["entry_type"], low(n)) for n in [e["name"], *e["aliases"]] if low(n)]
+        at = next((place[k] for k in keys if k in place), len(out))
+        if at == len(out):
             out.append({**e})
-            continue
-        extra = [e["name"]] if normal(e["name"]) != normal(same["name"]) else []
-        same["aliases"] = [a for a in union_strings(same["aliases"], [*extra, *e["aliases"]]) if normal(a) != normal(same["name"])]
-        same["traits"] = union_strings(same["traits"], e["traits"])[:TRAITS]
-        same["affiliation"] = same["affiliation"] or e["affiliation"]
-        pairs = {(r["target"].lower(), r["type"].lower()): r for r in [*e["relationships"], *same["relationships"]]}
-        same["relationships"] = list(pairs.values())
-        best: dict[str, dict] = {}
-        for k in [*same["keywords"], *e["keywords"]]:
-            if k["text"].lower() not in best or k["importance"] > best[k["text"].lower()]["importance"]:
-                best[k["text"].lower()] = k
-        same["keywords"] = list(best.values())
-        a, b = normal(same["body"]), normal(e["body"])
-        same["body"] = same["body"] if b in a else e["body"] if a in b else f"{same['body']}\n\n{e['body']}"
-    return out
+            copies.append(1)
+        else:
+            same = out[at]
+            extra = [e["name"]] if low(e["name"]) != low(same["name"]) else []
+            same["aliases"] = [a for a in union_strings(same["aliases"], [*extra, *e["aliases"]]) if low(a) != low(same["name"])]
+            same["traits"] = union_strings(same["traits"], e["traits"])
+            same["affiliation"] = same["affiliation"] or e["affiliation"]
+            links: dict[tuple[str, str], dict] = {}
+            for r in [*same["relationships"], *e["relationships"]]:
+                links.setdefault((low(r["target"]), low(r["type"])), r)
+            same["relationships"] = list(links.values())
+            best: dict[str, dict] = {}
+            for k in [*same["keywords"], *e["keywords"]]:
+                if low(k["text"]) not in best or k["importance"] > best[low(k["text"])]["importance"]:
+                    best[low(k["text"])] = k
+            same["keywords"] = list(best.values())
+            same["body"] = merge_bodies(same["body"], e["body"])
+            copies[at] += 1
+        place.update({k: at for k in keys})
+    return (out, copies) if counted else out
 
 
 @batched(f"array<{ENTITY}>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bloom, hashing, scoring, text as tx, vectors
-from ..operators import bm25, browse, catalog, chunking, context, events, joins, keywords, retrieval, rules, wiki
+from ..operators import reformat, bm25, browse, catalog, chunking, context, events, joins, keywords, retrieval, rules, wiki
 from .registry import _CHUNKS, _EVENTS, _HITS, _LINKS, _PAGES, _Q, _TOK, _bm25_sql, _chunks, _events, _item_terms, _links, _pages, _query_vector, _simple, query, r6, table
 
 # searches with many queries
@@ -476,3 +476,41 @@ def bloom_semi_join(spark, d):
     bits, hashes = bloom.shape(wanted.count())
     thin = bloom.maybe_in(table(spark, d, "documents").select("doc_id"), "doc_id", bloom.build(wanted, "doc_id", bits, hashes), bits, hashes)
     return thin.join(wanted, "doc_id", "left_semi")
+
+
+# reformat
+
+_HEADED = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<[^>]*>', chr(2), 'g'), '\s+', ' ', 'g'), chr(2) || '[ ' || chr(2) || ']*', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+def _page_texts(spark, d) -> DataFrame:
+    """Pages as Markdown of one section: their title as its header, and a paragraph for what stands between two tags."""
+    html = F.regexp_replace("html", r"(?s)<script>.*?</script>|<style>.*?</style>|<[^>]*>", chr(2))
+    text = F.regexp_replace(F.regexp_replace(html, r"[ \t\n\f\r]+", " "), f"{chr(2)}[ {chr(2)}]*", "\n\n")
+    return table(spark, d, "pages").where("html IS NOT NULL").select("page_id", F.concat(F.lit("# "), F.btrim(text, F.lit(" \n"))).alias("text"))
+
+
+def _numbered_outline(text: str, title: str | None, names: list[str], missing: list) -> list[dict]:
+    """A record a batch, that counts those before it in its chain."""
+    return [{"entry_type": "concept", "name": f"{title or ''}#{len(names) + 1}", "body": text}]
+
+
+_BATCHES = f"""WITH t AS (SELECT page_id, '# ' || {_HEADED} AS text FROM pages WHERE html IS NOT NULL),
+l AS (SELECT page_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM t),
+p AS (SELECT page_id, regexp_extract(text, '^[^' || chr(10) || ']*') AS title, CASE WHEN length(text) <= 1500 THEN [text] ELSE
+    string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 2 + length(x) <= 1500 THEN a || chr(10) || chr(10) || x ELSE a || chr(1) || x END), chr(1)) END AS p FROM l),
+b AS (SELECT page_id, title, (generate_subscripts(p, 1) - 1)::INT AS batch, unnest(p) AS text FROM p)"""
+
+
+@query(f"{_BATCHES} SELECT page_id, batch, 0 AS chain, batch AS part, CASE WHEN batch > 0 THEN trim(title) END AS section_title, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM b")
+def reformat_batches(spark, d):
+    out = reformat.batched(_page_texts(spark, d), "page_id", "text", 1500)
+    return out.select("page_id", "batch", "chain", "part", "section_title", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"{_BATCHES} SELECT page_id, batch, batch AS pos, CASE WHEN batch > 0 THEN trim(title) ELSE '' END || '#' || (batch + 1) AS name, md5(text) AS body_md5, 'concept' AS entry_type FROM b")
+def reformatted_pages(spark, d):
+    """Each batch's record counts those that its chain has given before: the fold's order."""
+    batches = reformat.batched(_page_texts(spark, d), "page_id", "text", 1500)
+    out = reformat.extracted(batches, _numbered_outline, "page_id", None)
+    return out.select("page_id", "batch", "pos", "record.name", F.md5(F.col("record.body").cast("binary")).alias("body_md5"), "record.entry_type")
