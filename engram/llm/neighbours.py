@@ -124,7 +124,7 @@ def _shards(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _searched(entries: DataFrame, asked: DataFrame, index: Broadcast, blocks: int, dims: int, k: int) -> DataFrame:
-    """(q, e, score): for each query and shard the k best entries of the cells whose score is at least the query's bound.
+    """(q, e, score): for each query and shard the k best entries of the cells whose score is at least the query's bound, of those that reach its floor.
 
     A task has one shard's entries and the queries that come to it one batch after another.
     """
@@ -132,7 +132,7 @@ def _searched(entries: DataFrame, asked: DataFrame, index: Broadcast, blocks: in
     first, parts = _shards(index.value.cells.sum(1))
     lits = lambda x: F.array(*map(F.lit, x.tolist()))
     shard = F.get(lits(first), F.col("a")) + F.pmod(F.xxhash64("id"), F.get(lits(parts), F.col("a")))
-    entries = entries.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "id", "v", "a", "b", F.lit(0.0).alias("least"))
+    entries = entries.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "id", "v", "a", "b", F.lit(0.0).alias("least"), F.lit(0.0).alias("floor"))
 
     def sent(batches):
         for batch in batches:
@@ -144,10 +144,10 @@ def _searched(entries: DataFrame, asked: DataFrame, index: Broadcast, blocks: in
             for i in range(0, pair.shape[1], 1 << 14):
                 row, to = pair[:, i : i + (1 << 14)]
                 some = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), some.column("q"), some.column("v"), some.column("least")], ["shard", "q", "v", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), *(some.column(c) for c in ("q", "v", "least", "floor"))], ["shard", "q", "v", "least", "floor"])
 
-    queries = asked.mapInArrow(tidy(sent), f"shard long, q long, v {kind}, least double")
-    queries = queries.select("shard", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), F.col("q").alias("id"), "v", F.lit(0).alias("a"), F.lit(0).alias("b"), "least")
+    queries = asked.mapInArrow(tidy(sent), f"shard long, q long, v {kind}, least double, floor double")
+    queries = queries.select("shard", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), F.col("q").alias("id"), "v", F.lit(0).alias("a"), F.lit(0).alias("b"), "least", "floor")
 
     def searched(batches):
         key, gathered, held = None, [], None
@@ -164,15 +164,15 @@ def _searched(entries: DataFrame, asked: DataFrame, index: Broadcast, blocks: in
                     gathered.append(some)
                 elif gathered:
                     held = held or [np.concatenate(x) for x in zip(*((_matrix(g.column("v"), dims), g.column("id").to_numpy(), g.column("a").to_numpy(), g.column("b").to_numpy()) for g in gathered))]
-                    yield from _best(index.value, *held, some.column("id").to_numpy(), _matrix(some.column("v"), dims), some.column("least").to_numpy(), k)
+                    yield from _best(index.value, *held, some.column("id").to_numpy(), _matrix(some.column("v"), dims), some.column("least").to_numpy(), some.column("floor").to_numpy(), k)
 
     n = min(20_000, blocks * int((first + parts).max()))
     rows = entries.unionByName(queries).repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "side")
     return rows.mapInArrow(tidy(searched), "q long, e long, score double")
 
 
-def _best(index: MultiIndex, x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of the entries x in cells within each query's bound; scores are summed in order of dimension."""
+def _best(index: MultiIndex, x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, floors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of the entries x in cells within each query's bound, of no less than its floor; scores are summed in order of dimension."""
     step = max(1, BLOCK_SCORES // len(x))
     for i in range(0, len(q), step):
         some = q[i : i + step]
@@ -183,7 +183,8 @@ def _best(index: MultiIndex, x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: n
             continue
         score = np.where(near[:, read], some @ x[read].T, -np.inf)
         floor = np.partition(score, len(read) - k, axis=1)[:, len(read) - k] if len(read) > k else np.full(len(some), -np.inf)
-        row, col = np.nonzero((score >= (floor - 1e-12 * (1 + np.abs(floor)))[:, None]) & (score > -np.inf))
+        floor = np.maximum(floor, floors[i : i + step])
+        row, col = np.nonzero((score >= (floor - 1e-12 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None]) & (score > -np.inf))
         exact = np.zeros(len(row))
         for d in range(x.shape[1]):
             exact += some[row, d] * x[read[col], d]
@@ -205,7 +206,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     are like noise and no index can do better. No cell, shard or list of candidates is cut; margin = inf is exact.
 
     Shards are runs of the first half's codes of about SHARD_ROWS entries (a larger code is split by hash); a query goes to those that
-    may hold cells within its bound, and brings k + 1 rows back from each.
+    may hold cells within its bound, and brings at most k + 1 rows back from each, in the second search only such as reach the k-th best.
 
     Null ids, null vectors, and those that are zero or hold null or non-finite components take no part, nor do vectors of another
     length than the commonest. A query never finds its own id; if ids repeat, a vector is found under each of its ids once, and
@@ -248,12 +249,13 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     asked = written(asked.mapInArrow(tidy(starting), f"q long, v {kind}, least double"), "asked")
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "e")
-    found = _searched(entries, asked, index, blocks, dims, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    found = _searched(entries, asked.withColumn("floor", F.lit(float("-inf"))), index, blocks, dims, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     kth = found.groupBy("q").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
     apart = F.aggregate(F.zip_with("v", F.array(*(F.lit(float(s)) for s in index.value.spread)), lambda x, s: x.cast("double") * x * s), F.lit(0.0), lambda s, x: s + x)
     below = F.col("kth") - F.lit(float(margin)) * F.sqrt(apart) if np.isfinite(margin) else F.lit(float("-inf"))
     bound = F.when(F.col("n") > k, F.least("least", below)).otherwise(F.lit(float("-inf")))
-    again = written(asked.join(kth, "q").select("q", "v", bound.alias("least")), "bounds")
+    floor = F.when(F.col("n") > k, F.col("kth")).otherwise(F.lit(float("-inf")))
+    again = written(asked.join(kth, "q").select("q", "v", bound.alias("least"), floor.alias("floor")), "bounds")
     found = _searched(entries, again, index, blocks, dims, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = written(found.drop("r"), "found")
 
