@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import json
 import struct
 import zlib
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -81,11 +81,22 @@ def keyset_page(rows: DataFrame, id_col: str, cursor: int | None, n: int) -> Dat
 
 
 def exported(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of an export file with its collection's id; vectors if it has them."""
+    """Chunks of export files with their collection's id; vectors if they have them.
+
+    A file is one document with all chunks, on one line or many, or has a line for each chunk, as write_export makes it. An
+    export without a list of chunks, or a line without one, is an error when it is read; an empty list gives no rows.
+    """
     chunk = "struct<hash:bigint,text:string,vector:array<float>,metadata:map<string,string>>"
-    schema = f"version string, collection struct<id:string,source:string,model:string>, chunks array<{chunk}>"
-    whole = spark.read.schema(schema).json(path, multiLine=True)
-    return whole.select("version", F.col("collection.id").alias("collection_id"), F.col("collection.source").alias("source"), F.col("collection.model").alias("model"), F.explode("chunks").alias("c")).select("version", "collection_id", "source", "model", "c.*")
+    schema = f"version string, collection struct<id:string,source:string,model:string>, chunk {chunk}, chunks array<{chunk}>"
+    lines = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("_file", F.input_file_name())
+    documents = [r[0] for r in lines.where("_broken IS NOT NULL AND version IS NULL").select("_file").distinct().collect()]  # names of files that go over several lines
+    rows = lines.where(~F.col("_file").isin(documents)) if documents else lines
+    rows = rows.drop("_file", "_broken")
+    if documents:
+        rows = rows.unionByName(spark.read.schema(schema).json([unquote(f) for f in documents], multiLine=True))
+    none = F.raise_error(F.lit(f"{path} has an entry without chunks")).cast(f"array<{chunk}>")
+    each = F.when(F.col("chunk").isNotNull(), F.array("chunk")).when(F.col("chunks").isNotNull(), F.col("chunks")).otherwise(none)
+    return rows.select("version", F.col("collection.id").alias("collection_id"), F.col("collection.source").alias("source"), F.col("collection.model").alias("model"), F.explode(each).alias("c")).select("version", "collection_id", "source", "model", "c.*")
 
 
 def import_errors(rows: DataFrame, source: str | None = None, model: str | None = None) -> DataFrame:
@@ -154,7 +165,3 @@ def export_rows(chunks: DataFrame, collection: Column, version: str = "1.0.0") -
 def write_export(chunks: DataFrame, collection: Column, path: str, version: str = "1.0.0") -> None:
     """The export as files of JSON lines."""
     export_rows(chunks, collection, version).write.mode("overwrite").json(path)
-
-
-def dumps(rows: list[dict]) -> str:
-    return json.dumps(rows, ensure_ascii=False)

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import window_fingerprint
 from ..operators.chunking import count_windows
-
-#: Buckets of conversations that stored messages and the ledger are kept in; a batch reads those of its conversations.
-BUCKETS = 64
+from .windows import keyed_windows
 
 
 def fingerprinted(messages: DataFrame, size: int, overlap: int, conv: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
@@ -26,42 +24,27 @@ def unprocessed(windows: DataFrame, ledger: DataFrame, marker: int = 0, conv: st
     return windows.where(F.col("window_start") >= marker).join(ledger.select(conv, "fingerprint"), [conv, "fingerprint"], "left_anti")
 
 
-def window_sync(messages: DataFrame, folder: str, handle: Callable[[DataFrame], DataFrame], size: int = 6, overlap: int = 0, conv: str = "conv_id", checkpoint: str | None = None):
-    """A stream writer: every batch stores its messages, and hands each complete window that was not done before to handle, once.
+def window_sync(messages: DataFrame, folder: str, handle: Callable[[DataFrame], DataFrame], size: int = 6, overlap: int = 0, conv: str = "conv_id", checkpoint: str | None = None, **options):
+    """A stream writer: hands each complete window to handle, once, and again if one of its messages is edited soon after.
 
-    handle(windows) returns the rows to store. The ledger of fingerprints is written after them and under the batch's number, so a
-    batch that is run again writes the same folders again.
+    handle(windows) returns the rows to store, under events/batch=N; what is late or missing (see keyed_windows) is under notes/batch=N. Windows
+    come from the stream's state, so nothing that is stored is read again; a batch that is run again writes the same folders again.
     """
     base = folder.rstrip("/")
-    bucket = F.pmod(F.xxhash64(conv), F.lit(BUCKETS)).cast("int")
 
-    def stored(spark, name: str, upto: int, buckets: list[int]) -> DataFrame | None:
-        """What the batches before have of these buckets; None before the first."""
+    def batch(rows: DataFrame, number: int) -> None:
+        handle(rows.where(F.col("kind").isin("new", "edited"))).write.mode("overwrite").parquet(f"{base}/events/batch={number}")
+        rows.where(F.col("kind").isin("late", "gap")).write.mode("overwrite").parquet(f"{base}/notes/batch={number}")
+
+    def kept_batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()  # the state is advanced once for both tables
         try:
-            out = spark.read.parquet(f"{base}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            return None
-        return out.where((F.col("batch") < upto) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
+            batch(rows, number)
+        finally:
+            rows.unpersist()
 
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.withColumn("bucket", bucket)
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/messages/batch={number}")
-        buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-        touched = rows.select(conv).distinct()
-        before = stored(spark, "messages", number, buckets)
-        now = rows.drop("bucket")
-        everything = now if before is None else before.join(touched, conv, "left_semi").unionByName(now)
-        windows = fingerprinted(everything, size, overlap, conv)
-        done = stored(spark, "ledger", number, buckets)
-        if done is not None:
-            windows = unprocessed(windows, done, 0, conv)
-        handle(windows).write.mode("overwrite").parquet(f"{base}/events/batch={number}")
-        windows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/ledger/batch={number}")
-
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
+    windows = keyed_windows(messages, size, overlap, conv, **options)
+    return windows.writeStream.foreachBatch(kept_batch).option("checkpointLocation", checkpoint or f"{base}/checkpoint")
 
 
 def cooldown(activations: DataFrame, key: str, at: str, most: int, wait: int, checkpointed: bool = True) -> DataFrame:

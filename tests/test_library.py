@@ -1,5 +1,6 @@
 """Operators that no query shows: the store, imports, filters, composites on rows made by hand."""
 
+import itertools
 import json
 import re
 
@@ -25,16 +26,16 @@ def test_store_keeps_changes_apart_until_it_compacts(spark, tmp_path):
     s.upsert("c", rows(spark, (2, "b2", [3.0], "z"), (3, "c", [1.0], "w")))
     s.update("c", spark.createDataFrame([(2, None), (99, "q")], "hash long, note string"))
     assert sorted((r.hash, r.text, r.note) for r in s.scan("c").collect()) == [(1, "a", "x"), (2, "b2", None), (3, "c", "w")]
-    assert [e[1] for e in s._log("c")] == ["delta"] * 3
+    assert [e["kind"] for e in s._log("c")] == ["delta"] * 3
     s.delete("c", rows(spark, (1, None, None, None), (7, None, None, None)))
-    assert [e[1] for e in s._log("c")] == ["whole"] and sorted(r.hash for r in s.hashes("c").collect()) == [2, 3]
+    assert [e["kind"] for e in s._log("c")] == ["whole"] and sorted(r.hash for r in s.hashes("c").collect()) == [2, 3]
     s.upsert("c", rows(spark, (1, "new", [5.0], None)))
     assert [(r.hash, r.text) for r in s.chunk("c", 1).collect()] == [(1, "new")] and s.chunk("c", 8).count() == 0
     assert s.stats("c").first().chunks == 3 and [r.hash for r in s.page("c", 1, 1).collect()] == [2]
     # only one bucket of the whole table is read
     plan = s.chunk("c", 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_bucket" in plan or "_bucket" in plan
-    s.vacuum("c")
+    s.vacuum("c", keep_seconds=-1)
     assert s.scan("c").count() == 3 and s.collections() == ["c"]
     with pytest.raises(ValueError):
         s.upsert("c", rows(spark, (4, "d", [float("inf")], None)))
@@ -42,15 +43,108 @@ def test_store_keeps_changes_apart_until_it_compacts(spark, tmp_path):
     assert s.collections() == [] and s.scan("c").count() == 0
 
 
-def test_two_writers_take_different_numbers(spark, tmp_path):
+def test_a_number_has_one_writer(spark, tmp_path):
     a, b = (store.ChunkStore(spark, f"file://{tmp_path}/store", CHUNK) for _ in range(2))
     a.upsert("c", rows(spark, (1, "a", [1.0], None)))
-    log = b._log
-    stale = [log("c"), *([None] * 9)]
-    b._log = lambda c: stale.pop(0) or log(c)  # b has not seen that a takes the next number
+    entries = b._entries
+    stale = [entries("c")]
+    b._entries = lambda c: stale.pop() if stale else entries(c)  # b has not seen that a takes the next number
     a.upsert("c", rows(spark, (2, "b", [1.0], None)))
-    b.upsert("c", rows(spark, (3, "c", [1.0], None)))
-    assert sorted(r.hash for r in a.scan("c").collect()) == [1, 2, 3]
+    assert b._published("c", b._written("c", "delta", rows(spark, (3, "c", [1.0], None)).selectExpr("*", "false AS _gone", "CAST(NULL AS array<string>) AS _set"))) == 3
+    assert sorted(r.hash for r in a.scan("c").collect()) == [1, 2, 3] and [e["number"] for e in a._entries("c")] == [1, 2, 3]
+
+
+class Noted(store.ChunkStore):
+    """A store with its real log, whose folders are dicts in memory."""
+
+    folders: dict
+
+    def _written(self, collection, kind, rows, base=0):
+        name = f"f{len(self.folders)}"
+        self.folders[name] = dict(rows)
+        return f"{kind}~{base}~{name}"
+
+    def _rows(self, collection, log=None, bucket=None):
+        out = {}
+        for e in self._log(collection) if log is None else log:
+            out.update(self.folders[e["folder"]])
+        return out
+
+
+def steps(s, order, work):
+    """Each of a, b, c writes at its first letter and publishes at its second; a writer that is not done has no effect on the others."""
+    made = {}
+    for who in order:
+        made[who] = s._published("c", made[who]) if who in made else work[who]()
+
+
+def test_two_writers_and_a_compaction_lose_nothing_in_any_order(spark, tmp_path):
+    for n, order in enumerate(sorted(set(itertools.permutations("aabbcc")))):
+        s = Noted(spark, f"file://{tmp_path}/{n}", CHUNK, deltas=99)
+        s.folders = {}
+        s._published("c", s._written("c", "delta", {0: "old", 1: "old"}))
+        steps(s, order, {"a": lambda: s._written("c", "delta", {1: "a", 2: "a"}), "b": lambda: s._written("c", "delta", {3: "b"}), "c": lambda: s._compacted("c")})
+        assert s._rows("c") == {0: "old", 1: "a", 2: "a", 3: "b"}, order
+        s.compact("c")
+        assert s._rows("c") == {0: "old", 1: "a", 2: "a", 3: "b"} and len(s._log("c")) == 1, order
+
+
+@pytest.mark.parametrize("order", ["cabbac", "acbcba"])
+def test_writers_and_a_compaction_on_files(spark, tmp_path, order):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store", "hash long, text string", deltas=99)
+    full = lambda *r: spark.createDataFrame(list(r), "hash long, text string").selectExpr("*", "false AS _gone", "CAST(NULL AS array<string>) AS _set").coalesce(1)
+    s._published("c", s._written("c", "delta", full((0, "old"), (1, "old"))))
+    steps(s, order, {"a": lambda: s._written("c", "delta", full((1, "a"), (2, "a"))), "b": lambda: s._written("c", "delta", full((3, "b"))), "c": lambda: s._compacted("c")})
+    assert sorted(map(tuple, s.scan("c").collect())) == [(0, "old"), (1, "a"), (2, "a"), (3, "b")]
+
+
+def test_a_dead_writer_blocks_nobody_and_keeps_its_folder_for_a_while(spark, tmp_path):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store", CHUNK)
+    s.upsert("c", rows(spark, (1, "a", [1.0], None)))
+    s._written("c", "delta", rows(spark, (9, "lost", [1.0], None)).selectExpr("*", "false AS _gone", "CAST(NULL AS array<string>) AS _set"))
+    (tmp_path / "store/c/drafts/dead").mkdir()
+    s.upsert("c", rows(spark, (2, "b", [1.0], None)))
+    folders = lambda: len(list((tmp_path / "store/c/data").iterdir()))
+    s.vacuum("c")
+    assert sorted(r.hash for r in s.scan("c").collect()) == [1, 2] and folders() == 3
+    s.vacuum("c", keep_seconds=-1)
+    assert folders() == 2 and s.scan("c").count() == 2
+
+
+def test_updates_of_different_columns_both_hold(spark, tmp_path):
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store", CHUNK)
+    s.upsert("c", rows(spark, (1, "a", [1.0], "x"), (2, "b", [1.0], "y"), (3, "c", [1.0], "z")))
+    s.compact("c")
+    s.update("c", spark.createDataFrame([(1, "new"), (3, "new")], "hash long, note string"))
+    s.update("c", spark.createDataFrame([(1, "text"), (4, "text")], "hash long, text string"))
+    s.delete("c", spark.createDataFrame([(3,)], "hash long"))
+    s.update("c", spark.createDataFrame([(3, "late")], "hash long, note string"))
+    want = [(1, "text", "new"), (2, "b", "y")]
+    assert sorted((r.hash, r.text, r.note) for r in s.scan("c").collect()) == want
+    s.compact("c")
+    assert sorted((r.hash, r.text, r.note) for r in s.scan("c").collect()) == want
+    s.delete_where("c", F.col("note") == "y")
+    assert [r.hash for r in s.scan("c").collect()] == [1]
+
+
+def test_an_export_comes_back(spark, tmp_path):
+    two = rows(spark, (1, "a", [1.0], None), (2, "b", [2.0], None)).drop("note")
+    readers.write_export(two, F.struct(F.lit("c").alias("id"), F.lit("s").alias("source"), F.lit("m").alias("model")), f"{tmp_path}/out")
+    back = readers.exported(spark, f"{tmp_path}/out")
+    assert sorted((r.version, r.collection_id, r.hash, r.text, r.vector) for r in back.collect()) == [("1.0.0", "c", 1, "a", [1.0]), ("1.0.0", "c", 2, "b", [2.0])]
+    s = store.ChunkStore(spark, f"file://{tmp_path}/store", "hash long, text string, vector array<float>")
+    store.import_collection(s, "d", back, None, "s", "m")
+    assert s.scan("d").count() == 2
+    whole = {"version": "1.0", "collection": {"id": "e"}, "chunks": [{"hash": 5, "text": "x"}, {"hash": 6, "text": "y"}]}
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/one.json").write_text(json.dumps(whole))
+    (tmp_path / "docs/many.json").write_text(json.dumps(whole | {"collection": {"id": "f"}}, indent=2))
+    assert sorted((r.collection_id, r.hash) for r in readers.exported(spark, f"{tmp_path}/docs").collect()) == [("e", 5), ("e", 6), ("f", 5), ("f", 6)]
+    (tmp_path / "none.json").write_text(json.dumps({"version": "1.0", "rows": []}))
+    with pytest.raises(Exception, match="without chunks"):
+        readers.exported(spark, f"{tmp_path}/none.json").collect()
+    (tmp_path / "empty.json").write_text(json.dumps(whole | {"chunks": []}))
+    assert readers.exported(spark, f"{tmp_path}/empty.json").collect() == []
 
 
 def test_import_uses_vectors_again_or_makes_them(spark, tmp_path):
