@@ -20,6 +20,8 @@ Q = 8
 BLOCK_BYTES = 16 << 20
 #: Pairs of a place and an item with the same gram that are counted at once.
 MOST_PAIRS = 1 << 21
+#: Characters of a stretch of text that is counted at once, at least.
+STRETCH = 1 << 18
 
 #: Normal form, byte by byte: A-Z in lower case; ASCII letters, digits and bytes of other characters stay;
 #: everything else is a space, and spaces in a row are one.
@@ -188,17 +190,81 @@ def _counted(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, cod
     np.add.at(cover, right[opens], -1)
     places = places[np.cumsum(cover)[places] > 0]
     lo, hi = np.searchsorted(items.code, code[places]), np.searchsorted(items.code, code[places], "right")
-    n = hi - lo
-    sums = np.cumsum(n)
+    # in stretches of text: an alignment that begins in one ends within the reach of its last place, so what is counted twice is
+    # half of it at most
+    stretch = max(STRETCH, 4 * items.reach)
     begin = 0
     while begin < len(places):
-        # an alignment that begins in these places ends within its reach of the last
-        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + MOST_PAIRS)))
+        end = int(np.searchsorted(places, places[begin] + stretch))
         over = int(np.searchsorted(places, places[end - 1] + 2 * items.reach, "right"))
-        _banded(b, point, at, items, places[begin:over], lo[begin:over], n[begin:over], seen)
+        _parted(b, point, at, items, places[begin:over], lo[begin:over], hi[begin:over], 0, len(items.ids), seen)
         begin = end
 
 
+def _parted(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: int, last: int, seen: dict) -> None:
+    """Counts the pairs of these places with the items from first to last - 1, MOST_PAIRS of them at once: more are halved by items,
+    and those of a single item by its bands of diagonals.
+
+    Entries of one gram are in order of item, then place, so each part of a place's pairs is a run of them.
+    """
+    some = hi > lo
+    places, lo, hi = places[some], lo[some], hi[some]
+    total = int((hi - lo).sum())
+    if total <= MOST_PAIRS:
+        if total:
+            _banded(b, point, at, items, places, lo, hi - lo, seen)
+    elif last - first > 1:
+        middle = (first + last) // 2
+        cut = _run_search(items.item, lo, hi, np.full(len(lo), middle))
+        _parted(b, point, at, items, places, lo, cut, first, middle, seen)
+        _parted(b, point, at, items, places, cut, hi, middle, last, seen)
+    else:
+        _one_item(b, point, at, items, places, lo, hi, first, seen)
+
+
+def _run_search(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each run [lo, hi) of sorted values the first place whose value is not below the wanted one."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        middle = (lo + hi) // 2
+        below = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
+        lo, hi = np.where(below, middle + 1, lo), np.where(open_ & ~below, middle, hi)
+    return lo
+
+
+def _one_item(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, i: int, seen: dict) -> None:
+    """The bands of one item with very many pairs: each band's counts by document come from the lengths of runs; no pair is made."""
+    e = int(items.edits[i])
+    half, shift = e + 1, items.reach + 1
+    doc_of = np.searchsorted(at, places, "right") - 1
+    low, high = int(places[0] - items.size[i] + shift) // half - 1, int(places[-1] + shift) // half
+    for band in range(low, high + 1):
+        begin = band * half - shift  # diagonals of the band: begin to begin + 2 * half - 1
+        near = slice(int(np.searchsorted(places, begin)), int(np.searchsorted(places, begin + 2 * half + items.size[i])))
+        if near.start >= near.stop:
+            continue
+        p = places[near]
+        # diagonal = place - place in the item, so the item's places lie between p - begin - 2 * half + 1 and p - begin
+        a = _run_search(items.place, lo[near], hi[near], p - begin - 2 * half + 1)
+        z = _run_search(items.place, a, hi[near], p - begin + 1)
+        docs, back = np.unique(doc_of[near], return_inverse=True)
+        count = np.bincount(back, weights=z - a)
+        for d in docs[count >= items.least[i]].tolist():
+            _align(b, point, at, items, i, d, begin, seen)
+
+
+def _align(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, i: int, d: int, begin: int, seen: dict) -> None:
+    """Aligns an item with a document's region from the diagonal begin on; adds to seen."""
+    if seen.get((d, i), 1) == 0:
+        return
+    e = int(items.edits[i])
+    low = max(0, begin - int(at[d]) - e)
+    part = slice(int(at[d]) + low, min(int(at[d + 1]) + 1, max(int(at[d]), begin) + int(items.size[i]) + 4 * e + 4))
+    edits = items.edits_in(i, b[part].tobytes(), point[part], begin + e - int(at[d]) - low)
+    if edits <= e:
+        seen[(d, i)] = min(edits, seen.get((d, i), edits))
+
+
 def _banded(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, places: np.ndarray, lo: np.ndarray, n: np.ndarray, seen: dict) -> None:
     where = np.repeat(places, n)
     pick = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -217,15 +283,7 @@ def _banded(b: np.ndarray, point: np.ndarray, at: np.ndarray, items: Items, plac
     count = np.diff(np.append(first, len(keys)))
     for f in first[count >= items.least[keys[first, 0]]]:
         i, d = int(keys[f, 0]), int(doc_of[f])
-        if seen.get((d, i), 1) == 0:
-            continue
-        e = int(items.edits[i])
-        begin = int(keys[f, 1]) * (e + 1) - shift
-        low = max(0, begin - int(at[d]) - e)
-        part = slice(int(at[d]) + low, min(int(at[d + 1]) + 1, max(int(at[d]), begin) + int(items.size[i]) + 4 * e + 4))
-        edits = items.edits_in(i, b[part].tobytes(), point[part], begin + e - int(at[d]) - low)
-        if edits <= e:
-            seen[(d, i)] = min(edits, seen.get((d, i), edits))
+        _align(b, point, at, items, i, d, int(keys[f, 1]) * (int(items.edits[i]) + 1) - shift, seen)
 
 
 def _found(column: pa.Array, items: Items) -> Iterator[tuple[int, int, list[dict[int, int]]]]:
