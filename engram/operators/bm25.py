@@ -13,13 +13,13 @@ K1, B, DELTA, FIELD_BOOST, COVERAGE = 1.5, 0.75, 0.5, 4, 0.1
 
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf); tokens may repeat."""
-    return docs.select(F.col(id_col), F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf); tokens may repeat. Outer, or a filter on the list's size would make the tokens twice."""
+    return docs.select(F.col(id_col), F.explode_outer(tokens).alias("term")).where("term IS NOT NULL").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
     """(term, df): in how many rows each term is."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode_outer(F.array_distinct(tokens)).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -81,8 +81,8 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, tokens: Column, title:
     if coverage:
         total = total * (1 + COVERAGE * F.size("_h") / len(query))
     row = F.struct(total.alias("bm25_score"), F.size("_h").alias("matched"))
-    none = F.array().cast("array<struct<bm25_score:double,matched:int>>")
-    return d.select(id_col, F.inline(F.when(F.size("_h") > 0, F.array(row)).otherwise(none)))
+    # outer, as what an inner one drops is made a filter below it that makes all tokens again
+    return d.select(id_col, F.inline_outer(F.when(F.size("_h") > 0, F.array(row)))).where("matched IS NOT NULL")
 
 
 def query_tokens(text: str, **options) -> list[str]:
@@ -118,42 +118,3 @@ def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, toke
     total = total.select("q", "id", F.round(F.col("s") * (1 + COVERAGE * F.col("c") / F.col("m")), 9).alias("score"))
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
-
-
-class TextIndex:
-    """Postings of a collection in a folder: written once, a query reads only the buckets of its terms.
-
-    postings(bucket, term, id, tf, length) are partitioned by a hash of the term and sorted by it; boosted fields add to tf. statistics is one
-    row (n, avgdl). Document frequencies are counted from the postings that a query reads anyway.
-    """
-
-    def __init__(self, spark, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
-
-    def build(self, docs: DataFrame, id_col: str, tokens: Column, title: Column | None = None, tags: Column | None = None) -> "TextIndex":
-        boost = F.array().cast("array<string>")
-        for x in (title, tags):
-            if x is not None:
-                boost = F.concat(boost, F.flatten(F.array_repeat(x, FIELD_BOOST)))
-        d = docs.select(F.col(id_col).alias("id"), bind(tokens, lambda t: F.struct(F.size(t).alias("length"), F.concat(t, boost).alias("all"))).alias("m"))
-        rows = d.select("id", "m.length", F.explode("m.all").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-        rows = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        d.agg(F.count("*").alias("n"), F.coalesce(F.avg("m.length"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{self.folder}/statistics")
-        return self
-
-    def search(self, query: list[str], k1: float = K1, b: float = B, coverage: bool = True) -> DataFrame:
-        """(id, bm25_score, matched) of the documents with a term of the query."""
-        postings = self.spark.read.parquet(f"{self.folder}/postings")
-        ask = sorted(set(query))
-        wanted = sorted({r[0] for r in self.spark.createDataFrame([(q,) for q in ask], "term string").select(self._bucket(F.col("term"))).collect()}) if ask else []
-        n, avgdl = self.spark.read.parquet(f"{self.folder}/statistics").first()
-        hits = postings.where(F.col("bucket").isin(wanted) & F.col("term").isin(ask)) if ask and n and avgdl else postings.limit(0)
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        weight = idf(F.lit(float(n)), F.col("df"))
-        scored = hits.join(F.broadcast(df), "term").select("id", term_score(F.col("tf"), weight, F.col("length"), F.lit(float(avgdl or 1)), k1, b).alias("s"))
-        out = scored.groupBy("id").agg(F.sum("s").alias("bm25_score"), F.count("*").cast("int").alias("matched"))
-        return out.withColumn("bm25_score", F.col("bm25_score") * (1 + COVERAGE * F.col("matched") / max(1, len(ask)))) if coverage else out

@@ -10,10 +10,15 @@ CHUNK_SIZE = 500
 
 
 def _exploded(df: DataFrame, chunks: Column, strategy: str) -> DataFrame:
-    """A row for each chunk: chunk_index, total_chunks, strategy and text replace the text. The list itself is not carried along with each row."""
+    """A row for each chunk: chunk_index, total_chunks, strategy and text replace the text.
+
+    The list itself is not carried along with each row; and it is exploded as an outer one, as otherwise a filter on its size is inferred
+    below it that makes all chunks once more.
+    """
     rest = [c for c in df.columns if c != "text"]
     counted = df.withColumn("_c", chunks).withColumn("_n", F.size("_c"))
-    return counted.select(*rest, F.posexplode("_c").alias("chunk_index", "text"), F.col("_n").alias("total_chunks"), F.lit(strategy).alias("strategy"))
+    out = counted.select(*rest, F.posexplode_outer("_c").alias("chunk_index", "text"), F.col("_n").alias("total_chunks"), F.lit(strategy).alias("strategy"))
+    return out.where("chunk_index IS NOT NULL")
 
 
 def _trimmed(parts: Column) -> Column:

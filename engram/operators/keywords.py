@@ -46,9 +46,13 @@ def _scanned(text: Column, level: str, at_space: bool) -> Column:
 
 
 def _of_forms(rows: DataFrame, id_col: str, mode: str, *kept: str) -> DataFrame:
-    """rows(id, form, proper, ...) with word: the form of a capitalised or short word or one without word spaces, else its stem."""
-    as_is = F.col("proper") | (F.length("form") <= 3) | F.col("form").rlike(f"[{CJK}]")
-    return rows.withColumn("word", F.when(as_is, F.col("form")).otherwise(stem(F.col("form"))))
+    """rows(id, form, proper, ...) with word: the form of a capitalised or short word or one without word spaces, else its stem.
+
+    A stem is made once for each distinct form, not for each text that has it.
+    """
+    short = lambda f: (F.length(f) <= 3) | f.rlike(f"[{CJK}]")
+    stems = rows.where(~short(F.col("form"))).select("form").distinct().select("form", stem(F.col("form")).alias("_stem"))
+    return rows.join(stems, "form", "left").withColumn("word", F.when(F.col("proper"), F.col("form")).otherwise(F.coalesce("_stem", "form"))).drop("_stem")
 
 
 def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", least: int = 3, singles: list[str] | None = None) -> DataFrame:
@@ -58,17 +62,17 @@ def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "bal
     order on a tie. The texts are shuffled once, by id; all that follows stays in their partitions.
     """
     clean = F.regexp_replace(_scanned(_untagged(text), level, True), POSSESSIVE, "")
-    d = docs.select(F.col(id_col), _untagged(text).alias("_u"), clean.alias("_t")).where(F.length("_u") > 0).repartition(id_col)
+    d = docs.select(F.col(id_col), _untagged(text).alias("_u"), clean.alias("_t")).repartition(id_col)
     parts = F.filter(F.transform(F.split("_t", r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
     proper = F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))
     d = d.select(id_col, "_u", "_t", proper.alias("_p"), bind(parts, lambda p: F.when(F.size(p) == 0, F.array(F.col("_t"))).otherwise(p)).alias("_s"))
     plain = F.regexp_replace(F.lower(F.regexp_replace("_x", f"[{CJK}]", " ")), r"[^\w\s'-]", " ")
     words = F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(F.col("_x")))
-    rows = d.select(id_col, F.size("_s").alias("s"), F.posexplode("_s").alias("sentence", "_x")).select(id_col, "s", "sentence", F.explode(words).alias("form"))
-    rows = rows.where(~F.col("form").isin(stop_words(mode)))
+    rows = d.select(id_col, F.size("_s").alias("s"), F.posexplode_outer("_s").alias("sentence", "_x")).select(id_col, "s", "sentence", F.explode_outer(words).alias("form"))
+    rows = rows.where(F.col("form").isNotNull() & ~F.col("form").isin(stop_words(mode)))
     per_form = rows.groupBy(id_col, "form").agg(F.count("*").alias("c"), F.first("s").alias("s"), F.collect_set("sentence").alias("in_"))
     # capitalised words, once each, tell which forms are names, and later which words the text has capitalised
-    names = d.select(id_col, F.explode("_p").alias("form")).withColumn("proper", F.lit(True))
+    names = d.select(id_col, F.explode_outer("_p").alias("form")).where("form IS NOT NULL").withColumn("proper", F.lit(True))
     per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
     per = per_form.groupBy(id_col, "word").agg(
         F.sum("c").alias("tf"), F.first("s").alias("s"), F.size(F.array_distinct(F.flatten(F.collect_list("in_")))).alias("df"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"),
@@ -105,13 +109,13 @@ def frequency_keywords(docs: DataFrame, id_col: str, text: Column, level: str =
     d = docs.select(F.col(id_col), _scanned(clean, level, False).alias("_t")).repartition(id_col)
     stops = stop_words(mode)
     words = F.concat(F.regexp_extract_all(F.lower("_t"), F.lit(LATIN_WORD), F.lit(0)), cjk_tokens(F.col("_t")))
-    per_form = d.select(id_col, F.explode(words).alias("form")).where(~F.col("form").isin(stops)).groupBy(id_col, "form").agg(F.count("*").alias("c"))
-    names = d.select(id_col, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))).alias("form")).withColumn("proper", F.lit(True))
+    per_form = d.select(id_col, F.explode_outer(words).alias("form")).where(F.col("form").isNotNull() & ~F.col("form").isin(stops)).groupBy(id_col, "form").agg(F.count("*").alias("c"))
+    names = d.select(id_col, F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))).alias("form")).where("form IS NOT NULL").withColumn("proper", F.lit(True))
     per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
     per = per_form.groupBy(id_col, "word").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f")).where(_kept(F.col("word"), F.col("n"), singles))
     weight = F.least(F.lit(MOST_WEIGHT), base + 0.1 * (F.col("n") - 1))
     rows = per.select(id_col, F.col("f.form").alias("keyword"), "n", weight.alias("weight"), F.lit(0).alias("kind"), "word")
-    one = lambda found, kind, w: d.select(id_col, F.explode(found).alias("keyword")).select(id_col, "keyword", F.lit(1).cast("long").alias("n"), F.lit(min(MOST_WEIGHT, w)).cast("double").alias("weight"), F.lit(kind).alias("kind"), F.col("keyword").alias("word"))
+    one = lambda found, kind, w: d.select(id_col, F.explode_outer(found).alias("keyword")).where("keyword IS NOT NULL").select(id_col, "keyword", F.lit(1).cast("long").alias("n"), F.lit(min(MOST_WEIGHT, w)).cast("double").alias("weight"), F.lit(kind).alias("kind"), F.col("keyword").alias("word"))
     compounds = F.transform(F.regexp_extract_all("_t", F.lit(COMPOUND), F.lit(0)), lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
     rows = rows.unionByName(one(F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)), 1, base + 0.2))
     rows = rows.unionByName(one(F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stops))), 2, MOST_WEIGHT))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cleaning, hashing, scoring, text as tx, vectors
 from ..operators import bm25, catalog, chunking, context, entities, events, fusion, joins, keywords, rules, wiki
+from ..operators.text_index import TextIndex
+from ..sources.work import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,6 +137,18 @@ i AS (SELECT term, greatest(0, ln((n - count(*) + 0.5) / (count(*) + 0.5))) + 0.
 SELECT doc_id, round(sum(idf * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * l / avgdl))) * (1 + 0.1 * count(*) / m), 9) AS score FROM h JOIN i USING (term), s, m GROUP BY doc_id, m"""
 
 
+_indices: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark, d) -> TextIndex:
+    """The documents' text index, made at its first use by an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indices:
+        index = TextIndex(spark, f"{work_folder(spark)}/engram/index-{uuid.uuid4().hex}")
+        _indices[key] = index.upsert(table(spark, d, "documents"), "doc_id", F.array_distinct(_simple()), F.array_distinct(_simple("source")))
+    return _indices[key]
+
+
 def _text_scores(spark, d, boost=False) -> DataFrame:
     q = _item_terms(spark, d)
     title = F.array_distinct(_simple("source")) if boost else None
@@ -150,6 +165,24 @@ def bm25_field_boost(spark, d):
     return _text_scores(spark, d, True).select("doc_id", r6("score").alias("score"))
 
 
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(True)}) ORDER BY score DESC, doc_id LIMIT 20")
+def indexed_topk(spark, d):
+    """The same scores from the index of all documents, whose blocks of low bounds are not read."""
+    out = _index(spark, d).search(_item_terms(spark, d), 20, boosted=True)
+    return out.select(F.col("id").alias("doc_id"), r6("bm25_score").alias("score"))
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(False).replace('FROM documents)', 'FROM (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN lang ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))')})")
+def indexed_changes(spark, d):
+    """All scores after a seventh of the documents is deleted and a fifth has its text replaced: as if the index were made anew."""
+    docs = table(spark, d, "documents")
+    index = TextIndex(spark, f"{work_folder(spark)}/engram/index-{uuid.uuid4().hex}")
+    index.upsert(docs, "doc_id", F.array_distinct(_simple()))
+    index.upsert(docs.where("doc_id % 5 = 0"), "doc_id", F.array_distinct(_simple("lang")))
+    index.delete(docs.where("doc_id % 7 = 0").select("doc_id"), "doc_id")
+    return index.search(_item_terms(spark, d)).select(F.col("id").alias("doc_id"), r6("bm25_score").alias("score"))
+
+
 _TEXT = f"SELECT doc_id AS id, score FROM ({_bm25_sql(False)}) ORDER BY score DESC, id LIMIT 100"
 
 

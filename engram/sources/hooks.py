@@ -51,13 +51,16 @@ def answer_hook(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt
 
 
 def reranked(rows: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None, query: str, text: str = "text") -> DataFrame:
-    """Scores by a hook on (query, text); without one the rows stay as they are."""
+    """Scores by a hook on (query, text), a batch at a time; without one, or for batches in which it fails, the rows stay as they are."""
     if scorer is None:
         return rows
 
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        return scorer(q, t)
+        try:
+            return scorer(q, t)
+        except Exception:  # noqa: BLE001 - a remote model may fail in any way
+            return pd.Series([None] * len(t), dtype="float64")
 
     return rows.withColumn("score", F.coalesce(run(F.lit(query), F.col(text)), F.col("score")))
 

@@ -3,13 +3,14 @@
 import itertools
 import json
 import re
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import bloom, cleaning, text as tx, vectors
-from engram.operators import bm25, chunking, entities, events, keywords, retrieval
+from engram.operators import bm25, chunking, entities, events, keywords, retrieval, text_index
 from engram.plans import more, registry  # noqa: F401
 from engram.sources import readers, store
 
@@ -220,13 +221,41 @@ def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
         assert r.score == pytest.approx((unit @ unit[r.query_id])[order[r["rank"] - 1]])
 
 
-def test_text_index_scores_as_the_scan_does(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "the cat sat on mats", "cat"), (2, "a cat and a dog", ""), (3, "nothing here", ""), (4, "dog dog", "x")], "id long, text string, title string")
-    tok, title = tx.tokenize(F.col("text")), tx.tokenize(F.col("title"))
-    index = bm25.TextIndex(spark, f"file://{tmp_path}/index", 8).build(docs, "id", tok, title)
-    for q in (["cat"], ["cat", "dog"], ["absent"], []):
-        want = {r.id: (r.bm25_score, r.matched) for r in bm25.bm25(docs, q, "id", tok, title).collect()}
-        assert {r.id: (pytest.approx(r.bm25_score), r.matched) for r in index.search(q).collect()} == want
+def test_text_index_scores_as_the_scan_does_through_changes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i}" for i in range(40)])
+    make = lambda ids: [(int(i), " ".join(rng.choice(vocabulary, rng.integers(0, 30), p=np.arange(40, 0, -1) / 820)), str(rng.choice(vocabulary)) if rng.random() < 0.5 else None) for i in ids]
+    df = lambda rows: spark.createDataFrame(rows, "id long, text string, title string").repartition(3)
+    for tok in (F.split("text", " "), F.array_distinct(F.split("text", " "))):
+        tok, title = F.filter(tok, lambda t: t != ""), F.filter(F.array(F.col("title")), lambda t: t.isNotNull())
+        index = text_index.TextIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)
+        now = {r[0]: r for r in make(range(60))}
+        index.upsert(df(list(now.values())), "id", tok, title)
+        more = make(range(50, 80))
+        now |= {r[0]: r for r in more}
+        index.upsert(df(more), "id", tok, title)
+        index.delete(spark.createDataFrame([(3,), (55,), (999,)], "id long"))
+        now = {i: r for i, r in now.items() if i not in (3, 55)}
+        again = make([55])
+        index.upsert(df(again), "id", tok, title)
+        now |= {r[0]: r for r in again}
+        docs = df(list(now.values()))
+        for q, boosted in ((["w0", "w5", "w39"], True), (["w1", "w2"], False), (["absent"], True), ([], False)):
+            want = {r.id: (r.bm25_score, r.matched) for r in bm25.bm25(docs, q, "id", tok, title if boosted else None).collect()}
+            got = {r.id: (r.bm25_score, r.matched) for r in index.search(q, boosted=boosted).collect()}
+            assert got == {i: (pytest.approx(s), m) for i, (s, m) in want.items()}
+            top = index.search(q, 5, boosted).collect()
+            assert [r.id for r in top] == sorted(want, key=lambda i: (-round(want[i][0], 9), i))[:5]
+
+
+def test_text_index_skips_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_BITS", 3)
+    docs = spark.range(800).repartition(1).select("id", F.when(F.col("id").between(160, 175), "rare common").otherwise("common other").alias("text"))
+    index = text_index.TextIndex(spark, f"file://{tmp_path}/index").upsert(docs, "id", F.split("text", " "))
+    top = index.search(["rare", "common"], 10).collect()
+    assert len(top) == 10 and all(160 <= r.id <= 175 and r.matched == 2 for r in top)
+    total, read = index.skipped
+    assert total >= 100 and read <= 4
 
 
 def test_near_copies_walk_equals_the_plain_one(spark):

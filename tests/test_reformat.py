@@ -147,3 +147,16 @@ def test_bodies_lose_nothing():
     a, b = "First fact. Second fact, which is long.", "Third fact. First fact."
     assert entities.merge_bodies(a, b) == f"{a}\n\nThird fact." == entities.merge_bodies(b, a)
     assert entities.merge_bodies("", "x") == "x"
+
+
+def test_a_failing_scorer_leaves_the_scores(spark):
+    from engram.sources import hooks
+
+    rows = spark.createDataFrame([(1, "a", 0.5), (2, "bb", 0.25)], "id long, text string, score double").coalesce(1)
+
+    def broken(q, t):
+        raise ValueError("no model")
+
+    assert sorted(map(tuple, hooks.reranked(rows, broken, "q").collect())) == [(1, "a", 0.5), (2, "bb", 0.25)]
+    assert sorted(r.score for r in hooks.reranked(rows, lambda q, t: t.str.len() / 1.0, "q").collect()) == [1.0, 2.0]
+    assert hooks.reranked(rows, None, "q") is rows
