@@ -21,7 +21,7 @@ CENTROIDS = 256
 #: Entries that the heap gathers for a query before the second search bounds the rest.
 FIRST_ENTRIES = 512
 #: Standard deviations of a residual's inner product below the k-th best found, down to which cells are read.
-MARGIN = 3.0
+MARGIN = 3.5
 #: Entries of a shard, and queries that meet one together, about.
 SHARD_ROWS, QUERY_ROWS = 4096, 32_768
 #: Scores held at once by a task.
