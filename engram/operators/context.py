@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Chunks of one context at most.
+MOST_CHUNKS = 100
+
 
 def query_text(messages: DataFrame, n: int, conv: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """The last n messages of each conversation that aren't the system's, newest first, one a line."""
@@ -32,12 +35,17 @@ def position(chunks: DataFrame, default: tuple[int, int] = (0, 2)) -> DataFrame:
     return chunks.withColumns({"position": pick("position", default[0]), "depth": pick("depth", default[1])})
 
 
-def assembled(chunks: DataFrame, per: list[str] | None = None, global_context: str = "", global_tag: str = "") -> DataFrame:
+def assembled(chunks: DataFrame, per: list[str] | None = None, global_context: str = "", global_tag: str = "", most: int = MOST_CHUNKS) -> DataFrame:
     """(per..., context): chunks by score within collections, each wrapped, collections by their best score, wrapped again.
 
+    Only the `most` best chunks of each place are put together: a context is read whole, so a task never holds more than that.
     chunks(collection_id, hash, text, score, context, xml_tag, collection_context, collection_tag).
     """
     per = per or []
+    if per:
+        chunks = chunks.withColumn("_r", F.row_number().over(Window.partitionBy(*per).orderBy(F.col("score").desc(), "hash"))).where(F.col("_r") <= most).drop("_r")
+    else:
+        chunks = chunks.orderBy(F.col("score").desc(), "hash").limit(most)
     one = wrapped(F.col("text"), F.col("context"), F.col("xml_tag"))
     by = chunks.groupBy(*per, "collection_id").agg(ordered_text(one, [-F.col("score"), F.col("hash")]).alias("t"), F.max("score").alias("best"), F.first("collection_context").alias("cc"), F.first("collection_tag").alias("ct"))
     by = by.withColumn("t", wrapped(F.col("t"), F.col("cc"), F.col("ct")))

@@ -47,7 +47,10 @@ def force_linked(hits: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFr
     return chunks.join(missing, "hash", "left_semi").withColumn("score", F.lit(1.0))
 
 
-def not_in_context(hits: DataFrame, recent: DataFrame, key: str = "hash") -> DataFrame:
+def not_in_context(hits: DataFrame, recent: DataFrame, key: str = "hash", depth: int = 0, order: str = "idx") -> DataFrame:
+    """hits that the last `depth` messages do not show, by their place in the chat; depth 0 takes the whole chat."""
+    if depth > 0:
+        recent = recent.join(F.broadcast(recent.agg((F.max(order) - depth).alias("_low"))), F.col(order) > F.col("_low"))
     return hits.join(recent.select(key), key, "left_anti")
 
 
@@ -119,6 +122,11 @@ def pages_of(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def paged(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of rows, each with the total of all of them."""
+    return pages_of(rows, order, offset, limit).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
 def exclusion_reason(candidates: DataFrame, above_threshold: DataFrame, passed: DataFrame, injected: DataFrame, key: str = "hash") -> DataFrame:
     """The first stage that lost each candidate."""
     out = candidates.select(key).distinct()

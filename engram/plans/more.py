@@ -360,10 +360,9 @@ def chunk_positions(spark, d):
     return context.position(c).groupBy("position", "depth").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, doc_id AS total_place, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
+@query("SELECT doc_id, source, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
 def paged_with_total(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("total_place"))
-    return joins.pages_of(docs, ["doc_id"], 40, 20).crossJoin(F.broadcast(docs.agg(F.count("*").alias("total"))))
+    return joins.paged(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 40, 20)
 
 
 # keywords and strings

@@ -305,9 +305,11 @@ def vectorization_tip(spark, d):
     return _events(spark, d).agg(events.vectorization_tip(None).alias("tip"))
 
 
-@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM ({_EVENTS}) GROUP BY event_type")
+@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM (SELECT * FROM ({_EVENTS}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY score DESC, event_id) <= 20) GROUP BY event_type")
 def event_format(spark, d):
+    """The twenty best of each type as text."""
     e = _events(spark, d).withColumns({"summary": F.concat("event_type", F.lit(" "), "event_id"), "final_score": F.col("score")})
+    e = joins.top_per(e, ["event_type"], 20, "score", "event_id")
     return e.groupBy("event_type").agg(events.formatted(e, "summary").alias("context"))
 
 
@@ -565,13 +567,20 @@ def context_anti_join(spark, d):
     return joins.not_in_context(docs.where("source <> 'src0'"), docs.where("source = 'src0'")).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src0' AND doc_id > (SELECT max(doc_id) FROM documents WHERE source = 'src0') - 500 AND text IS NOT NULL) AND source <> 'src0'")
+def context_depth(spark, d):
+    """As context_anti_join, against the places of the last 500 only."""
+    docs = table(spark, d, "documents").withColumn("hash", F.md5(F.col("text").cast("binary")))
+    return joins.not_in_context(docs.where("source <> 'src0' AND text IS NOT NULL"), docs.where("source = 'src0'"), depth=500, order="doc_id").select("doc_id")
+
+
 @query(f"SELECT hash, round(CASE WHEN collection_id IN ('src3', 'src5') THEN 1 ELSE score END, 6) AS score, round(score, 6) AS original_score FROM ({_HITS})")
 def keyword_boost(spark, d):
     c = joins.above(_chunks(spark, d), 0.1).withColumn("keywords", F.array(F.upper("collection_id")))
     return joins.keyword_boosted(c, ["src3", "SRC5"]).select("hash", r6("score").alias("score"), r6("original_score").alias("original_score"))
 
 
-@query(f"""WITH h AS (SELECT * FROM ({_CHUNKS}) WHERE score >= 0.5), c AS (SELECT collection_id, '<col>' || chr(10) || string_agg('note' || chr(10) || text, chr(10) || chr(10) ORDER BY score DESC, hash) || chr(10) || '</col>' AS t, max(score) AS best FROM h GROUP BY 1)
+@query(f"""WITH h AS (SELECT * FROM ({_CHUNKS}) WHERE score >= 0.5 ORDER BY score DESC, hash LIMIT {context.MOST_CHUNKS}), c AS (SELECT collection_id, '<col>' || chr(10) || string_agg('note' || chr(10) || text, chr(10) || chr(10) ORDER BY score DESC, hash) || chr(10) || '</col>' AS t, max(score) AS best FROM h GROUP BY 1)
 SELECT '<mem>' || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY best DESC, collection_id) || chr(10) || '</mem>' AS context FROM c""")
 def context_text(spark, d):
     c = joins.above(_chunks(spark, d), 0.5).withColumns({"context": F.lit("note"), "xml_tag": F.lit(None).cast("string"), "collection_context": F.lit(""), "collection_tag": F.lit("col")})

@@ -226,7 +226,8 @@ def test_text_index_scores_as_the_scan_does_through_changes(spark, tmp_path):
     vocabulary = np.array([f"w{i}" for i in range(40)])
     make = lambda ids: [(int(i), " ".join(rng.choice(vocabulary, rng.integers(0, 30), p=np.arange(40, 0, -1) / 820)), str(rng.choice(vocabulary)) if rng.random() < 0.5 else None) for i in ids]
     df = lambda rows: spark.createDataFrame(rows, "id long, text string, title string").repartition(3)
-    for tok in (F.split("text", " "), F.array_distinct(F.split("text", " "))):
+    asked = ((["w0", "w5", "w39"], True), (["w1", "w2"], False), (["absent"], True), ([], False))
+    for tok, asked in ((F.split("text", " "), asked[:1]), (F.array_distinct(F.split("text", " ")), asked)):
         tok, title = F.filter(tok, lambda t: t != ""), F.filter(F.array(F.col("title")), lambda t: t.isNotNull())
         index = text_index.TextIndex(spark, f"file://{tmp_path}/{uuid.uuid4().hex}", 4)
         now = {r[0]: r for r in make(range(60))}
@@ -240,7 +241,7 @@ def test_text_index_scores_as_the_scan_does_through_changes(spark, tmp_path):
         index.upsert(df(again), "id", tok, title)
         now |= {r[0]: r for r in again}
         docs = df(list(now.values()))
-        for q, boosted in ((["w0", "w5", "w39"], True), (["w1", "w2"], False), (["absent"], True), ([], False)):
+        for q, boosted in asked:
             want = {r.id: (r.bm25_score, r.matched) for r in bm25.bm25(docs, q, "id", tok, title if boosted else None).collect()}
             got = {r.id: (r.bm25_score, r.matched) for r in index.search(q, boosted=boosted).collect()}
             assert got == {i: (pytest.approx(s), m) for i, (s, m) in want.items()}
