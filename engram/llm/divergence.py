@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._base import dropped, small_batches, tidy, written
-from ._text import U64, byte_view, chunks, mix64, spread, word_hashes
+from ._text import U64, byte_view, chunks, mix64, word_hashes
 
 #: Everything but ASCII letters and bytes of other characters becomes a space, A-Z become a-z.
 _PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ._base import tidy, written
+from ._base import dropped, tidy, written
 from ._text import spread
 
 #: Distinct vectors that the codebooks are fitted on, and their bytes, at most.
@@ -258,6 +258,7 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     again = written(asked.join(kth, "q").select("q", "v", bound.alias("least"), floor.alias("floor")), "bounds")
     found = _searched(entries, again, index, blocks, dims, k + 1).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     found = written(found.drop("r"), "found")
+    dropped(entries, again)
 
     # from classes of equal vectors back to rows
     ids = members.join(members.where("r = 1").select(F.col("id").alias("e"), "v"), "v").select("e", "id")
