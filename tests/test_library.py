@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.functions import bloom, cleaning, text as tx, vectors
+from engram.functions import bloom, cleaning, vectors
 from engram.operators import bm25, chunking, entities, events, keywords, retrieval, text_index
 from engram.plans import more, registry  # noqa: F401
 from engram.sources import readers, store
