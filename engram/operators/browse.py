@@ -114,10 +114,14 @@ def fetch_batches(titles: DataFrame, per_batch: int = 50, order: str = "title")
     return titles.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / per_batch).cast("int"))
 
 
-def by_title(pages: DataFrame, wanted: str) -> DataFrame:
-    """Pages with the title, whatever its case and whether it has spaces or underscores."""
-    norm = lambda c: F.lower(F.replace(F.trim(c), F.lit("_"), F.lit(" ")))
-    return pages.where(norm(F.col("title")) == norm(F.lit(wanted)))
+def plain_title(title: Column) -> Column:
+    """A title without outer spaces, in lower case, its underscores spaces."""
+    return F.lower(F.replace(F.trim(title), F.lit("_"), F.lit(" ")))
+
+
+def by_title(pages: DataFrame, wanted: str | None) -> DataFrame:
+    """Pages with the title, whatever its case and whether it has spaces or underscores; none has a null one."""
+    return pages.where(plain_title(F.col("title")) == plain_title(F.lit(wanted).cast("string")))
 
 
 def library_pages(pages: DataFrame, library_id: str, fetched_only: bool = False) -> DataFrame:

@@ -422,8 +422,9 @@ def library_pages(spark, d):
 
 @query(f"SELECT key, title FROM ({_PAGES}) WHERE lower(replace(trim(title), '_', ' ')) = (SELECT min(lower(replace(trim(title), '_', ' '))) FROM ({_PAGES}))")
 def title_lookup(spark, d):
+    """Asked with a title as it is written: changing the case of its normal form would not always lead back to it."""
     p = _pages(spark, d)
-    return browse.by_title(p, p.agg(F.min(F.lower(F.replace(F.trim("title"), F.lit("_"), F.lit(" "))))).first()[0].upper()).select("key", "title")
+    return browse.by_title(p, p.agg(F.min_by("title", browse.plain_title(F.col("title")))).first()[0]).select("key", "title")
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/?#]+') THEN list_transform(['/api.php', '/w/api.php', '/wiki/api.php'], lambda p: lower(regexp_extract(trim(url), '(?i)^(https?://[^/?#]+)', 1)) || p) ELSE [] END AS candidates FROM pages")
