@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Chunks of one context at most.
-MOST_CHUNKS = 100
+from ..functions.text import bind
 
 
 def query_text(messages: DataFrame, n: int, conv: str = "conv_id", order: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> DataFrame:
@@ -16,9 +15,26 @@ def query_text(messages: DataFrame, n: int, conv: str = "conv_id", order: str =
 
 
 def ordered_text(text: Column, order: list[Column], joint: str = "\n\n") -> Column:
-    """Aggregate column: texts in order, joined."""
-    rows = F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), text.alias("t"))))
-    return F.array_join(F.transform(rows, lambda r: r["t"]), joint)
+    """Aggregate column: texts in order, joined; null texts are left out, and of none the text is null."""
+    rows = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), text.alias("t")))))
+    return bind(rows, lambda r: F.when(F.size(r) > 0, F.array_join(F.transform(r, lambda x: x["t"]), joint)))
+
+
+def falling(c: Column) -> list[Column]:
+    """Keys of which the ascending order is c's descending one, nulls last."""
+    return [c.isNull(), ~F.isnan(c.cast("double")), -c]
+
+
+def joined(rows: DataFrame, per: list[str], text: Column, order: list[Column], joint: str = "\n\n", most: tuple[str, ...] = ()) -> DataFrame:
+    """(per..., text, most...): all texts of each group in order, joined, and the greatest values of the columns `most`.
+
+    Rows are dealt by ranges of group and order, each range joins its own part of a group, and a group joins those parts: however
+    large it is, no task sorts or holds its rows. Order must be total within a group.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = rows.select(*per, *(o.alias(k) for o, k in zip(order, keys)), text.alias("_t"), *most).repartitionByRange(*per, *keys)
+    parts = ranged.withColumn("_part", F.spark_partition_id()).groupBy(*per, "_part").agg(ordered_text(F.col("_t"), [F.col(k) for k in keys], joint).alias("_t"), *(F.max(m).alias(m) for m in most))
+    return parts.groupBy(*per).agg(ordered_text(F.col("_t"), [F.col("_part")], joint).alias("text"), *(F.max(m).alias(m) for m in most))
 
 
 def wrapped(text: Column, context: Column | None = None, tag: Column | None = None) -> Column:
@@ -35,21 +51,17 @@ def position(chunks: DataFrame, default: tuple[int, int] = (0, 2)) -> DataFrame:
     return chunks.withColumns({"position": pick("position", default[0]), "depth": pick("depth", default[1])})
 
 
-def assembled(chunks: DataFrame, per: list[str] | None = None, global_context: str = "", global_tag: str = "", most: int = MOST_CHUNKS) -> DataFrame:
+def assembled(chunks: DataFrame, per: list[str] | None = None, global_context: str = "", global_tag: str = "") -> DataFrame:
     """(per..., context): chunks by score within collections, each wrapped, collections by their best score, wrapped again.
 
-    Only the `most` best chunks of each place are put together: a context is read whole, so a task never holds more than that.
     chunks(collection_id, hash, text, score, context, xml_tag, collection_context, collection_tag).
     """
     per = per or []
-    if per:
-        chunks = chunks.withColumn("_r", F.row_number().over(Window.partitionBy(*per).orderBy(F.col("score").desc(), "hash"))).where(F.col("_r") <= most).drop("_r")
-    else:
-        chunks = chunks.orderBy(F.col("score").desc(), "hash").limit(most)
     one = wrapped(F.col("text"), F.col("context"), F.col("xml_tag"))
-    by = chunks.groupBy(*per, "collection_id").agg(ordered_text(one, [-F.col("score"), F.col("hash")]).alias("t"), F.max("score").alias("best"), F.first("collection_context").alias("cc"), F.first("collection_tag").alias("ct"))
-    by = by.withColumn("t", wrapped(F.col("t"), F.col("cc"), F.col("ct")))
-    out = by.groupBy(*per).agg(ordered_text(F.col("t"), [-F.col("best"), F.col("collection_id")]).alias("context"))
+    rows = chunks.select(*per, "collection_id", "hash", "score", one.alias("text"), F.col("score").alias("best"), F.col("collection_context").alias("cc"), F.col("collection_tag").alias("ct"))
+    by = joined(rows, [*per, "collection_id"], F.col("text"), [*falling(F.col("score")), F.col("hash")], most=("best", "cc", "ct"))
+    by = by.withColumn("text", wrapped(F.col("text"), F.col("cc"), F.col("ct")))
+    out = by.groupBy(*per).agg(ordered_text(F.col("text"), [*falling(F.col("best")), F.col("collection_id")]).alias("context"))
     return out.withColumn("context", wrapped(F.col("context"), F.lit(global_context), F.lit(global_tag)))
 
 
