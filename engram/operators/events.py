@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import WEIGHTS, anchor, anchor_amount, event_score
+from .context import falling, joined
 from .suppression import GAP, few_kept, near_copies_dropped  # noqa: F401
 
 #: The vocabulary of event types; any other is "other".
@@ -136,17 +137,17 @@ def planned(events: DataFrame, plan: list[dict], lookup) -> DataFrame:
     return _merged(out)
 
 
-def formatted(events: DataFrame, style: str = "dense", order: str = "final_score") -> Column:
-    """Aggregate column: events in order of score as dense lines, summaries or JSON."""
+def formatted(events: DataFrame, per: list[str], style: str = "dense", order: str = "final_score") -> DataFrame:
+    """(per..., context): each group's events in order of score as dense lines, summaries or JSON."""
     if style == "json":
         line = F.to_json(F.struct("event_type", "importance", "summary", "characters", "locations", "keywords"))
     elif style == "summary":
         line = F.concat(F.lit("- "), F.col("summary"))
     else:
         line = embed_text()
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("o"), F.col("event_id").alias("i"), line.alias("t"))))
-    texts = F.transform(rows, lambda r: r["t"])
-    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")) if style == "json" else F.array_join(texts, "\n" if style == "summary" else "\n\n")
+    out = joined(events, per, line, [*falling(F.col(order)), F.col("event_id")], {"json": ",", "summary": "\n"}.get(style, "\n\n"))
+    text = F.concat(F.lit("["), "text", F.lit("]")) if style == "json" else F.col("text")
+    return out.select(*per, text.alias("context"))
 
 
 def vectorization_tip(events: DataFrame, chat_length: int | None = None) -> Column:

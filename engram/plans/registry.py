@@ -305,12 +305,11 @@ def vectorization_tip(spark, d):
     return _events(spark, d).agg(events.vectorization_tip(None).alias("tip"))
 
 
-@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM (SELECT * FROM ({_EVENTS}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY score DESC, event_id) <= 20) GROUP BY event_type")
+@query(f"SELECT event_type, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY score DESC, event_id) AS context FROM ({_EVENTS}) GROUP BY event_type")
 def event_format(spark, d):
-    """The twenty best of each type as text."""
+    """All events of each type as text."""
     e = _events(spark, d).withColumns({"summary": F.concat("event_type", F.lit(" "), "event_id"), "final_score": F.col("score")})
-    e = joins.top_per(e, ["event_type"], 20, "score", "event_id")
-    return e.groupBy("event_type").agg(events.formatted(e, "summary").alias("context"))
+    return events.formatted(e, ["event_type"], "summary")
 
 
 # conversations
