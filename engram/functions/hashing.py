@@ -23,6 +23,14 @@ def fnv1a(s: Column) -> Column:
     return F.aggregate(_codes(s), F.lit(0x811C9DC5).cast("long"), step)
 
 
+def fnv1a_word(word: str) -> int:
+    """fnv1a() of one string."""
+    h = 0x811C9DC5
+    for c in word:
+        h = (h ^ ord(c)) * 0x01000193 & _32
+    return h
+
+
 def djb2(s: Column) -> Column:
     """The xor variant of djb2, 32 bits."""
     return F.aggregate(_codes(s), F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseXOR(c).bitwiseAND(F.lit(_32)))

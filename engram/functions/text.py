@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Scripts without spaces between words, by Unicode range: Han, Kana, Hangul, Thai, Lao, Myanmar, Khmer.
 CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯฀-໿က-႟ក-៿"
@@ -95,6 +99,54 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) <= 2) | word.rlike(r"[一-鿿㐀-䶿豈-﫿]"), word).otherwise(bind(done, final_e))
 
 
+_HAN, _DOUBLED = re.compile(r"[一-鿿㐀-䶿豈-﫿]"), re.compile(r"([^aeiouslz])\1$")
+_VOWEL, _RUN, _SHORT = re.compile("[aeiou]"), re.compile("[aeiou]+[^aeiou]+"), re.compile("[^aeiou][aeiou][^aeiouxwy]$")
+
+
+@lru_cache(1 << 17)
+def stem_word(word: str) -> str:
+    """stem() of one word."""
+    if len(word) <= 2 or _HAN.search(word):
+        return word
+    s, e = word.lower(), False
+    if s.endswith(("sses", "ies")):
+        s = s[:-2]
+    elif s.endswith("s") and not s.endswith("ss"):
+        s = s[:-1]
+    if s.endswith("eed"):
+        s, e = (s[:-3] + "ee", True) if len(s) > 3 else (s, e)
+    elif s.endswith(("ed", "ing")):
+        base = s[: -2 if s.endswith("ed") else -3]
+        if _VOWEL.search(base):
+            e = base.endswith(("at", "bl", "iz"))
+            s = base + "e" if e else base[:-1] if _DOUBLED.search(base) else base
+    for rules in (STEP_2, STEP_3):
+        for suffix, new in rules:
+            if s.endswith(suffix) and len(s) > len(suffix) + 2:
+                s, e = s[: len(s) - len(suffix)] + new, e or (rules is STEP_2 and new.endswith("e"))
+                break
+    if s.endswith("e") and len(s) > 3 and not e:
+        runs = len(_RUN.findall(s[:-1]))
+        if runs > 1 or runs == 1 and not _SHORT.search(s[:-1]):
+            return s[:-1]
+    return s
+
+
+def each_word(f: Callable[[str], object], kind) -> Callable[[Column], Column]:
+    """f as a column function of words, called once for each distinct word of a batch; nulls stay."""
+
+    @F.arrow_udf(kind)
+    def run(words: pa.Array) -> pa.Array:
+        d = words.dictionary_encode()
+        return pa.array([f(w) for w in d.dictionary.to_pylist()], {"string": pa.string(), "bigint": pa.int64()}[kind.simpleString()]).take(d.indices)
+
+    return run
+
+
+#: stem() for columns of many words: in Python with a memory for words, some ten times as fast as the column chain.
+stems = each_word(stem_word, StringType())
+
+
 def cjk_tokens(text: Column) -> Column:
     """Two-letter pieces of each run without word spaces; a run of one letter is itself.
 
@@ -118,8 +170,7 @@ def tokenize(text: Column, stemmed: bool = True, remove_stop_words: bool = True,
     text = F.coalesce(text, F.lit(""))
     tokens = F.concat(latin_tokens(text, min_length), cjk_tokens(text))
     if remove_stop_words:
-        stops = F.array(*map(F.lit, stop_words(mode, extra_stop_words)))
-        tokens = F.filter(tokens, lambda t: ~F.array_contains(stops, t))
+        tokens = F.filter(tokens, lambda t: ~t.isin(stop_words(mode, extra_stop_words)))
     if stemmed:
         tokens = F.transform(tokens, lambda t: F.when((F.length(t) <= 3) | t.rlike(r"^\d+$"), t).otherwise(stem(t)))
     return F.array_distinct(tokens) if dedupe else tokens

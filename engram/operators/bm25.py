@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
-from ..functions.hashing import fnv1a
-from ..functions.text import bind, tokenize
+from ..functions.hashing import fnv1a_word
+from ..functions.text import bind, each_word, stem_word, tokenize
 
 K1, B, DELTA, FIELD_BOOST, COVERAGE = 1.5, 0.75, 0.5, 4, 0.1
 
@@ -92,11 +94,19 @@ def query_tokens(text: str, **options) -> list[str]:
     return list(SparkSession.active().range(1).select(tokenize(F.lit(text), **options).alias("t")).first().t)
 
 
-def sparse_vectors(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, index, tf): hashed terms with real term frequencies; the distinct terms are hashed once each."""
-    tf = term_frequencies(docs, id_col, tokens)
-    terms = tf.select("term").distinct().withColumn("index", fnv1a(F.col("term")))
-    return tf.join(terms, "term").groupBy(id_col, "index").agg(F.sum("tf").alias("tf"))
+def stem_index(word: str) -> int:
+    """Hash of a word's stem; words of up to three letters and numbers are not stemmed."""
+    return fnv1a_word(word if len(word) <= 3 or re.fullmatch("[0-9]+", word) else stem_word(word))
+
+
+def sparse_vectors(docs: DataFrame, id_col: str, tokens: Column, stemmed: bool = False) -> DataFrame:
+    """(id, index, tf): hashed terms with real term frequencies; stemmed: the terms are the stems of tokens.
+
+    Tokens are hashed where they are, each distinct one of a batch once, so the counts of (id, index) are all that is shuffled.
+    """
+    index = each_word(stem_index if stemmed else fnv1a_word, LongType())
+    rows = docs.select(F.col(id_col), F.explode_outer(tokens).alias("term")).where("term IS NOT NULL")
+    return rows.select(id_col, index(F.col("term")).alias("index")).groupBy(id_col, "index").agg(F.count("*").alias("tf"))
 
 
 def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str, tokens: Column, query_col: str, query_tokens: Column, k1: float = K1, b: float = B) -> DataFrame:

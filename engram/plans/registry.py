@@ -229,7 +229,7 @@ def compare_rankings(spark, d):
 
 @query(None)
 def sparse_vectors(spark, d):
-    return bm25.sparse_vectors(table(spark, d, "documents"), "doc_id", tx.tokenize(F.col("text"), dedupe=False))
+    return bm25.sparse_vectors(table(spark, d, "documents"), "doc_id", tx.tokenize(F.col("text"), stemmed=False, dedupe=False), stemmed=True)
 
 
 @query(None)
