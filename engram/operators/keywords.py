@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import CJK, bind, cjk_tokens, stem, stop_words
+from ..functions.text import CJK, bind, cjk_tokens, stem, stem_word, stop_words
 
 #: Characters scanned and keywords kept at each level.
 LEVELS = {"minimal": {"scan": 1500, "keep": 5}, "balanced": {"scan": 5000, "keep": 12}, "aggressive": {"scan": None, "keep": 15}}
@@ -45,56 +49,84 @@ def _scanned(text: Column, level: str, at_space: bool) -> Column:
     return F.when((F.length(text) > scan) & F.contains(cut, F.lit(" ")) & (last > scan * 0.8), F.substring(cut, F.lit(1), last)).otherwise(cut)
 
 
-def _of_forms(rows: DataFrame, id_col: str, mode: str, *kept: str) -> DataFrame:
-    """rows(id, form, proper, ...) with word: the form of a capitalised or short word or one without word spaces, else its stem.
+_COUNTS = "array<struct<word:string,tf:bigint,df:int,form:string>>"
+
+
+def _counted(sentences: Column, names: Column, mode: str) -> Column:
+    """A text's words without stop words: frequency, sentences with it, and the most frequent form, the first in order on a tie.
 
-    A stem is made once for each distinct form, not for each text that has it.
+    A word is the form itself of names, short words and those without word spaces, else the form's stem.
     """
-    short = lambda f: (F.length(f) <= 3) | f.rlike(f"[{CJK}]")
-    stems = rows.where(~short(F.col("form"))).select("form").distinct().select("form", stem(F.col("form")).alias("_stem"))
-    return rows.join(stems, "form", "left").withColumn("word", F.when(F.col("proper"), F.col("form")).otherwise(F.coalesce("_stem", "form"))).drop("_stem")
+    stops, spaceless = frozenset(stop_words(mode)), re.compile(f"[{CJK}]")
+
+    def one(said: list[list[str]], proper: set[str]) -> list[tuple]:
+        word, forms, df, out = {}, Counter(), Counter(), {}
+        for s in said:
+            own = [f for f in s if f not in stops]
+            forms.update(own)
+            for f in own:
+                if f not in word:
+                    word[f] = f if f in proper or len(f) <= 3 or spaceless.search(f) else stem_word(f)
+            df.update({word[f] for f in own})
+        for f, c in forms.items():
+            tf, best = out.get(word[f], (0, (0, "")))
+            out[word[f]] = (tf + c, min(best, (-c, f)))
+        return [{"word": w, "tf": tf, "df": df[w], "form": best[1]} for w, (tf, best) in out.items()]
+
+    kind = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64()), ("df", pa.int32()), ("form", pa.string())]))
+
+    def run(said: pa.Array, proper: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(said), 64):
+            parts.append(pa.array([one(s or [], set(p or ())) for s, p in zip(said.slice(i, 64).to_pylist(), proper.slice(i, 64).to_pylist())], kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    run.__annotations__ = {"said": pa.Array, "proper": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _COUNTS)(sentences, names)
+
+
+def _names(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.lower))
 
 
 def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", least: int = 3, singles: list[str] | None = None) -> DataFrame:
     """(id, rank, keyword, score, weight): words by tf * (ln((S + 1) / (sentences with it + 1)) + 1), 1.3 times as much if the text has it capitalised.
 
     A text's sentences are its corpus. Terms in brackets come before all others. The most frequent form of a stem is shown, the first in
-    order on a tie. The texts are shuffled once, by id; all that follows stays in their partitions.
+    order on a tie. A text is counted and ranked in its row, and nothing is shuffled; ids are taken to be distinct.
     """
     clean = F.regexp_replace(_scanned(_untagged(text), level, True), POSSESSIVE, "")
-    d = docs.select(F.col(id_col), _untagged(text).alias("_u"), clean.alias("_t")).repartition(id_col)
-    parts = F.filter(F.transform(F.split("_t", r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
-    proper = F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))
-    d = d.select(id_col, "_u", "_t", proper.alias("_p"), bind(parts, lambda p: F.when(F.size(p) == 0, F.array(F.col("_t"))).otherwise(p)).alias("_s"))
-    plain = F.regexp_replace(F.lower(F.regexp_replace("_x", f"[{CJK}]", " ")), r"[^\w\s'-]", " ")
-    words = F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(F.col("_x")))
-    rows = d.select(id_col, F.size("_s").alias("s"), F.posexplode_outer("_s").alias("sentence", "_x")).select(id_col, "s", "sentence", F.explode_outer(words).alias("form"))
-    rows = rows.where(F.col("form").isNotNull() & ~F.col("form").isin(stop_words(mode)))
-    per_form = rows.groupBy(id_col, "form").agg(F.count("*").alias("c"), F.first("s").alias("s"), F.collect_set("sentence").alias("in_"))
-    # capitalised words, once each, tell which forms are names, and later which words the text has capitalised
-    names = d.select(id_col, F.explode_outer("_p").alias("form")).where("form IS NOT NULL").withColumn("proper", F.lit(True))
-    per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
-    per = per_form.groupBy(id_col, "word").agg(
-        F.sum("c").alias("tf"), F.first("s").alias("s"), F.size(F.array_distinct(F.flatten(F.collect_list("in_")))).alias("df"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f"),
-    ).where(_kept(F.col("word"), F.col("tf"), singles))
-    caps = d.select(id_col, F.array_join(F.array_distinct(F.regexp_extract_all("_u", F.lit(r"\p{Lu}\S*"), F.lit(0))), " ").alias("caps"), F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stop_words(mode)))).alias("terms"))
-    first = F.substring("word", 1, 1)
-    title = F.concat(F.upper(first), F.expr("substring(word, 2)"))
-    capital = (F.upper(first) == first) | F.contains(F.col("caps"), title)
-    score = F.col("base")
-    # what can't reach the list even if it is capitalised need not be looked up
     keep = LEVELS[level]["keep"]
-    per = per.withColumn("base", F.col("tf") * (F.log((F.col("s") + 1) / (F.col("df") + 1)) + 1))
-    per = per.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("base").desc())))
-    per = per.withColumn("_k", F.min(F.when(F.col("_r") <= keep, F.col("base"))).over(Window.partitionBy(id_col))).where(F.col("base") * 1.3 >= F.col("_k") * 0.999999)
-    per = per.join(caps, id_col).select(id_col, "word", "f.form", "terms", (score * F.when(capital, 1.3).otherwise(1.0)).alias("score"))
-    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "word")
-    top = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-    # bracketed terms that are no word already
-    boost = F.col("score") * 1.5 + 10
-    lists = top.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("form").alias("keyword"), "score"))).alias("own"), F.first("terms").alias("terms"), F.collect_set("word").alias("words"), F.max("score").alias("score"))
-    extra = F.transform(F.array_except("terms", "words"), lambda t, i: F.struct(i.cast("long").alias("rank"), t.alias("keyword"), boost.alias("score")))
-    out = lists.select(id_col, F.posexplode(F.slice(F.concat(extra, "own"), 1, keep)).alias("place", "k"))
+
+    def words(x: Column) -> Column:
+        plain = F.regexp_replace(F.lower(F.regexp_replace(x, f"[{CJK}]", " ")), r"[^\w\s'-]", " ")
+        return F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(x))
+
+    def measured(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
+        said = bind(parts, lambda p: F.when(F.size(p) == 0, F.array(t)).otherwise(p))
+        terms = F.array_except(bracket_terms(t), F.array(*map(F.lit, stop_words(mode))))
+        return bind(said, lambda p: F.struct(F.size(p).alias("s"), F.transform(p, words).alias("said"), _names(t).alias("names"), terms.alias("terms")))
+
+    caps = F.array_join(F.array_distinct(F.regexp_extract_all(_untagged(text), F.lit(r"\p{Lu}\S*"), F.lit(0))), " ")
+    d = docs.select(F.col(id_col), caps.alias("caps"), bind(clean, measured).alias("m"))
+    d = d.select(id_col, "caps", "m.s", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode).alias("words"))
+
+    def scored(w: Column) -> Column:
+        first = F.substring(w["word"], 1, 1)
+        title = F.concat(F.upper(first), F.substring(w["word"], F.lit(2), F.length(w["word"])))
+        return F.when((F.upper(first) == first) | F.contains(F.col("caps"), title), 1.3).otherwise(1.0)
+
+    def listed(own: Column) -> Column:  # bracketed terms that are no word already come before the words
+        boost = own[0]["score"] * 1.5 + 10
+        extra = F.transform(F.array_except("terms", F.transform(own, lambda w: w["word"])), lambda t: F.struct(t.alias("keyword"), boost.alias("score")))
+        return F.when(F.size(own) > 0, F.slice(F.concat(extra, F.transform(own, lambda w: F.struct(w["form"].alias("keyword"), w["score"].alias("score")))), 1, keep))
+
+    # what can't reach the list even if it is capitalised need not be looked up
+    found = F.transform(F.filter("words", lambda w: _kept(w["word"], w["tf"], singles)), lambda w: F.struct((w["tf"] * (F.log((F.col("s") + 1) / (w["df"] + 1)) + 1)).alias("base"), w["word"].alias("word"), w["form"].alias("form")))
+    able = bind(found, lambda a: bind(F.element_at(F.slice(F.sort_array(F.transform(a, lambda w: w["base"]), False), 1, keep), F.when(F.size(a) > 0, F.lit(-1)).otherwise(None)), lambda k: F.filter(a, lambda w: w["base"] * 1.3 >= k * 0.999999)))
+    ranked = bind(F.transform(able, lambda w: bind(w["base"] * scored(w), lambda x: F.struct((-x).alias("o"), w["word"].alias("word"), w["form"].alias("form"), x.alias("score")))), lambda a: F.slice(F.array_sort(a), 1, keep))
+    out = d.select(id_col, F.posexplode_outer(bind(ranked, listed)).alias("place", "k")).where("k IS NOT NULL")
     best = F.max("k.score").over(Window.partitionBy(id_col))
     return out.select(id_col, (F.col("place") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.col("k.score").alias("score"), (F.lit(base) + F.col("k.score") / best * 0.5).alias("weight"))
 
@@ -103,25 +135,28 @@ def frequency_keywords(docs: DataFrame, id_col: str, text: Column, level: str =
     """(id, rank, keyword, n, weight): words of four Latin letters or more by frequency, weight base + 0.1 a repetition, 3 at most.
 
     Compounds (a/b, a_b, as a_b) weigh base + 0.2, terms in brackets 3. Of one keyword the highest weight counts. On a tie the more
-    frequent comes first, then words, compounds and terms, each in order. The texts are shuffled once, by id.
+    frequent comes first, then words, compounds and terms, each in order. A text is counted in its row; ids are taken to be distinct.
     """
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(_untagged(text), CITATIONS, " "), ITALICS, " "), POSSESSIVE, "")
-    d = docs.select(F.col(id_col), _scanned(clean, level, False).alias("_t")).repartition(id_col)
-    stops = stop_words(mode)
-    words = F.concat(F.regexp_extract_all(F.lower("_t"), F.lit(LATIN_WORD), F.lit(0)), cjk_tokens(F.col("_t")))
-    per_form = d.select(id_col, F.explode_outer(words).alias("form")).where(F.col("form").isNotNull() & ~F.col("form").isin(stops)).groupBy(id_col, "form").agg(F.count("*").alias("c"))
-    names = d.select(id_col, F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CAPITALISED), F.lit(0)), F.lower))).alias("form")).where("form IS NOT NULL").withColumn("proper", F.lit(True))
-    per_form = _of_forms(per_form.join(names, [id_col, "form"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))), id_col, mode)
-    per = per_form.groupBy(id_col, "word").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("o"), "form")).alias("f")).where(_kept(F.col("word"), F.col("n"), singles))
-    weight = F.least(F.lit(MOST_WEIGHT), base + 0.1 * (F.col("n") - 1))
-    rows = per.select(id_col, F.col("f.form").alias("keyword"), "n", weight.alias("weight"), F.lit(0).alias("kind"), "word")
-    one = lambda found, kind, w: d.select(id_col, F.explode_outer(found).alias("keyword")).where("keyword IS NOT NULL").select(id_col, "keyword", F.lit(1).cast("long").alias("n"), F.lit(min(MOST_WEIGHT, w)).cast("double").alias("weight"), F.lit(kind).alias("kind"), F.col("keyword").alias("word"))
-    compounds = F.transform(F.regexp_extract_all("_t", F.lit(COMPOUND), F.lit(0)), lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
-    rows = rows.unionByName(one(F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)), 1, base + 0.2))
-    rows = rows.unionByName(one(F.array_except(bracket_terms(F.col("_t")), F.array(*map(F.lit, stops))), 2, MOST_WEIGHT))
-    order = [F.col("weight").desc(), F.col("n").desc(), "kind", "word"]
+    stops, keep = stop_words(mode), LEVELS[level]["keep"]
+
+    def measured(t: Column) -> Column:
+        words = F.concat(F.regexp_extract_all(F.lower(t), F.lit(LATIN_WORD), F.lit(0)), cjk_tokens(t))
+        compounds = F.transform(F.regexp_extract_all(t, F.lit(COMPOUND), F.lit(0)), lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
+        terms = F.array_except(bracket_terms(t), F.array(*map(F.lit, stops)))
+        return F.struct(F.array(words).alias("said"), _names(t).alias("names"), F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)).alias("compounds"), terms.alias("terms"))
+
+    d = docs.select(F.col(id_col), bind(_scanned(clean, level, False), measured).alias("m"))
+    d = d.select(id_col, "m.compounds", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode).alias("words"))
+    row = lambda keyword, n, weight, kind, word: F.struct((-weight).alias("_w"), (-n).alias("_n"), F.lit(kind).alias("kind"), word.alias("word"), keyword.alias("keyword"), n.alias("n"), weight.alias("weight"))
+    weight = lambda n: F.least(F.lit(MOST_WEIGHT), base + 0.1 * (n - 1))
+    # words differ, so the first `keep` of them are all that the list can have: the rest goes before the kinds meet
+    words = F.slice(F.array_sort(F.transform(F.filter("words", lambda w: _kept(w["word"], w["tf"], singles)), lambda w: row(w["form"], w["tf"], weight(w["tf"]), 0, w["word"]))), 1, keep)
+    other = lambda found, kind, w: F.transform(found, lambda k: row(k, F.lit(1).cast("long"), F.lit(min(MOST_WEIGHT, w)).cast("double"), kind, k))
+    rows = d.select(id_col, F.explode_outer(F.concat(words, other("compounds", 1, base + 0.2), other("terms", 2, MOST_WEIGHT))).alias("x")).where("x IS NOT NULL").select(id_col, "x.*")
+    order = ["_w", "_n", "kind", "word"]
     rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy(id_col, "keyword").orderBy(*order))).where("_d = 1")
-    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col("rank") <= LEVELS[level]["keep"])
+    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col("rank") <= keep)
     return out.select(id_col, "rank", "keyword", "n", "weight")
 
 
