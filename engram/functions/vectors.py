@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -86,48 +87,87 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_
     return out.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-#: Numbers of query vectors that a task holds at once.
-BLOCK_VALUES = 1 << 20
+#: Vectors of one shard of rows and of one block of queries, and scores that a task holds at once.
+SHARD_ROWS, QUERY_ROWS, BLOCK_VALUES = 1 << 15, 1 << 13, 1 << 20
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as doubles; none is a matrix without rows."""
+    flat = pc.list_flatten(vectors)
+    values = flat.to_numpy().astype(np.float64, copy=False)
+    sizes = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError("vectors must have the same length")
+    return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines row by row, summed in the order of the components, so that equal vectors have equal ones."""
+    dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for j in range(a.shape[1]):
+        dot += a[:, j] * b[:, j]
+        x += a[:, j] * a[:, j]
+        y += b[:, j] * b[:, j]
+    size = np.sqrt(x) * np.sqrt(y)
+    return np.where(size == 0, 0.0, dot / np.where(size == 0, 1.0, size))
+
+
+def _k_best(asked: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int):
+    """(query row, id, score) of the k best of m for each row of asked: products in tiles, what may be among the best is scored again."""
+    order = np.argsort(ids, kind="stable")
+    ids, m = ids[order], m[order]
+    # of equal vectors only the k first by id can be among the k best
+    _, same = np.unique(m, axis=0, return_inverse=True)
+    by = np.argsort(same.ravel(), kind="stable")
+    start = np.flatnonzero(np.diff(same.ravel()[by], prepend=-1))
+    place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    few = np.sort(by[place < k])
+    ids, m, unit = ids[few], m[few], _unit(m[few]).T
+    n = min(k, len(ids))
+    step = max(1, BLOCK_VALUES // max(1, len(ids)))
+    for at in range(0, len(asked), step):
+        q = asked[at : at + step]
+        near = _unit(q) @ unit
+        least = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-9
+        row, col = np.nonzero(near >= least[:, None])
+        del near
+        score = np.concatenate([_cosines(q[row[i : i + 65536]], m[col[i : i + 65536]]) for i in range(0, len(row), 65536)])
+        best = np.lexsort((ids[col], -score, row))
+        row, col, score = row[best], col[best], score[best]
+        first = np.searchsorted(row, row)
+        top = np.arange(len(row)) - first < k
+        yield at + row[top], ids[col[top]], score[top]
 
 
 def nearest_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query_col: str = "query_id") -> DataFrame:
-    """(query_id, id, score, rank): the k rows most similar by cosine to each query vector, in blocks of queries.
+    """(query_id, id, score, rank): the k rows most similar by cosine to each query vector.
 
-    A block is multiplied with each batch of rows, which keeps the batch's k best of each query; the best of all batches are
-    found by query. Rows are scanned once a block. Vectors of length zero have similarity 0; ties go to the smaller id. Ids are longs.
+    Rows are dealt to shards and queries to blocks; a task compares one shard with one block, in tiles of BLOCK_VALUES products, and keeps each
+    query's k best of the shard; the best of all shards are found by query. So a task's memory does not grow with either table, and
+    neither passes through the driver. Vectors of length zero have similarity 0; null ones take no part; ties go to the smaller id. Ids are longs.
     """
-    found, block, size = [], [], 0
-
-    def search(block: list) -> DataFrame:
-        names = np.array([r[0] for r in block], np.int64)
-        asked = np.array([r[1] for r in block], np.float64)
-        asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch.column(0).to_numpy()
-                order = np.argsort(ids, kind="stable")
-                m = np.array(batch.column(1).to_pylist(), np.float64)[order]
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                score = asked @ m.T
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top.shape[1])), pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "i", "score"])
-
-        return rows.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "q long, i long, score double")
-
-    for r in queries.select(F.col(query_col).cast("long"), vector_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= BLOCK_VALUES:
-            found.append(search(block))
-            block, size = [], 0
-    if block or not found:
-        found.append(search(block) if block else rows.sparkSession.createDataFrame([], "q long, i long, score double"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    r = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
+    a = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_col).cast("long").alias("q"), F.col(vector_col).alias("v"))
+    shards, blocks = (max(1, -(-t.count() // size)) for t, size in ((r, SHARD_ROWS), (a, QUERY_ROWS)))
+    dealt = lambda t, key, own, n, other, copies: t.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+    r, a = dealt(r, "i", "s", shards, "b", blocks), dealt(a, "q", "b", blocks, "s", shards)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            names, ids = left.column("q").to_numpy(), right.column("i").to_numpy()
+            asked, m = _matrix(left.column("v")), _matrix(right.column("v"))
+            if asked.shape[1] != m.shape[1]:
+                raise ValueError("vectors must have the same length")
+            out += [(names[q], i, x) for q, i, x in _k_best(asked, ids, m, k)]
+        q, i, x = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"q": pa.array(q), "i": pa.array(i), "score": pa.array(x)})
+
+    out = a.groupBy("s", "b").cogroup(r.groupBy("s", "b")).applyInArrow(run, "q long, i long, score double")
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_col), F.col("i").alias(id_col), "score", "rank")
 
