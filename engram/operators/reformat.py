@@ -79,37 +79,43 @@ def extracted(batches: DataFrame, extract: Callable, id_col: str = "doc_id", cov
         got = extract(*args)
         return [v for x in (parse_array(got) if isinstance(got, str) else got) if (v := validate(x))]
 
-    def fold(key: tuple, chain: pd.DataFrame) -> pd.DataFrame:
-        rows, found = [], []
-
-        def put(batch: int, records: list[dict], repaired: bool) -> None:
-            rows.extend((key[0], key[1], batch, len(found) + i, repaired, r, None) for i, r in enumerate(records))
-            found.extend(records)
-
-        def warn(batch: int, text: str) -> None:
-            rows.append((key[0], key[1], batch, len(found), False, None, text))
-
-        for b in chain.sort_values("part").itertuples(index=False):
-            batch = int(b.batch)
-            try:
-                put(batch, ask(b.text, b.section_title, [r["name"] for r in found], []), False)
-            except Exception as e:  # noqa: BLE001 - a remote model may fail in any way
-                warn(batch, f"failed: {e}")
-                continue
-            low = uncovered(b.text, found, coverage) if coverage is not None else []
-            if not low:
-                continue
-            try:
-                put(batch, ask("\n\n".join(s["text"] for s in low), b.section_title, [r["name"] for r in found], low), True)
-            except Exception as e:  # noqa: BLE001
-                warn(batch, f"repair failed: {e}")
-                continue
-            still = uncovered(b.text, found, coverage)
-            if still:
-                warn(batch, "still under-captured: " + ", ".join(s["title"] for s in still))
-        return pd.DataFrame(rows, columns=["id", "chain", "batch", "pos", "repaired", "record", "warning"])
-
-    out = batches.groupBy(id_col, "chain").applyInPandas(fold, f"id {kind}, chain int, batch int, pos int, repaired boolean, record {ENTITY}, warning string")
+    def fold(frames):
+        """Chains one behind the other, each in order; what a chain has given so far is kept over the ends of frames."""
+        last, found = None, []
+        for f in frames:
+            rows = []
+
+            def put(b, records: list[dict], repaired: bool) -> None:
+                rows.extend((b.id, int(b.chain), int(b.batch), len(found) + i, repaired, r, None) for i, r in enumerate(records))
+                found.extend(records)
+
+            def warn(b, text: str) -> None:
+                rows.append((b.id, int(b.chain), int(b.batch), len(found), False, None, text))
+
+            for b in f.itertuples(index=False):
+                if (b.id, b.chain) != last:
+                    last, found = (b.id, b.chain), []
+                try:
+                    put(b, ask(b.text, b.section_title, [r["name"] for r in found], []), False)
+                except Exception as e:  # noqa: BLE001 - a remote model may fail in any way
+                    warn(b, f"failed: {e}")
+                    continue
+                low = uncovered(b.text, found, coverage) if coverage is not None else []
+                if not low:
+                    continue
+                try:
+                    put(b, ask("\n\n".join(s["text"] for s in low), b.section_title, [r["name"] for r in found], low), True)
+                except Exception as e:  # noqa: BLE001
+                    warn(b, f"repair failed: {e}")
+                    continue
+                still = uncovered(b.text, found, coverage)
+                if still:
+                    warn(b, "still under-captured: " + ", ".join(s["title"] for s in still))
+            yield pd.DataFrame(rows, columns=["id", "chain", "batch", "pos", "repaired", "record", "warning"])
+
+    # chains are dealt and sorted whole and streamed: a frame has many of them, where a group of its own for each costs more than its fold
+    rows = batches.select(F.col(id_col).alias("id"), "chain", "batch", "part", "section_title", "text").repartition("id", "chain").sortWithinPartitions("id", "chain", "part")
+    out = rows.mapInPandas(fold, f"id {kind}, chain int, batch int, pos int, repaired boolean, record {ENTITY}, warning string")
     return out.withColumnRenamed("id", id_col)
 
 
