@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,15 +18,24 @@ from ..functions.text import CJK, bind, cjk_tokens, stem, stem_word, stop_words
 LEVELS = {"minimal": {"scan": 1500, "keep": 5}, "balanced": {"scan": 5000, "keep": 12}, "aggressive": {"scan": None, "keep": 15}}
 MOST_WEIGHT, BASE_WEIGHT = 3.0, 1.5
 #: Fixed values of the extraction: what is cut from a text, what a capitalised word, a compound and a bracketed term are.
-TAGS = (r"(?i)\s*\[keywords?[:\s][^\]]*\]", rf"\[[^\]{CJK}]{{1,30}}\]")
+TAGS = (r"(?i)(?<!\s)\s*+\[keywords?[:\s][^\]]*\]", rf"\[[^\]{CJK}]{{1,30}}\]")
 CITATIONS, ITALICS, POSSESSIVE = r"\([^)]+\)", r"\*[^*]+\*", r"'s\b"
-CAPITALISED, COMPOUND, LATIN_WORD = r"\b[A-Z][a-z]{3,}\b", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]+[/_][A-Za-z0-9_]+(?![A-Za-z0-9_])", r"(?<![a-z0-9_])[a-z]{4,}(?![a-z0-9_])"
+CAPITALISED, COMPOUND, LATIN_WORD = r"[A-Z](?<=\b[A-Z])[a-z]{3,}\b", r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]++/[A-Za-z0-9_]++|[A-Za-z0-9_][A-Za-z0-9]*+_[A-Za-z0-9_]++)", r"(?<![a-z0-9_])[a-z]{4,}(?![a-z0-9_])"
 BRACKETS = (r"【([^】\n]{2,20})】", r"\[([^\]\n]{2,20})\]")
 
 
+def _replaced(text: Column, pattern: str, by: str, end: str) -> Column:
+    """text with by for each match of a pattern that ends in end. Behind the last end nothing is looked for, or each beginning there would be followed to the end of the text."""
+
+    def split(t: Column) -> Column:
+        return bind(F.substring_index(t, end, -1), lambda rest: F.concat(F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(rest)), pattern, by), rest))
+
+    return bind(text, split)
+
+
 def _untagged(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), TAGS[0], "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, TAGS[1], " "), r"\s+", " "))
+    text = _replaced(_replaced(F.coalesce(text, F.lit("")), TAGS[0], "", "]"), TAGS[1], " ", "]")
+    return F.trim(F.regexp_replace(text, r"\s(?:\s+|(?<! ))", " "))  # of any white but single spaces
 
 
 def bracket_terms(text: Column) -> Column:
@@ -50,43 +63,68 @@ def _scanned(text: Column, level: str, at_space: bool) -> Column:
 
 
 _COUNTS = "array<struct<word:string,tf:bigint,df:int,form:string>>"
+_SPACELESS, _RUNS, _LATIN = re.compile(f"[{CJK}]"), re.compile(f"[{CJK}]+"), re.compile(LATIN_WORD)
+
+
+@lru_cache(1 << 17)
+def _stemmed(form: str) -> str:
+    return form if len(form) <= 3 or _SPACELESS.search(form) else stem_word.__wrapped__(form)  # kept once, here
 
 
-def _counted(sentences: Column, names: Column, mode: str) -> Column:
+def _tally(said: list[list[str]], proper: set[str], stops: frozenset[str]) -> list[tuple]:
+    forms = Counter(chain.from_iterable(said))
+    for f in stops & forms.keys():
+        del forms[f]
+    word = {f: f if f in proper else _stemmed(f) for f in forms}
+    df, out = Counter(), {}
+    for s in said if len(said) > 1 else ():
+        df.update({word[f] for f in s if f in word})
+    for f, w in word.items():
+        c = forms[f]
+        if w in out:
+            tf, most, form = out[w]
+            out[w] = (tf + c, c, f) if (-c, f) < (-most, form) else (tf + c, most, form)
+        else:
+            out[w] = (c, c, f)
+    return [(w, tf, df[w] if df else 1, form) for w, (tf, _, form) in out.items()]
+
+
+def _counted(text: Column, names: Column, mode: str, sentences: Callable[[str], list[list[str]]], most: Callable[[list[tuple]], list[tuple]] = list) -> Column:
     """A text's words without stop words: frequency, sentences with it, and the most frequent form, the first in order on a tie.
 
-    A word is the form itself of names, short words and those without word spaces, else the form's stem.
+    A word is the form itself of names, short words and those without word spaces, else the form's stem. Text and names go to Python as
+    strings, which sentences takes apart there: lists of words took most of the time on their way. most: which of the words come back.
     """
-    stops, spaceless = frozenset(stop_words(mode)), re.compile(f"[{CJK}]")
-
-    def one(said: list[list[str]], proper: set[str]) -> list[tuple]:
-        word, forms, df, out = {}, Counter(), Counter(), {}
-        for s in said:
-            own = [f for f in s if f not in stops]
-            forms.update(own)
-            for f in own:
-                if f not in word:
-                    word[f] = f if f in proper or len(f) <= 3 or spaceless.search(f) else stem_word(f)
-            df.update({word[f] for f in own})
-        for f, c in forms.items():
-            tf, best = out.get(word[f], (0, (0, "")))
-            out[word[f]] = (tf + c, min(best, (-c, f)))
-        return [{"word": w, "tf": tf, "df": df[w], "form": best[1]} for w, (tf, best) in out.items()]
+    stops = frozenset(stop_words(mode))
+
+    def run(texts: pa.Array, proper: pa.Array) -> pa.Array:
+        parts = [pa.array([], kind)]
+        for i in range(0, len(texts), 64):
+            rows = [most(_tally(sentences(t or ""), set((p or "").split(" ")), stops)) for t, p in zip(texts.slice(i, 64).to_pylist(), proper.slice(i, 64).to_pylist())]
+            columns = zip(*chain.from_iterable(rows)) if any(rows) else [()] * 4
+            fields = [pa.array(c, f.type) for c, f in zip(columns, kind.value_type)]
+            parts.append(pa.ListArray.from_arrays(pa.array(accumulate(map(len, rows), initial=0), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type))))
+        return pa.concat_arrays(parts)
 
     kind = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64()), ("df", pa.int32()), ("form", pa.string())]))
+    run.__annotations__ = {"texts": pa.Array, "proper": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _COUNTS)(F.make_valid_utf8(text), names)
+
+
+def _joined(text: str) -> list[list[str]]:
+    """Sentences in lines of words between spaces."""
+    return [s.split(" ") if s else [] for s in text.split("\n")]
 
-    def run(said: pa.Array, proper: pa.Array) -> pa.Array:
-        parts = []
-        for i in range(0, len(said), 64):
-            parts.append(pa.array([one(s or [], set(p or ())) for s, p in zip(said.slice(i, 64).to_pylist(), proper.slice(i, 64).to_pylist())], kind))
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    run.__annotations__ = {"said": pa.Array, "proper": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, _COUNTS)(sentences, names)
+def _latin_and_pieces(text: str) -> list[list[str]]:
+    """LATIN_WORD and cjk_tokens() of a text, as one sentence."""
+    runs = [] if text.isascii() else _RUNS.findall(text)
+    return [_LATIN.findall(text.lower()) + [r[i : i + 2] for r in runs for i in range(max(1, len(r) - 1))]]
 
 
 def _names(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.lower))
+    """Capitalised words in lower case, between spaces."""
+    return F.lower(F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0))), " "))
 
 
 def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "balanced", base: float = BASE_WEIGHT, mode: str = "en", least: int = 3, singles: list[str] | None = None) -> DataFrame:
@@ -100,17 +138,17 @@ def tfidf_keywords(docs: DataFrame, id_col: str, text: Column, level: str = "bal
 
     def words(x: Column) -> Column:
         plain = F.regexp_replace(F.lower(F.regexp_replace(x, f"[{CJK}]", " ")), r"[^\w\s'-]", " ")
-        return F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= least), cjk_tokens(x))
+        return F.concat(F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) >= max(1, least)), cjk_tokens(x))
 
     def measured(t: Column) -> Column:
         parts = F.filter(F.transform(F.split(t, r"[.!?。！？\n]+"), F.trim), lambda s: F.length(s) > 2)
         said = bind(parts, lambda p: F.when(F.size(p) == 0, F.array(t)).otherwise(p))
         terms = F.array_except(bracket_terms(t), F.array(*map(F.lit, stop_words(mode))))
-        return bind(said, lambda p: F.struct(F.size(p).alias("s"), F.transform(p, words).alias("said"), _names(t).alias("names"), terms.alias("terms")))
+        return bind(said, lambda p: F.struct(F.size(p).alias("s"), F.array_join(F.transform(p, lambda x: F.array_join(words(x), " ")), "\n").alias("said"), _names(t).alias("names"), terms.alias("terms")))
 
     caps = F.array_join(F.array_distinct(F.regexp_extract_all(_untagged(text), F.lit(r"\p{Lu}\S*"), F.lit(0))), " ")
     d = docs.select(F.col(id_col), caps.alias("caps"), bind(clean, measured).alias("m"))
-    d = d.select(id_col, "caps", "m.s", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode).alias("words"))
+    d = d.select(id_col, "caps", "m.s", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode, _joined).alias("words"))
 
     def scored(w: Column) -> Column:
         first = F.substring(w["word"], 1, 1)
@@ -137,21 +175,23 @@ def frequency_keywords(docs: DataFrame, id_col: str, text: Column, level: str =
     Compounds (a/b, a_b, as a_b) weigh base + 0.2, terms in brackets 3. Of one keyword the highest weight counts. On a tie the more
     frequent comes first, then words, compounds and terms, each in order. A text is counted in its row; ids are taken to be distinct.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(_untagged(text), CITATIONS, " "), ITALICS, " "), POSSESSIVE, "")
+    clean = F.regexp_replace(_replaced(_replaced(_untagged(text), CITATIONS, " ", ")"), ITALICS, " ", "*"), POSSESSIVE, "")
     stops, keep = stop_words(mode), LEVELS[level]["keep"]
 
     def measured(t: Column) -> Column:
-        words = F.concat(F.regexp_extract_all(F.lower(t), F.lit(LATIN_WORD), F.lit(0)), cjk_tokens(t))
-        compounds = F.transform(F.regexp_extract_all(t, F.lit(COMPOUND), F.lit(0)), lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
+        joined = F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("_")), F.regexp_extract_all(t, F.lit(COMPOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        compounds = F.transform(joined, lambda c: F.regexp_replace(F.lower(c), "[/_]", "_"))
         terms = F.array_except(bracket_terms(t), F.array(*map(F.lit, stops)))
-        return F.struct(F.array(words).alias("said"), _names(t).alias("names"), F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)).alias("compounds"), terms.alias("terms"))
+        return F.struct(t.alias("said"), _names(t).alias("names"), F.array_distinct(F.filter(compounds, lambda c: F.length(c) >= 4)).alias("compounds"), terms.alias("terms"))
 
     d = docs.select(F.col(id_col), bind(_scanned(clean, level, False), measured).alias("m"))
-    d = d.select(id_col, "m.compounds", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode).alias("words"))
+    # weights rise with frequencies and words differ, so the first `keep` of them by frequency are all that the list can have
+    able = lambda w: len(w[0]) > 1 or not _SPACELESS.search(w[0]) or (singles is not None and (w[1] >= 2 or w[0] in singles))
+    first = lambda words: heapq.nsmallest(keep, filter(able, words), key=lambda w: (-w[1], w[0]))
+    d = d.select(id_col, "m.compounds", "m.terms", _counted(F.col("m.said"), F.col("m.names"), mode, _latin_and_pieces, first).alias("words"))
     row = lambda keyword, n, weight, kind, word: F.struct((-weight).alias("_w"), (-n).alias("_n"), F.lit(kind).alias("kind"), word.alias("word"), keyword.alias("keyword"), n.alias("n"), weight.alias("weight"))
     weight = lambda n: F.least(F.lit(MOST_WEIGHT), base + 0.1 * (n - 1))
-    # words differ, so the first `keep` of them are all that the list can have: the rest goes before the kinds meet
-    words = F.slice(F.array_sort(F.transform(F.filter("words", lambda w: _kept(w["word"], w["tf"], singles)), lambda w: row(w["form"], w["tf"], weight(w["tf"]), 0, w["word"]))), 1, keep)
+    words = F.transform("words", lambda w: row(w["form"], w["tf"], weight(w["tf"]), 0, w["word"]))
     other = lambda found, kind, w: F.transform(found, lambda k: row(k, F.lit(1).cast("long"), F.lit(min(MOST_WEIGHT, w)).cast("double"), kind, k))
     rows = d.select(id_col, F.explode_outer(F.concat(words, other("compounds", 1, base + 0.2), other("terms", 2, MOST_WEIGHT))).alias("x")).where("x IS NOT NULL").select(id_col, "x.*")
     order = ["_w", "_n", "kind", "word"]
