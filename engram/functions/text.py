@@ -178,7 +178,7 @@ def tokenize(text: Column, stemmed: bool = True, remove_stop_words: bool = True,
 
 def tokenize_simple(text: Column) -> Column:
     """Lower-case ASCII words with repetitions."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w\s]", " "), r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), F.lit(0))
 
 
 def title_tokens(text: Column) -> Column:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import bind
 from ..sources.work import hadoop, removed, settled
 from .bm25 import COVERAGE, DELTA, FIELD_BOOST, K1, B, _count, term_score
 
-#: Documents of a block are 2 ** BLOCK_BITS; blocks whose scores set the threshold at first.
-BLOCK_BITS, FIRST_BLOCKS = 9, 4
+#: Documents of a block are 2 ** BLOCK_BITS, fewer if they have more postings than BLOCK_HITS; blocks whose scores set the threshold at first.
+BLOCK_BITS, BLOCK_HITS, FIRST_BLOCKS = 9, 1 << 19, 4
 _SCHEMAS = {
-    "docs": "id {id}, length int, terms array<struct<term:string,tf:int,extra:int>>, block long",
+    "docs": "id {id}, length int, terms array<struct<term:string,tf:int,extra:int>>",
     "postings": "term string, block long, hits array<struct<id:{id},tf:int,extra:int,length:int>>, most_tf int, most int, least_length int, least_content int, content long, every long, bucket int",
     "terms": "term string, content long, every long, bucket int",
     "totals": "n long, length long",
@@ -22,6 +27,54 @@ _SCHEMAS = {
 }
 
 
+def _inverted(docs: pa.Table, block: int) -> pa.RecordBatch:
+    """A row for each term of a block's documents: its postings with their bounds and counts."""
+    lists = docs.column("terms").combine_chunks()
+    flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+    there = flat.field("term").is_valid().to_numpy(zero_copy_only=False)
+    flat, row = flat.filter(pa.array(there)), row[there]
+    terms = flat.field("term").dictionary_encode()
+    codes = terms.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    every = np.bincount(codes, minlength=len(terms.dictionary))
+    ends = np.concatenate([[0], np.cumsum(every)])
+    starts, row = ends[:-1], row[order]
+    tf, extra, length = (np.asarray(x)[i] for x, i in ((flat.field("tf"), order), (flat.field("extra"), order), (docs.column("length"), row)))
+    of = lambda f, x: f.reduceat(x, starts) if len(starts) else x[:0]
+    none = np.iinfo(np.int32).max
+    content = of(np.minimum, np.where(tf > 0, length, none))
+    hits = pa.StructArray.from_arrays([docs.column("id").combine_chunks().take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (tf, extra, length))], ["id", "tf", "extra", "length"])
+    columns = {
+        "term": terms.dictionary, "block": pa.array(np.full(len(starts), block), pa.int64()), "hits": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits),
+        "most_tf": pa.array(of(np.maximum, tf), pa.int32()), "most": pa.array(of(np.maximum, tf + extra), pa.int32()), "least_length": pa.array(of(np.minimum, length), pa.int32()),
+        "least_content": pa.array(content, pa.int32(), mask=content == none), "content": pa.array(of(np.add, (tf > 0).astype(np.int64)), pa.int64()), "every": pa.array(every, pa.int64()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _in_blocks(bits: int, most_hits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_inverted() of a task's documents, as many at a time as a block holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, rows, hits = TaskContext.get().partitionId() << (33 - bits), [], 0, 0
+        for batch in batches:
+            sums, at = np.cumsum(pc.fill_null(batch.column("terms").value_lengths(), 0).to_numpy()), 0
+            while at < len(sums):
+                before = sums[at - 1] if at else 0
+                n = min((1 << bits) - rows, int(np.searchsorted(sums[at:], before + most_hits - hits, "right")))
+                n = max(n, 0 if rows else 1)
+                if n:
+                    held.append(batch.slice(at, n))
+                    at, rows, hits = at + n, rows + n, hits + int(sums[at + n - 1] - before)
+                if at < len(sums) or rows == 1 << bits:
+                    yield _inverted(pa.Table.from_batches(held), block)
+                    block, held, rows, hits = block + 1, [], 0, 0
+        if held:
+            yield _inverted(pa.Table.from_batches(held), block)
+
+    return run
+
+
 class TextIndex:
     """BM25+ over documents that come, change and go.
 
@@ -52,32 +105,30 @@ class TextIndex:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _live(self) -> DataFrame | None:
-        docs = self._table("docs")
-        return None if docs is None else docs.join(self._table("dead").select(F.col("of").alias("seg"), "id"), ["seg", "id"], "left_anti")
-
     def _frequencies(self, docs: DataFrame, sign: int) -> DataFrame:
         term = docs.select(F.explode("terms").alias("t")).select("t.*")
         return term.groupBy("term").agg((sign * F.count_if(F.col("tf") > 0)).alias("content"), (sign * F.count("*")).alias("every"))
 
-    def _put(self, docs: DataFrame, gone: DataFrame) -> None:
-        """Write a segment of docs(id, length, terms) that takes gone(id) away from earlier ones."""
-        number, live = max(self._segments(), default=0) + 1, self._live()
+    def _put(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
+        """Write a segment of docs(id, length, terms) that takes gone(id), by default the ids of docs, away from earlier ones."""
+        number, before = max(self._segments(), default=0) + 1, self._table("docs")
         path = f"{self.folder}/{number}"
-        docs.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)).write.mode("overwrite").parquet(f"{path}/docs")
+        docs.select("id", "length", "terms").write.mode("overwrite").parquet(f"{path}/docs")
         own = self.spark.read.schema(_SCHEMAS["docs"].format(id=self.id_type)).parquet(f"{path}/docs")
-        old = own.limit(0).withColumn("seg", F.lit(0)) if live is None else live.join(gone.select("id").distinct(), "id", "left_semi")
-        old = settled(old.select("id", "length", "terms", "seg"), "replaced")
-        hits = own.select("block", "id", "length", F.explode("terms").alias("t")).select("t.term", "block", F.struct("id", "t.tf", "t.extra", "length").alias("hit"))
-        keys = ["bucket", "part", "term", "block"]  # of which the first two say where a row goes: one shuffle
-        hits = hits.withColumns({"bucket": self._bucket(F.col("term")), "part": F.pmod("block", F.lit(8))}).repartition("bucket", "part")
-        blocks = hits.groupBy(*keys).agg(
-            F.collect_list("hit").alias("hits"), F.max("hit.tf").alias("most_tf"), F.max(F.col("hit.tf") + F.col("hit.extra")).alias("most"), F.min("hit.length").alias("least_length"),
-            F.min(F.when(F.col("hit.tf") > 0, F.col("hit.length"))).alias("least_content"), F.count_if(F.col("hit.tf") > 0).alias("content"), F.count("*").alias("every"),
-        ).drop("part")
+        if before is None:
+            old = own.select("id", "length", F.lit(0).alias("seg")).limit(0)
+        else:  # which rows go is settled by their ids, before their terms are read
+            old = before.select("id", "length", "seg").join(self._table("dead").select(F.col("of").alias("seg"), "id"), ["seg", "id"], "left_anti")
+            old = old.join((own if gone is None else gone).select("id").distinct(), "id", "left_semi").select("id", "length", "seg")
+        old = settled(old, "replaced")
+        # a block's documents are in one task, so its postings are made there and nothing is shuffled
+        schema = ", ".join(c for c in _SCHEMAS["postings"].format(id=self.id_type).split(", ") if c != "bucket int")
+        blocks = own.mapInArrow(_in_blocks(BLOCK_BITS, BLOCK_HITS), schema).withColumn("bucket", self._bucket(F.col("term")))
         blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         put = self.spark.read.schema(_SCHEMAS["postings"].format(id=self.id_type)).parquet(f"{path}/postings").select("term", "content", "every")
-        df = put.unionByName(self._frequencies(old, -1)).groupBy("term").agg(F.sum("content").alias("content"), F.sum("every").alias("every"))
+        if before is not None:
+            put = put.unionByName(self._frequencies(before.join(old, ["seg", "id"], "left_semi"), -1))
+        df = put.groupBy("term").agg(F.sum("content").alias("content"), F.sum("every").alias("every"))
         df.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         size = lambda d, s: d.agg((s * F.count("*")).alias("n"), (s * F.coalesce(F.sum("length"), F.lit(0))).alias("length"))
         size(own, 1).unionByName(size(old, -1)).write.mode("overwrite").parquet(f"{path}/totals")
@@ -93,22 +144,22 @@ class TextIndex:
             if x is not None:
                 boost = F.concat(boost, F.coalesce(x, F.array().cast("array<string>")))
 
+        boosted = title is not None or tags is not None
+
         def measured(t: Column, more: Column) -> Column:
             entry = lambda w: F.struct(w.alias("term"), _count(t, w).cast("int").alias("tf"), (FIELD_BOOST * _count(more, w)).cast("int").alias("extra"))
             return F.struct(F.size(t).alias("length"), F.transform(F.array_union(t, more), entry).alias("terms"))
 
         def listed(t: Column, more: Column) -> Column:  # distinct tokens, the usual case: only the boosted ones need counting
-            extra = lambda w: (FIELD_BOOST * _count(more, w)).cast("int").alias("extra")
-            own = F.transform(t, lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.when(F.array_contains(more, w), extra(w)).otherwise(0).alias("extra")))
-            rest = F.transform(F.array_except(more, t), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), extra(w)))
-            return F.struct(F.size(t).alias("length"), F.concat(own, rest).alias("terms"))
+            extra = lambda w: (FIELD_BOOST * _count(more, w)).cast("int")
+            own = F.transform(t, lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), (F.when(F.array_contains(more, w), extra(w)).otherwise(0) if boosted else F.lit(0)).alias("extra")))
+            rest = F.transform(F.array_except(more, t), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), extra(w).alias("extra")))
+            return F.struct(F.size(t).alias("length"), (F.concat(own, rest) if boosted else own).alias("terms"))
 
         # bound, or each use would make the tokens again
         made = bind(F.struct(tokens.alias("t"), boost.alias("b")), lambda x: F.when(F.size(F.array_distinct(x["t"])) == F.size(x["t"]), listed(x["t"], x["b"])).otherwise(measured(x["t"], x["b"])))
-        rows = docs.select(F.col(id_col).alias("id"), made.alias("m")).select("id", "m.length", "m.terms")
-        rows = settled(rows, "indexed")
-        self._put(rows, rows.select("id"))
-        removed(rows)
+        rows = docs.select(F.col(id_col).alias("id"), made.alias("m"))
+        self._put(rows.select("id", "m.length", "m.terms"))
         return self
 
     def delete(self, ids: DataFrame, id_col: str = "id") -> None:
