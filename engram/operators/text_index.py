@@ -167,8 +167,11 @@ class TextIndex:
         if docs is not None:
             self._put(docs.select("id", "length", "terms").limit(0), ids.select(F.col(id_col).alias("id")))
 
-    def search(self, query: list[str], k: int | None = None, boosted: bool = False, k1: float = K1, b: float = B, coverage: bool = True) -> DataFrame:
-        """(id, bm25_score, matched) of the k best documents, or of all with a term of the query. boosted: title and tags count."""
+    def search(self, query: list[str], k: int | None = None, boosted: bool = False, k1: float = K1, b: float = B, coverage: bool = True, digits: int | None = None) -> DataFrame:
+        """(id, bm25_score, matched) of the k best documents, or of all with a term of the query. boosted: title and tags count.
+
+        digits: scores are rounded to so many before they are ranked, by way of 9, as sums in another order differ beyond those; equal ones go by id.
+        """
         ask, postings = sorted(set(query)), self._table("postings")
         if postings is None or not ask:
             return self.spark.createDataFrame([], f"id {self.id_type}, bm25_score double, matched int")
@@ -186,7 +189,8 @@ class TextIndex:
             hit = hit if boosted else hit.where("tf > 0")
             tf = (F.col("tf") + F.col("extra") if boosted else F.col("tf")).cast("double")
             out = hit.groupBy("id").agg(F.sum(term_score(tf, weight, F.col("length"), F.lit(average), k1, b)).alias("s"), F.count("*").cast("int").alias("matched"))
-            return out.select("id", (F.col("s") * more(F.col("matched"))).alias("bm25_score"), "matched")
+            score = F.col("s") * more(F.col("matched"))
+            return out.select("id", (score if digits is None else F.round(F.round(score, 9), digits)).alias("bm25_score"), "matched")
 
         if k is None:
             return scored(rows)
@@ -196,7 +200,8 @@ class TextIndex:
         blocks = settled(blocks, "blocks")
         first = blocks.orderBy(F.col("bound").desc(), "seg", "block").limit(FIRST_BLOCKS).select("seg", "block")
         best = scored(rows.join(F.broadcast(first), ["seg", "block"], "left_semi")).orderBy(F.col("bm25_score").desc()).limit(k).agg(F.min("bm25_score"), F.count("*")).first()
-        least = best[0] - 1e-9 * (1 + abs(best[0])) if best[1] == k else -1.0
+        up = 0.0 if digits is None else 10.0**-digits  # rounding lifts a score by less
+        least = best[0] - up - 1e-9 * (1 + abs(best[0])) if best[1] == k else -1.0
         read = blocks.where(F.col("bound") >= least)
         self.skipped = (blocks.count(), read.count())
-        return scored(rows.join(read.select("seg", "block"), ["seg", "block"], "left_semi")).orderBy(F.col("bm25_score").desc(), "id").limit(k)
+        return scored(rows.join(read.select("seg", "block"), ["seg", "block"], "left_semi")).orderBy(F.col("bm25_score").desc(), F.col("id").asc_nulls_last()).limit(k)

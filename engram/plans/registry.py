@@ -168,8 +168,8 @@ def bm25_field_boost(spark, d):
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(True)}) ORDER BY score DESC, doc_id LIMIT 20")
 def indexed_topk(spark, d):
     """The same scores from the index of all documents, whose blocks of low bounds are not read."""
-    out = _index(spark, d).search(_item_terms(spark, d), 20, boosted=True)
-    return out.select(F.col("id").alias("doc_id"), r6("bm25_score").alias("score"))
+    out = _index(spark, d).search(_item_terms(spark, d), 20, boosted=True, digits=6)
+    return out.select(F.col("id").alias("doc_id"), F.col("bm25_score").alias("score"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25_sql(False).replace('FROM documents)', 'FROM (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN lang ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0))')})")
